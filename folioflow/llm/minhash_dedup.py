@@ -15,7 +15,7 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased).  Two documen
    found too, a hot bucket is split, and nothing is capped.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing.  Null ids form no link and are their
-own component (null).  Rows that repeat an id give one row each, in one component.
+own component (null).  Rows that repeat an id give one row each, in one component; if their texts differ, the id has the links of all.
 """
 
 from __future__ import annotations
@@ -154,10 +154,10 @@ def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those linked on full sets.  Only texts that a pair needs are moved twice."""
         needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = scratch.save(docs.join(needed, "doc_id").groupBy("doc_id").agg(F.first("text").alias("text")), "texts")
+        texts = scratch.save(docs.join(needed, "doc_id").dropDuplicates(), "texts")
         side = lambda name, text: texts.select(F.col("doc_id").alias(name), F.col("text").alias(text))
         checked = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long, ok boolean")
-        out = scratch.save(checked.where("ok").select("a", "b"), "links")
+        out = scratch.save(checked.where("ok").select("a", "b").distinct(), "links")
         scratch.drop(texts)
         return out
 
