@@ -23,8 +23,8 @@ FROM d JOIN i USING (shingle) GROUP BY doc_id, item_id, n_item HAVING 100 * coun
     "op4_minhash_dedup": f"""
 WITH RECURSIVE d AS (SELECT doc_id, {_SHINGLES} AS s FROM (SELECT doc_id, {_LOWER_WORDS} AS w FROM documents)),
 e AS (SELECT doc_id, unnest(s) AS shingle FROM d),
-both AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
-link AS (SELECT both.a, both.b FROM both JOIN d x ON x.doc_id = both.a JOIN d y ON y.doc_id = both.b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.shingle = b.shingle AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+link AS (SELECT pairs.a, pairs.b FROM pairs JOIN d x ON x.doc_id = pairs.a JOIN d y ON y.doc_id = pairs.b WHERE 100 * n >= 85 * (len(x.s) + len(y.s) - n)),
 reach(a, b) AS (SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a),
 least_doc AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, m) AS component_id, doc_id = least(doc_id, m) AS kept FROM d LEFT JOIN least_doc USING (doc_id)""",
