@@ -1,10 +1,6 @@
 """All registered queries of the library and their SQL, by name."""
 
-from __future__ import annotations
+from . import corpus, grading, profiling, sampling, scoring, statistics, structure  # noqa: F401  they register themselves
+from .base import QUERIES, SQL
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]
