@@ -7,12 +7,13 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased).  Two documen
    parity bitmap, in which each common sample cancels itself, so that the population count of the XOR of two
    bitmaps estimates how many samples differ.
 2. Equal sets (same key) collapse to their smallest id; only those representatives go on.
-3. In each band bucket all members meet the smallest one: one row a member, never all pairs.  Pairs whose
-   sketches allow the similarity are confirmed on the full sets; the links give first components.
-4. Members that a bucket's star has left in another component than others of the bucket are compared with those
-   others, in blocks of bounded size and by sketches; the best few partners in each foreign component are
-   confirmed, and the following ones in further rounds until none is left.  So a link that no star covers is
-   found too, a hot bucket is split, and nothing is capped.
+3. In each band bucket all members meet its hub, the member with most company in all its buckets: one row a
+   member, never all pairs.  Pairs whose sketches allow the similarity are confirmed on the full sets; the links
+   give first components.
+4. Where a bucket still holds several components, the members outside its largest one meet all others, in blocks
+   of about BLOCK by BLOCK members.  First sketches alone leave out all that have no partner within reach in a
+   foreign component; then full sets, as a product of two incidence matrices, give the links that join
+   components.  So links that no star covers are found too, a hot bucket is split, and nothing is capped.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing.  Null ids form no link and are their
 own component (null).  Rows that repeat an id give one row each, in one component; if their texts differ, the id has the links of all.
@@ -34,7 +35,6 @@ from .hashing import Chunk, chunks, groups, mix
 BANDS, ROWS = 32, 6
 BITS = 512
 BLOCK = 512
-TURN = 4
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -116,25 +116,75 @@ def _alike(x: str, y: str, most: int) -> Column:
     return total <= most
 
 
-def _residue(most: int, turn: int):
-    """For each left-behind member the turn-th best partners in each foreign component, within one block pair."""
+def _meeting(most: int):
+    """Of one block pair, the members that have a partner in a foreign component within the sketches' reach.
+    Two members meet in the first of their common buckets only."""
 
-    def best(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def meeting(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(left) and len(right):
-            sketches = np.stack(right["sketch_r"].to_numpy()).view(np.uint64)
-            other, comp = right["v_r"].to_numpy(), right["comp_r"].to_numpy()
-            for v, c, s in zip(left["v"], left["comp"], left["sketch"]):
-                bits = np.bitwise_count(sketches ^ np.asarray(s).view(np.uint64)).sum(1)
-                ok = np.flatnonzero((comp != c) & (bits <= most))
-                ok = ok[np.lexsort((other[ok], bits[ok], comp[ok]))]
-                begin = groups(comp[ok])
-                rank = np.arange(len(ok)) - np.repeat(begin, np.diff(np.concatenate((begin, [len(ok)]))))
-                for w in other[ok[(rank >= turn * TURN) & (rank < (turn + 1) * TURN)]]:
-                    out.append((min(v, w), max(v, w)))
+            ls, rs = (np.stack(d[c].to_numpy()).view(np.uint64) for d, c in ((left, "sketch"), (right, "sketch_r")))
+            lb, rb = np.stack(left["bands"].to_numpy()), np.stack(right["bands_r"].to_numpy())
+            lc, rc = left["comp"].to_numpy(), right["comp_r"].to_numpy()
+            band = int(np.flatnonzero(lb[0] == key[0])[0])
+            met = np.zeros(len(right), bool)
+            for at in range(0, len(left), 64):
+                part = slice(at, at + 64)
+                ok = np.bitwise_count(ls[part, None, :] ^ rs[None, :, :]).sum(2) <= most
+                ok &= lc[part, None] != rc[None, :]
+                for b in range(band):
+                    ok &= lb[part, b, None] != rb[None, :, b]
+                met |= ok.any(0)
+                out += [(*key, 0, v) for v in left["v"].to_numpy()[part][ok.any(1)].tolist()]
+            out += [(*key, 1, v) for v in right["v_r"].to_numpy()[met].tolist()]
+        return pd.DataFrame(out, columns=["key", "i", "j", "side", "v"]).astype("int64")
+
+    return meeting
+
+
+def _links(percent: int):
+    """Of one block pair, on full sets, enough links to join all components that are linked there."""
+
+    def links(pdf: pd.DataFrame) -> pd.DataFrame:
+        chunk = Chunk([t.encode() for t in pdf["text"]], lower=True)
+        docs, hashes = chunk.shingles()
+        size = np.bincount(docs, minlength=len(pdf))
+        side, ids, comp = (pdf[c].to_numpy() for c in ("side", "v", "comp"))
+        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        shared = np.intersect1d(hashes[side[docs] == 0], hashes[side[docs] == 1])
+        known = np.isin(hashes, shared)
+        docs, column = docs[known], np.searchsorted(shared, hashes[known])
+        place = np.empty(len(pdf), np.int64)
+        place[left], place[right] = np.arange(len(left)), np.arange(len(right))
+        both = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, len(shared), 4096):
+            some = (column >= at) & (column < at + 4096)
+            sets = []
+            for k, n in ((0, len(left)), (1, len(right))):
+                own = some & (side[docs] == k)
+                sets.append(np.zeros((n, 4096), np.float32))
+                sets[k][place[docs[own]], column[own] - at] = 1
+            both += sets[0] @ sets[1].T
+        both = both.astype(np.int64)
+        linked = (100 * both >= percent * (size[left][:, None] + size[right][None, :] - both)) & (both > 0) & (comp[left][:, None] != comp[right][None, :])
+        parent: dict[int, int] = {}
+
+        def find(x):
+            while parent.setdefault(x, x) != x:
+                parent[x] = parent[parent[x]]
+                x = parent[x]
+            return x
+
+        out = []
+        for i, j in zip(*np.nonzero(linked)):
+            v, w = left[i], right[j]
+            a, b = find(int(comp[v])), find(int(comp[w]))
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                out.append((int(ids[v]), int(ids[w])))
         return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
-    return best
+    return links
 
 
 def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -147,50 +197,53 @@ def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     usable = sketches.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
     classes = scratch.save(usable.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("v"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "classes")
     keys = classes.select("v", F.explode("bands").alias("key"))
-    stars = keys.groupBy("key").agg(F.min("v").alias("hub"), F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
-    members = scratch.save(keys.join(stars, "key"), "members")
+    shared = keys.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where(F.col("size") > 1)
+    members = scratch.save(keys.join(shared, "key"), "members")
+    # the hub of a bucket is the member that shares most with others: of edited copies that is their origin
+    weight = members.groupBy("v").agg(F.sum("size").alias("weight"))
+    hubs = members.join(weight, "v").groupBy("key").agg(F.max_by("v", F.struct("weight", -F.col("v"))).alias("hub"))
+    first = members.join(hubs, "key").where(F.col("v") != F.col("hub")).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
     sketch = classes.select("v", "sketch")
 
+    def texts_of(ids: DataFrame) -> DataFrame:
+        """Texts that are needed; only these are moved more than once."""
+        return scratch.save(docs.join(ids.distinct(), "doc_id").dropDuplicates(), "texts")
+
     def confirmed(pairs: DataFrame) -> DataFrame:
-        """Of (a, b), those linked on full sets.  Only texts that a pair needs are moved twice."""
-        needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-        texts = scratch.save(docs.join(needed, "doc_id").dropDuplicates(), "texts")
+        """Of (a, b), those linked on full sets."""
+        texts = texts_of(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")))
         side = lambda name, text: texts.select(F.col("doc_id").alias(name), F.col("text").alias(text))
         checked = pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(_confirm(percent), "a long, b long, ok boolean")
         out = scratch.save(checked.where("ok").select("a", "b").distinct(), "links")
         scratch.drop(texts)
         return out
 
-    first = members.where(F.col("v") != F.col("hub")).select(F.col("hub").alias("a"), F.col("v").alias("b")).distinct()
     sided = first.join(sketch.toDF("a", "sa"), "a").join(sketch.toDF("b", "sb"), "b").where(_alike("sa", "sb", most)).select("a", "b")
     links = confirmed(scratch.save(sided, "pairs"))
     comps = connected_components(scratch, links)
 
-    # What the stars left: buckets that still hold several components.
-    named = members.join(comps, "v", "left").select("key", "v", "hub", "size", F.coalesce("comp", "v").alias("comp"))
-    mixed = named.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where(F.col("lo") != F.col("hi")).select("key")
-    mixed = scratch.save(named.join(mixed, "key").join(sketch, "v"), "mixed")
-    hub = mixed.where(F.col("v") == F.col("hub")).select("key", F.col("comp").alias("hub_comp"))
-    behind = mixed.join(hub, "key").where(F.col("comp") != F.col("hub_comp")).drop("hub_comp")
-    many = behind.groupBy("key").agg(F.count(F.lit(1)).alias("left_size"))
-    lots = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
-    spread = lambda df, own, across, i, j: df.withColumn(i, F.pmod(F.xxhash64("v"), lots(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), lots(across) - 1)))
-    columns = ["key", "i", "j", "v", "comp", "sketch"]
-    left = spread(behind.join(many, "key"), "left_size", "size", "i", "j").select(columns)
-    right = spread(mixed.join(many, "key"), "size", "left_size", "j", "i").select([F.col(c).alias(f"{c}_r") for c in columns])
-    turn = 0
-    while True:
-        found = left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(_residue(most, turn), "a long, b long").distinct()
-        found = scratch.save(found, "found")
-        if found.isEmpty():
-            break
-        now = lambda name, as_: comps.select(F.col("v").alias(name), F.col("comp").alias(as_))
-        apart = found.join(now("a", "ca"), "a", "left").join(now("b", "cb"), "b", "left").where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
-        more = confirmed(scratch.save(apart, "apart"))
+    # What the stars left: in buckets that still hold several components, the members outside the largest.
+    named = members.join(comps, "v", "left").select("key", "v", "size", F.coalesce("comp", "v").alias("comp"))
+    per_comp = named.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("n"))
+    mixed = per_comp.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.count(F.lit(1)).alias("comps")).where(F.col("comps") > 1).select("key", "main")
+    mixed = scratch.save(named.join(mixed, "key"), "mixed")
+    if not mixed.isEmpty():
+        behind = mixed.where(F.col("comp") != F.col("main"))
+        many = behind.groupBy("key").agg(F.count(F.lit(1)).alias("left_size"))
+        lots = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+        spread = lambda df, own, across, i, j: df.withColumn(i, F.pmod(F.xxhash64("v"), lots(own)).cast("int")).withColumn(j, F.explode(F.sequence(F.lit(0), lots(across) - 1)))
+        detail = classes.select("v", "sketch", "bands")
+        columns = ["key", "i", "j", "v", "comp", "sketch", "bands"]
+        left = spread(behind.join(many, "key").join(detail, "v"), "left_size", "size", "i", "j").select(columns)
+        right = spread(mixed.join(many, "key").join(detail, "v"), "size", "left_size", "j", "i").select([F.col(c).alias(f"{c}_r") for c in columns])
+        met = left.groupBy("key", "i", "j").cogroup(right.groupBy("key_r", "i_r", "j_r")).applyInPandas(_meeting(most), "key long, i long, j long, side long, v long")
+        met = scratch.save(met, "met")
+        texts = texts_of(met.select(F.col("v").alias("doc_id")))
+        full = met.join(texts.withColumnRenamed("doc_id", "v"), "v").join(comps, "v", "left").select("key", "i", "j", "side", "v", F.coalesce("comp", "v").alias("comp"), "text")
+        more = scratch.save(full.groupBy("key", "i", "j").applyInPandas(_links(percent), "a long, b long"), "links")
+        scratch.drop(met, texts)
         if not more.isEmpty():
-            links = scratch.save(links.unionByName(more), "links")
-            comps = connected_components(scratch, links)
-        turn += 1
+            comps = connected_components(scratch, links.unionByName(more))
     scratch.drop(members, mixed)
 
     whole = classes.select("k1", "k2", "n", "v").join(comps, "v", "left").select("k1", "k2", "n", F.coalesce("comp", "v").alias("comp"))
