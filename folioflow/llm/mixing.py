@@ -57,11 +57,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     total = int(lengths @ counts)
     if not len(lengths) or budget <= 0 or budget >= total:
         return counts.copy() if len(lengths) and budget >= total else np.zeros_like(counts)
-    take = np.floor(counts * (budget / total)).astype(np.int64)
+    # what the table below can hold as a whole is not dealt out first
+    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > MARGIN else np.zeros_like(counts)
     rest = budget - int(lengths @ take)
     margin = min(int(lengths[-1]), MARGIN)
     for i in range(len(lengths) - 1, -1, -1):  # from long to short, down to what the table below can hold
-        if rest <= 2 * margin:
+        if rest <= max(2 * margin, MARGIN):
             break
         more = min(int(counts[i] - take[i]), (rest - margin) // int(lengths[i]))
         take[i] += max(more, 0)
