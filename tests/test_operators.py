@@ -1,0 +1,228 @@
+"""Operators on small vectors."""
+
+import random
+
+import pytest
+from pyspark.sql import Row
+from pyspark.sql import functions as F
+
+from folioflow.functions import text as T
+from folioflow.operators import alignment, audit, dedup, grading, pii, profile, sampling, scoring, stats, structure
+
+
+def one(df):
+    return df.collect()[0]
+
+
+@pytest.mark.parametrize(
+    "text, expected",
+    [
+        ("call 555-123-4567 now", (0, 1, 0, 0, False)),
+        ("ssn 123-45-6789", (0, 0, 1, 0, False)),
+        ("card 4111111111111111", (0, 0, 0, 1, False)),
+        ("mail a@example.com", (0, 0, 0, 0, True)),
+        ("mail a@mail5.example.com", (1, 0, 0, 0, False)),
+        ("street 555\n123 4567", (0, 1, 0, 0, False)),
+        ("plain words", (0, 0, 0, 0, True)),
+    ],
+)
+def test_pii(spark, text, expected):
+    r = one(pii.scan(spark.createDataFrame([(1, text)], "doc_id int, text string")))
+    assert (r.real_email_count, r.phone_count, r.ssn_count, r.long_digit_count, r.clean) == expected
+
+
+def test_pii_null_text_has_no_verdict(spark):
+    scanned = pii.scan(spark.createDataFrame([(1, None), (2, "ok")], "doc_id int, text string"))
+    r = one(pii.summarise(scanned))
+    assert (r.file_count, r.clean_count, r.error_count) == (2, 1, 1)
+
+
+@pytest.mark.parametrize("m, g, c, expected", [(0, 0, 0, (1.0, None, None)), (0, 2, 0, (0.0, 0.0, None)), (0, 0, 3, (0.0, None, None)), (0, 2, 2, (0.0, 0.0, None)), (1, 2, 4, (0.25, 0.5, 1 / 3))])
+def test_prf1_nulls(spark, m, g, c, expected):
+    r = one(spark.range(1).select(*[v.alias(k) for k, v in T.prf1(F.lit(m), F.lit(g), F.lit(c)).items()]))
+    assert tuple(r) == pytest.approx(expected)
+
+
+def test_token_f1_convention(spark):
+    rows = spark.createDataFrame([(0, 0, 0), (0, 1, 0), (0, 1, 1), (1, 1, 1)], "m int, g int, c int")
+    assert [r[0] for r in rows.select(T.token_f1(F.col("m"), F.col("g"), F.col("c"))).collect()] == [1.0, 0.0, 0.0, 1.0]
+
+
+def test_reading_order_reversal_and_random(spark):
+    rng = random.Random(3)
+    cases = [[2, 1, 0], [0], [0, 1, 2, 3]] + [rng.sample(range(12), 12) for _ in range(20)]
+    rows = [(d, g, c) for d, order in enumerate(cases) for g, c in enumerate(order)]
+    got = {r.d: r for r in scoring.reading_order(spark.createDataFrame(rows, "d int, g int, c int"), "d").collect()}
+    for d, order in enumerate(cases):
+        naive = sum(order[i] > order[j] for i in range(len(order)) for j in range(i + 1, len(order)))
+        assert got[d].discordant == naive == alignment.inversions(order)
+    assert (got[0].matched, got[0].accuracy) == (3, 0.0)
+    assert got[1].accuracy is None
+
+
+def test_kth_duplicate_pairs_with_kth(spark):
+    side = spark.createDataFrame([(1, "a", 0), (1, "a", 1), (1, "b", 2)], "doc int, t string, pos int")
+    other = spark.createDataFrame([(1, "b", 0), (1, "a", 1), (1, "a", 2), (1, "a", 3)], "doc int, t string, pos int")
+    assert sorted((r.g, r.c) for r in scoring.kth_matches(side, other, "doc", "t", "pos").collect()) == [(0, 1), (1, 2), (2, 0)]
+
+
+def test_alignment_of_long_documents_and_fuzzy(spark):
+    paragraphs = [f"paragraph number {i} with words" for i in range(400)]
+    sides = spark.createDataFrame([(1, paragraphs, paragraphs[::-1]), (2, [], []), (3, ["alpha beta gamma"], ["alpha beta gamme"])], "doc int, gold array<string>, cand array<string>")
+    got = {r.doc: r for r in alignment.fuzzy_order(sides, "doc").collect()}
+    assert got[1].accuracy == 0.0 and got[1].matched == 400
+    assert got[2].status == "undefined" and got[3].matched == 1
+    assert {r.doc: r.matched for r in alignment.align(sides, "doc").collect()} == {1: 1, 2: 0, 3: 0}
+    assert alignment.fuzzy_matches(["a" * 9] * 700, ["b" * 9] * 700) is None
+
+
+def test_label_accuracy_states(spark):
+    gold = spark.createDataFrame([(1, 1, "x"), (1, 2, None), (2, 1, "x")], "doc int, pos int, v string")
+    cand = spark.createDataFrame([(1, 1, "x"), (1, 2, "y"), (3, 1, "x")], "doc int, pos int, v string")
+    got = {r.doc: (r.accuracy, r.status) for r in scoring.label_accuracy(gold, cand, ["doc", "pos"], "v").collect()}
+    assert got == {1: (0.5, "scored"), 2: (None, "undefined: no_candidate"), 3: (None, "not_applicable: no_gold_ground_truth")}
+
+
+def test_capability_gate_keeps_rows(spark):
+    scores = spark.createDataFrame([("a", "order", 0.5), ("b", "order", 0.7)], "system string, metric string, value double")
+    able = spark.createDataFrame([("a", "order", True)], "system string, metric string, capable boolean")
+    got = {r.system: (r.value, r.status) for r in scoring.capability_gate(scores, able).collect()}
+    assert got == {"a": (0.5, "scored"), "b": (None, "not_applicable: unsupported")}
+
+
+@pytest.mark.parametrize("values, method", [([1.0] * 20, "exact_boundary"), ([0.0] * 20, "exact_boundary"), ([1.0] * 18 + [0.0] * 2, "percentile"), ([0.5], "undefined"), ([0.5] * 4, "percentile")])
+def test_bootstrap_methods(spark, values, method):
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v double")
+    r = one(stats.bootstrap_ci(df, ["g"], "v", "i", replicates=100))
+    assert r.method == method and r.n == len(values)
+    if method == "exact_boundary":
+        edge = round(0.025 ** (1 / 20), 6)
+        assert (r.low, r.high) == ((edge, 1.0) if values[0] else (0.0, round(1 - 0.025 ** (1 / 20), 6)))
+    elif method == "undefined":
+        assert r.low is None and r.high is None
+    else:
+        assert r.low <= r.mean <= r.high
+
+
+def test_bootstrap_skips_nulls_and_ignores_partitioning(spark):
+    df = spark.createDataFrame([("g", i, v) for i, v in enumerate([1.0, None, 0.0, None, 1.0])], "g string, i int, v double")
+    a, b = (one(stats.bootstrap_ci(df.repartition(n), ["g"], "v", "i", replicates=60)) for n in (1, 7))
+    assert a == b and a.n == 3
+
+
+def test_permutation_drops_half_pairs(spark):
+    df = spark.createDataFrame([("g", i, a, b) for i, (a, b) in enumerate(zip([1.0, None, 1.0, 1.0], [0.0, 0.0, None, 0.0]))], "g string, i int, a double, b double")
+    assert one(stats.permutation_test(df, ["g"], "a", "b", "i", replicates=50)).n == 2
+    same = spark.createDataFrame([("g", i, 0.5, 0.5) for i in range(5)], "g string, i int, a double, b double")
+    assert one(stats.permutation_test(same, ["g"], "a", "b", "i", replicates=50)).p == 1.0
+
+
+def test_chains(spark):
+    good, bad = Row(fwd="pass", inv="pass"), Row(fwd="pass", inv=None)
+    rows = [(1, "completed", [good, good]), (2, "completed", [good, bad]), (3, "blocked", [good]), (4, "completed", []), (5, "completed", [good])]
+    df = spark.createDataFrame(rows, "i int, status string, pairs array<struct<fwd:string,inv:string>>")
+    got = {r.i: (r.o, r.s) for r in df.select("i", stats.chain_outcome(F.col("status"), F.col("pairs")).alias("o"), stats.steady_state(F.col("status"), F.col("pairs")).alias("s")).collect()}
+    assert got == {1: (1.0, 1.0), 2: (0.0, 0.0), 3: (None, None), 4: (None, None), 5: (1.0, None)}
+
+
+def test_last_repeated_chain_counts(spark):
+    df = spark.createDataFrame([("g", "d", "control", 0.0, 1), ("g", "d", "control", 1.0, 2), ("g", "d", "treatment", None, 3)], "g string, doc string, arm string, o double, seq int")
+    r = one(stats.by_arm(df, ["g"], "doc", "arm", "o", "seq"))
+    assert (r.control, r.treatment) == (1.0, None)
+
+
+@pytest.mark.parametrize("sizes", [[(f"f{i}", 1 + i % 7) for i in range(40)], [(f"f{i}", 1) for i in range(20)], [("only", 300)], [("giant", 90), ("small-a", 5), ("small-b", 5)]])
+def test_group_split(spark, sizes):
+    fractions = {"development": 0.6, "validation": 0.2, "primary_holdout": 0.2}
+    families = spark.createDataFrame(sizes, "family string, size int")
+    got = sampling.group_split(families, fractions, "s").collect()
+    assert sorted(r.family for r in got) == sorted(f for f, _ in sizes)
+    again = sampling.group_split(families.repartition(5), fractions, "s").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    lacks = {k: v * sum(n for _, n in sizes) for k, v in fractions.items()}
+    for r in got:  # each family went where most was lacking
+        assert lacks[r.split] == max(lacks.values())
+        lacks[r.split] -= r.size
+
+
+def test_fractions_are_checked():
+    for bad in ({}, {"a": 0.5}, {"a": 1.5, "b": -0.5}):
+        with pytest.raises(ValueError):
+            sampling.check_fractions(bad)
+
+
+def test_quota_after_exclusion(spark):
+    pool = spark.createDataFrame([(i, "technology" if i < 5 else "education") for i in range(10)], "id int, topic string")
+    left = sampling.exclude_prior(pool, spark.createDataFrame([(0,), (1,)], "id int"), spark.createDataFrame([(9,)], "id int"))
+    assert left.count() == 7
+    taken = sampling.quota_sample(left, F.col("topic"), 4, "s").groupBy("stratum").count().collect()
+    assert {r.stratum: r["count"] for r in taken} == {"technology": 3, "education": 4}
+
+
+def test_grades(spark):
+    rows = [(["a", "b"], ["a", "b", "M x"], "M"), (["a", "b"], ["b", "M x"], "M"), (["a"], ["a", "M", "M"], "M"), (["a"], None, "M")]
+    df = spark.createDataFrame(rows, "before array<string>, after array<string>, m string")
+    assert [r[0] for r in df.select(grading.verdict(grading.forward_add(F.col("before"), F.col("after"), F.col("m")))).collect()] == ["pass", "fail", "fail", "fail"]
+    order = spark.createDataFrame([(["Heading A", "Body A", "Heading B", "Body B"], ["Heading B", "Body B", "Heading A", "Body A"])], "before array<string>, after array<string>")
+    assert one(order.select(grading.verdict(grading.forward_reorder(F.col("before"), F.col("after"), F.lit(" Heading B ")))))[0] == "pass"
+
+
+def test_unknown_family_raises(spark):
+    with pytest.raises(Exception, match="unknown family"):
+        spark.createDataFrame([("odd",)], "f string").select(grading.dispatch(F.col("f"), {"x": {"ok": F.lit(True)}})).collect()
+
+
+def test_chain_fold(spark):
+    pair = lambda r, a, b: Row(readable=r, fwd=a, inv=b)
+    rows = [(1, [pair(True, "pass", "pass")] * 2), (2, [pair(True, "pass", "fail"), pair(True, "pass", "pass")]), (3, [pair(True, "pass", "pass"), pair(False, None, None), pair(True, "pass", "pass")])]
+    df = spark.createDataFrame(rows, "i int, pairs array<struct<readable:boolean,fwd:string,inv:string>>")
+    got = {r.i: (r.s.status, r.s.n_graded, r.s.restored) for r in df.select("i", grading.chain_status(F.col("pairs")).alias("s")).collect()}
+    assert got == {1: ("completed", 2, True), 2: ("completed_with_failure", 2, True), 3: ("blocked", 1, False)}
+
+
+def test_modal_profile(spark):
+    rows = [(i, "styles", "font", "p", v, "resolved") for i, v in enumerate(["Calibri"] * 4 + ["Arial"])] + [(i, "styles", "size", "p", "11", "resolved") for i in range(2)]
+    long = spark.createDataFrame(rows, "doc int, category string, node string, part string, value_json string, status string")
+    got = {r.node: r for r in profile.modal(long, []).collect()}
+    assert (got["font"].mode, got["font"].agreement, got["font"].authority, got["font"].n_conflicts) == ("Calibri", 0.8, "domain_family", 1)
+    assert got["size"].authority == "abstain"
+
+
+def test_chain_depth_with_cycle(spark):
+    parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "n string, up string")
+    got = {r.n: r.depth for r in structure.chain_depth(parents, "n", "up", most=5).collect()}
+    assert (got["a"], got["b"], got["c"]) == (0, 1, 2) and got["x"] == got["y"] == 6
+
+
+def test_preceding_and_containment(spark):
+    rows = spark.createDataFrame([("d", 0, "caption"), ("d", 1, "table"), ("d", 2, "caption")], "doc string, ord int, kind string").withColumn("id", F.col("ord"))
+    got = rows.withColumn("t", structure.preceding(rows, "doc", ["ord"], F.col("kind") == "table", "id")).where("kind = 'caption'").orderBy("ord").collect()
+    assert [r.t for r in got] == [None, 1]
+    nodes, edges = spark.createDataFrame([("p1",), ("p2",)], "node_id string"), spark.createDataFrame([("c1", "p2")], "src string, dst string")
+    assert [r.node_id for r in structure.top_level(nodes, edges, spark.createDataFrame([("c1",)], "node_id string")).collect()] == ["p1"]
+
+
+def test_audit_parts(spark):
+    checks = spark.createDataFrame([(1, "a", True, True), (2, "b", True, False), (3, "c", False, False)], "position int, name string, blocking boolean, passed boolean")
+    r = one(audit.gate(checks))
+    assert (r.failed, r.blocking_failures, r.gate_passed) == (2, 1, False)
+    assert [x.state for x in audit.preflight(checks).orderBy("position").collect()] == ["passed", "failed", "skipped"]
+    row = spark.createDataFrame([(Row(approved=None, sha256="x"), Row(a=1, b=None), Row(a=2, b=None))], "art struct<approved:boolean,sha256:string>, p struct<a:int,b:int>, q struct<a:int,b:int>")
+    assert one(row.select(audit.approved(F.col("art"), F.lit("x"))))[0] is False
+    assert one(row.select(audit.changed_fields(F.col("p"), F.col("q"), ["a", "b"])))[0] == ["a"]
+
+
+def test_duplicates_and_ledger(spark):
+    items = spark.createDataFrame([(1, "A b", "h1"), (2, "a  B", "h2"), (3, "c", "h3"), (4, "c", "h3")], "id int, text string, sha256 string")
+    assert [r.n for r in dedup.duplicate_groups(items, F.col("sha256"), "id").collect()] == [2]
+    assert [r.n_raw for r in dedup.content_duplicates(items, T.normalise(F.col("text")), F.col("sha256")).collect()] == [2]
+    rows = dedup.ledger(items, spark.createDataFrame([(1, "clean")], "id int, pii_status string"), "id").orderBy("id").collect()
+    assert rows[0].pii_status == "clean" and rows[1].pii_status == "not_assessed" and rows[1].split == "unassigned"
+
+
+def test_timing(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("a", None)], "g string, s double")
+    r = one(stats.timing(rows, ["g"], "s"))
+    assert (r.n, r.mean, r.median) == (2, 2.0, 2.0)
+
+
