@@ -71,8 +71,8 @@ def _cells(budget: float, width: int):
                                 rows[3].append(bool(is_home))
             take = pa.array(rows[0], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch["v"].take(take), batch["label"].take(take), batch["copies"].take(take), batch["embedding"].take(take), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.bool_())],
-                names=["v", "label", "copies", "embedding", "block", "cell", "home"],
+                [batch["v"].take(take), batch["k1"].take(take), batch["label"].take(take), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.string()), pa.array(rows[3], pa.bool_())],
+                names=["v", "k1", "label", "block", "cell", "home"],
             )
 
     return cells
@@ -132,21 +132,23 @@ def embedding_components(vectors: DataFrame, cosine: float = 0.98, width: int =
     """vec_id, n_links, component_id, kept for each row of `vectors` (vec_id, embedding, label)."""
     spark = vectors.sparkSession
     scratch, budget = Scratch(spark), 2 - 2 * cosine
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
-    finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
-    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("embedding", lambda x: x != 0), F.lit(False))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding", F.col("embedding").cast("array<double>").alias("x"), "label")
+    finite = F.forall("x", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & F.exists("x", lambda x: x != 0), F.lit(False))
     rows = rows.select("vec_id", "label", "embedding", good.alias("good"))
     key = [F.col("label"), F.col("k1"), F.col("k2")]
     keyed = rows.where("good").select("vec_id", "label", "embedding", F.xxhash64("embedding").alias("k1"), F.xxhash64(F.lit(1), "embedding").alias("k2"))
     classes = scratch.save(keyed.groupBy(*key).agg(F.min("vec_id").alias("v"), F.count(F.lit(1)).alias("copies"), F.first("embedding").alias("embedding")), "classes")
-    cells = classes.select("v", F.col("label").cast("string").alias("label"), "copies", "embedding").mapInArrow(_cells(budget, width), "v long, label string, copies long, embedding array<double>, block int, cell string, home boolean")
+    cells = classes.select("v", "k1", F.col("label").cast("string").alias("label"), "embedding").mapInArrow(_cells(budget, width), "v long, k1 long, label string, block int, cell string, home boolean")
     cells = scratch.save(cells, "cells")
     place = ["label", "block", "cell"]
     parts = cells.where("home").groupBy(*place).agg(F.ceil(F.count(F.lit(1)) / part).cast("int").alias("parts"))
     dealt = cells.join(parts, place)
     own = F.pmod(F.xxhash64("v"), F.col("parts")).cast("int")
     # every row visits all parts; it is at home in one of them
-    dealt = dealt.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("p") == own))
+    dealt = dealt.withColumn("p", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("home", F.col("home") & (F.col("p") == own)).drop("parts")
+    # vectors join last, and parts of one cell go to tasks of their own
+    dealt = dealt.join(classes.select("v", "k1", "copies", "embedding"), ["v", "k1"]).repartition(*place, "p")
     found = scratch.save(dealt.groupBy(*place, "p").applyInPandas(_join(cosine, budget, width), "v long, n long, w long"), "found")
     scratch.drop(cells)
     comps = connected_components(scratch, found.where(F.col("w").isNotNull()).select(F.col("v").alias("a"), F.col("w").alias("b")))
