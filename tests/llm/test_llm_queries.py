@@ -57,7 +57,7 @@ def test_mix_meets_its_targets(spark, sf_dir):
         assert r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
     assert all(r.source_size == sizes[r.source] for r in rows)
     assert target == pytest.approx(mixing.targets(dict(sizes)))
-    assert all(abs(taken[s] - target[s]) <= 1 for s in sizes)
+    assert all(abs(taken[s] - target[s]) <= 1 + 0.05 * sizes[s] for s in sizes)
 
 
 def test_registry():
