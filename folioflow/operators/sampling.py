@@ -91,3 +91,9 @@ def staged_slices(items: DataFrame, key: str, seed: str, stages: dict[str, int])
     for b, s in reversed(bounds):
         name = F.when(F.col("position") <= b, F.lit(s)).otherwise(name)
     return head.withColumn("position", rank.cast("long")).select(key, "position", name.alias("stage"))
+
+
+def fetch_summary(log: DataFrame, *keys: str) -> DataFrame:
+    """Requested, fetched and failed records of a fetch log with a `status` column; a null status has failed."""
+    ok = F.count_if(F.coalesce(F.col("status") == "ok", F.lit(False)))
+    return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("requested"), ok.alias("ok"), (F.count(F.lit(1)) - ok).alias("failed"))

@@ -107,6 +107,33 @@ def composite(*parts: DataFrame, key: str) -> DataFrame:
     return out
 
 
+def render_equivalence(gold: DataFrame, cand: DataFrame, key: str) -> DataFrame:
+    """Whether both renderings have as many pages; null unless both were rendered.  Columns: key, status, page_count."""
+    side = lambda df, s: df.select(key, F.col("status").alias(f"status_{s}"), F.col("page_count").alias(f"pages_{s}"))
+    joined = side(gold, "g").join(side(cand, "c"), key, "left")
+    both = F.coalesce((F.col("status_g") == "rendered") & (F.col("status_c") == "rendered"), F.lit(False))
+    return joined.select(key, F.when(both, F.col("pages_g") == F.col("pages_c")).alias("equivalent"), F.when(both, "scored").otherwise("not_applicable: not_rendered").alias("status"))
+
+
+def baseline_row(counts: DataFrame, doc: str, kinds: list[str]) -> DataFrame:
+    """Capped count recalls of several kinds side by side; `counts` has gold_<kind> and cand_<kind>."""
+    recall = lambda k: F.when(F.col(f"gold_{k}") > 0, F.round(F.least(f"gold_{k}", f"cand_{k}") / F.col(f"gold_{k}"), 6))
+    return counts.select(doc, *[recall(k).alias(f"{k}_recall") for k in kinds])
+
+
+def graph_error_rates(nodes: DataFrame, edges: DataFrame, doc: str, node: str = "node_id") -> DataFrame:
+    """Per document the shares of nodes whose id is repeated, of nodes without an incoming edge, and of edges whose
+    target is no node."""
+    per_id = nodes.groupBy(doc, node).agg(F.count(F.lit(1)).alias("n"))
+    targets = edges.select(doc, F.col("dst").alias(node)).distinct().withColumn("hit", F.lit(True))
+    known = per_id.join(targets, [doc, node], "left")
+    by_doc = known.groupBy(doc).agg(F.sum("n").alias("nodes"), F.sum(F.when(F.col("n") > 1, F.col("n")).otherwise(0)).alias("repeated"), F.sum(F.when(F.col("hit").isNull(), F.col("n")).otherwise(0)).alias("orphans"))
+    lost = edges.select(doc, F.col("dst").alias(node)).join(per_id.select(doc, node, F.lit(True).alias("known")), [doc, node], "left")
+    lost = lost.groupBy(doc).agg(F.count(F.lit(1)).alias("edges"), F.count_if(F.col("known").isNull()).alias("unresolved"))
+    rate = lambda a, b: F.when(F.col(b) > 0, F.round(F.col(a) / F.col(b), 6))
+    return by_doc.join(lost, doc, "left").select(doc, rate("repeated", "nodes").alias("duplicate_rate"), rate("orphans", "nodes").alias("orphan_rate"), rate("unresolved", "edges").alias("unresolved_rate"))
+
+
 # --- degradations -------------------------------------------------------------------------------------------------
 
 

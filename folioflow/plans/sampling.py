@@ -102,3 +102,9 @@ def promote_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Promoted documents and their complement, which keeps documents without a verdict."""
     joined = table(spark, sf_dir, "documents").select("doc_id").join(table(spark, sf_dir, "labels"), "doc_id", "left")
     return joined.groupBy(F.col("quality").eqNullSafe(F.lit(1)).alias("promoted")).agg(F.count(F.lit(1)).alias("documents"))
+
+
+@query("SELECT event_type, count(*) AS requested, count(*) FILTER (value > 3) AS ok, count(*) - count(*) FILTER (value > 3) AS failed FROM events GROUP BY event_type")
+def fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 3, "ok").alias("status"))
+    return sampling.fetch_summary(log, "event_type")

@@ -161,3 +161,37 @@ def token_f1_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
 def round_trip_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = _sides(spark, sf_dir, "none").withColumn("marker", F.lit("round trip marker"))
     return alignment.drift(sides.withColumn("cand", F.concat("cand", F.array("marker"))), "doc_id")
+
+
+@query("""WITH n AS (SELECT o_custkey AS doc_id, o_orderkey // 4 AS node_id, count(*) AS n FROM orders GROUP BY 1, 2), e AS (SELECT o_custkey AS doc_id, l_orderkey // 4 + CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+ k AS (SELECT doc_id, sum(n) AS nodes, sum(n) FILTER (n > 1) AS repeated, sum(n) FILTER (NOT EXISTS (SELECT 1 FROM e WHERE e.doc_id = n.doc_id AND e.dst = n.node_id)) AS orphans FROM n GROUP BY doc_id),
+ u AS (SELECT e.doc_id, count(*) AS edges, count(*) FILTER (n.node_id IS NULL) AS unresolved FROM e LEFT JOIN n ON n.doc_id = e.doc_id AND n.node_id = e.dst GROUP BY 1)
+ SELECT doc_id, round(coalesce(repeated, 0) / nodes, 6) AS duplicate_rate, round(coalesce(orphans, 0) / nodes, 6) AS orphan_rate, round(unresolved / edges, 6) AS unresolved_rate FROM k LEFT JOIN u USING (doc_id)""")
+def graph_error_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A customer's orders as nodes, four keys to an id; lineitems as edges, of which returned ones point astray."""
+    orders = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("doc_id"), F.col("o_orderkey").alias("l_orderkey"))
+    quarter = F.floor(F.col("l_orderkey") / 4).cast("long")
+    nodes = orders.select("doc_id", quarter.alias("node_id"))
+    edges = table(spark, sf_dir, "lineitem").join(orders, "l_orderkey").select("doc_id", (quarter + F.when(F.col("l_returnflag") == "R", 1).otherwise(0)).alias("dst"))
+    return scoring.graph_error_rates(nodes, edges, "doc_id")
+
+
+@query("""SELECT a.doc_id, CASE WHEN a.n_chars > 300 AND q.quality = 1 THEN len(string_split(text, chr(10))) = a.n_chars // 200 + 1 END AS equivalent, CASE WHEN a.n_chars > 300 AND q.quality = 1 THEN 'scored' ELSE 'not_applicable: not_rendered' END AS status
+ FROM documents a LEFT JOIN labels q USING (doc_id)""")
+def render_equivalence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line counts stand in for pages of the gold rendering, length for those of the candidate's."""
+    docs = table(spark, sf_dir, "documents")
+    gold = docs.select("doc_id", F.when(F.col("n_chars") > 300, "rendered").otherwise("failed").alias("status"), F.size(F.split("text", "\n")).alias("page_count"))
+    labels = table(spark, sf_dir, "labels").where(F.col("quality") == 1).select("doc_id")
+    cand = docs.join(labels, "doc_id").select("doc_id", F.lit("rendered").alias("status"), (F.floor(F.col("n_chars") / 200) + 1).alias("page_count"))
+    return scoring.render_equivalence(gold, cand, "doc_id")
+
+
+@query("SELECT doc_id, CASE WHEN g > 0 THEN round(least(g, c) / g, 6) END AS paragraph_recall, CASE WHEN t > 0 THEN 0.0::DOUBLE END AS table_recall FROM (SELECT doc_id, len(" + LINES + ") AS g, len(list_filter(" + LINES + ", lambda x: NOT contains(x, ' | '))) AS c, len(list_filter(" + LINES + ", lambda x: contains(x, ' | '))) AS t FROM documents)")
+def baseline_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recall of paragraphs and of table-like lines after tables were dropped."""
+    p = T.paragraphs(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", p.alias("p"))
+    tables = F.filter("p", lambda x: F.contains(x, F.lit(" | ")))
+    counts = docs.select("doc_id", F.size("p").alias("gold_paragraph"), (F.size("p") - F.size(tables)).alias("cand_paragraph"), F.size(tables).alias("gold_table"), F.lit(0).alias("cand_table"))
+    return scoring.baseline_row(counts, "doc_id", ["paragraph", "table"])
