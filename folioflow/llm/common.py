@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -50,8 +51,10 @@ class Scratch:
 
     def collect_garbage(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of jobs whose results are written."""
-        gc.collect()
-        self.spark._jvm.System.gc()
+        for _ in range(2):  # the cleaner acts on what the first pass has found unreachable
+            gc.collect()
+            self.spark._jvm.System.gc()
+            time.sleep(0.2)
 
 
 def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> None:
