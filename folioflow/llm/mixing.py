@@ -26,6 +26,8 @@ from .common import WORD, Scratch
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SLOTS = 256
+#: more sources than this are joined by a shuffle
+BROADCAST_SOURCES = 100_000
 #: words of the budget that the dynamic programming decides, where shorter documents allow it
 MARGIN = 20_000
 
@@ -159,5 +161,6 @@ def mix(docs: DataFrame, seed: int = 9, weights: tuple[float, ...] = WEIGHTS, mo
     for sure in settled:
         chosen = chosen.unionByName(sure)
     taken = (F.coalesce("rounds", F.lit(0)) + F.col("more")) * F.col("size")
-    out = chosen.join(F.broadcast(per_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left")
+    near = F.broadcast if len(source_rows) <= BROADCAST_SOURCES else (lambda df: df)
+    out = chosen.join(near(per_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left")
     return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
