@@ -7,7 +7,7 @@ rolling window of `block` words; (2) hits are extended: the `window`-word runs a
 in a document with a smaller id.
 
 Both exchanges move packed arrays rather than rows: a map task sends each distinct hash once per chunk of
-about 4 MB of text, so a passage found in a third of all documents costs its bucket one entry a chunk.  The
+about 2 MB of text, so a passage found in a third of all documents costs its bucket one entry a chunk.  The
 first exchange moves 6 bytes a word; it is only a filter, false hits are rejected by the second.  Buckets
 follow the size of the corpus, so a bucket's arrays stay about as large at any scale.
 
@@ -18,6 +18,7 @@ Rows that repeat an id are all kept; equal ids never remove each other.
 from __future__ import annotations
 
 import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from .hashing import Chunk, chunks, groups
 
 _MANY, _BLOCK = 0x7FFF, 0x8000
 _PACKED = "bucket int, kind int, ids binary, body binary"
-_REPLY = "doc_id long, body binary"
+_REPLY = "target int, ids binary, sizes binary, body binary"
 
 
 def _rows(rows: list[tuple], names: tuple[str, ...], kinds: tuple[pa.DataType, ...]) -> pa.RecordBatch:
@@ -50,6 +51,26 @@ def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndar
         yield int(d), part
 
 
+def _reply(found: list[tuple[int, bytes]], targets: int) -> pd.DataFrame:
+    """Replies to documents, packed by where they go: a row for each target rather than for each document."""
+    found.sort(key=lambda x: x[0] % targets)
+    rows = []
+    for target, part in itertools.groupby(found, key=lambda x: x[0] % targets):
+        ids, bodies = zip(*part)
+        rows.append((target, np.array(ids, np.int64).tobytes(), np.array([len(b) for b in bodies], np.int64).tobytes(), b"".join(bodies)))
+    return pd.DataFrame(rows, columns=["target", "ids", "sizes", "body"])
+
+
+def _unpack(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One row for each document with all that came for it."""
+    hits: dict[int, list[bytes]] = {}
+    for ids, sizes, body in zip(pdf["ids"], pdf["sizes"], pdf["body"]):
+        ends = np.cumsum(np.frombuffer(sizes, np.int64))
+        for i, a, b in zip(np.frombuffer(ids, np.int64).tolist(), [0, *ends.tolist()], ends.tolist()):
+            hits.setdefault(i, []).append(body[a:b])
+    return pd.DataFrame([(i, b"".join(x)) for i, x in hits.items()], columns=["doc_id", "hits"])
+
+
 def _send_probes(block: int, buckets: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in chunks(batches):
@@ -77,7 +98,7 @@ def _send_probes(block: int, buckets: int):
     return send
 
 
-def _match_probes(pdf: pd.DataFrame) -> pd.DataFrame:
+def _match_probes(pdf: pd.DataFrame, targets: int) -> pd.DataFrame:
     """A probe hits if another document has the hash and at least one of them has it as a block."""
     out = [(int(np.frombuffer(i, np.int64)[0]), b) for k, i, b in zip(pdf["kind"], pdf["ids"], pdf["body"]) if k == 1]
     sent = pdf[pdf["kind"] == 0]
@@ -94,7 +115,7 @@ def _match_probes(pdf: pd.DataFrame) -> pd.DataFrame:
         ids = [np.frombuffer(x, np.int64) for x in sent["ids"]]
         place = row[hit].astype(np.int64) << 16 | (entry[hit] & _MANY)
         out += [(int(ids[p >> 16][p & 0xFFFF]), x.tobytes()) for p, x in _by_doc(place, low[hit])]
-    return pd.DataFrame(out, columns=["doc_id", "body"])
+    return _reply(out, targets)
 
 
 def _send_windows(window: int, block: int, buckets: int):
@@ -109,7 +130,7 @@ def _send_windows(window: int, block: int, buckets: int):
             edges = np.searchsorted(chunk.doc[at], np.arange(len(ids) + 1))
             for d, hits in enumerate(table["hits"].to_pylist()):
                 a, b = edges[d], edges[d + 1]
-                mark[1 + at[a:b]] = np.isin(low[a:b], np.frombuffer(b"".join(hits), np.uint32))
+                mark[1 + at[a:b]] = np.isin(low[a:b], np.frombuffer(hits, np.uint32))
             mark = np.cumsum(mark)
             start = chunk.windows(window)
             start = start[mark[start + window - block + 1] > mark[start]]
@@ -137,7 +158,7 @@ def _send_windows(window: int, block: int, buckets: int):
     return send
 
 
-def _match_windows(pdf: pd.DataFrame) -> pd.DataFrame:
+def _match_windows(pdf: pd.DataFrame, targets: int) -> pd.DataFrame:
     """To each document the runs that also start in a document with a smaller id."""
     out = [(int(np.frombuffer(i, np.int64)[0]), b) for k, i, b in zip(pdf["kind"], pdf["ids"], pdf["body"]) if k == 1]
     sent = pdf[pdf["kind"] == 0]
@@ -152,7 +173,7 @@ def _match_windows(pdf: pd.DataFrame) -> pd.DataFrame:
         begin = np.flatnonzero(new)
         gone = docs > np.repeat(docs[begin], np.diff(np.concatenate((begin, [len(h)]))))
         out += [(d, x.tobytes()) for d, x in _by_doc(docs[gone], h[gone])]
-    return pd.DataFrame(out, columns=["doc_id", "body"])
+    return _reply(out, targets)
 
 
 def _cut(window: int, keep_text: bool):
@@ -168,7 +189,7 @@ def _cut(window: int, keep_text: bool):
                 text, n, spans, gone = chunk.canon[d], int(chunk.counts[d]), [], 0
                 own = start[edges[d] : edges[d + 1]]
                 if hits and len(own):
-                    own = own[np.isin(chunk.ranges(own, window), np.frombuffer(b"".join(hits), np.uint64))] - chunk.first[d]
+                    own = own[np.isin(chunk.ranges(own, window), np.frombuffer(hits, np.uint64))] - chunk.first[d]
                     change = np.zeros(n + 1, np.int64)
                     np.add.at(change, own, 1)
                     np.add.at(change, own + window, -1)
@@ -196,12 +217,16 @@ def substring_dedup(docs: DataFrame, window: int = 50, keep_text: bool = False)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
     size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    buckets = max(4 * partitions(spark), size // (8 << 20))
-    gather = lambda df: df.groupBy("doc_id").agg(F.collect_list("body").alias("hits"))
+    buckets = max(2 * partitions(spark), size // (32 << 20))
+
+    def exchange(packed: DataFrame, match, name: str) -> DataFrame:
+        replies = packed.groupBy("bucket").applyInPandas(lambda pdf: match(pdf, buckets), _REPLY)
+        return scratch.save(replies.groupBy("target").applyInPandas(_unpack, "doc_id long, hits binary"), name)
+
     probes = known.mapInArrow(_send_probes(block, buckets), _PACKED)
-    hits = scratch.save(probes.groupBy("bucket").applyInPandas(_match_probes, _REPLY), "hits")
-    runs = known.join(gather(hits), "doc_id").mapInArrow(_send_windows(window, block, buckets), _PACKED)
-    gone = scratch.save(runs.groupBy("bucket").applyInPandas(_match_windows, _REPLY), "gone")
+    hits = exchange(probes, _match_probes, "hits")
+    runs = known.join(hits, "doc_id").mapInArrow(_send_windows(window, block, buckets), _PACKED)
+    gone = exchange(runs, _match_windows, "gone")
     scratch.drop(hits)
     cut, schema = _cut(window, keep_text)
-    return docs.join(gather(gone), "doc_id", "left").mapInArrow(cut, schema)
+    return docs.join(gone, "doc_id", "left").mapInArrow(cut, schema)
