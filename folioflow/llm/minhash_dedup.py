@@ -206,8 +206,9 @@ def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     sketch = classes.select("v", "sketch")
 
     def texts_of(ids: DataFrame) -> DataFrame:
-        """Texts that are needed; only these are moved more than once."""
-        return scratch.save(docs.join(ids.distinct(), "doc_id").dropDuplicates(), "texts")
+        """Texts that are needed; only these are moved more than once.  A merge join at any size, for the number of
+        ids follows the corpus."""
+        return scratch.save(docs.join(ids.distinct().hint("merge"), "doc_id").dropDuplicates(), "texts")
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         """Of (a, b), those linked on full sets."""
