@@ -5,19 +5,27 @@ Lines are trimmed and parsed into a tree of fixed depth: token count (pieces bet
 it there; all others are variable fields and become `<*>`.  The line with its variable fields generalised is its
 template.
 
-A template is boilerplate when at least `min_docs` documents have it, at least `fixed` of its tokens are fixed, and
-it stands in varied surroundings: (line before, line after) take at least `min_docs` values and at least a
-`varied` share of its documents.  So lines of copied documents, which have the same neighbours in every copy,
-stay for the near-dedup that judges whole documents.  All lines of boilerplate templates are dropped.
+A template recurs when at least `min_docs` documents have it and at least `fixed` of its tokens are fixed.  It is
+boilerplate when it recurs in varied surroundings, by either of two tests:
 
-A line that a document repeats counts once for it, with the neighbours of its first place.  Lines of fewer than
+* (line before, line after) take at least `min_docs` values and at least a `varied` share of its documents;
+* the whole run of recurring lines that it stands in, blank lines aside, has at least `min_docs` different
+  surroundings (last line of its own that the document has before it, first one after it), by documents of which
+  lines of their own make up half the tokens or more.  So inner and outer lines of a block are judged alike,
+  and copies, which add no surroundings, cannot outvote the rest.
+
+Copied documents consist of recurring lines, so they never speak for a template by the second test, and have the same
+neighbours in every copy by the first; their lines stay for the near-dedup that judges whole documents.  All lines of
+boilerplate templates are dropped.
+
+A line that a document repeats counts once for it, with the surroundings of its first place.  Lines of fewer than
 `min_tokens` tokens are never dropped.  Null texts stay null with 0 lines; an empty text is one empty line.
 Rows that repeat both id and text count as one document, and all of them lose the same lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch
@@ -37,21 +45,22 @@ def _keys(ls: str, depth: int) -> Column:
     def one(x: Column, i: Column) -> Column:
         tokens = F.split(x, " ")
         leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
-        return F.struct(i.alias("p"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(1), x).alias("k2"), leaf.alias("leaf"), F.size(tokens).alias("size"), F.xxhash64(F.when(i > 0, F.get(ls, i - 1)), F.get(ls, i + 1)).alias("around"))
+        return F.struct((x == "").alias("blank"), i.alias("p"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(1), x).alias("k2"), leaf.alias("leaf"), F.size(tokens).alias("size"), F.xxhash64(F.when(i > 0, F.get(ls, i - 1)), F.get(ls, i + 1)).alias("around"))
 
     return F.transform(ls, one)
 
 
 def line_places(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: int) -> DataFrame:
-    """One row for each document and distinct masked line: leaf, k1, k2, first surroundings, all places."""
+    """One row for each document and distinct masked line that is not blank: leaf (null for a short line), k1, k2,
+    token count, first surroundings, all places."""
     found = docs.select("doc_id", F.xxhash64("text").alias("_t"), masked(F.col("text")).alias("ls")).select("doc_id", "_t", F.inline_outer(_keys("ls", depth)))
-    found = found.where(F.col("size") >= min_tokens).groupBy("doc_id", "_t", "leaf", "k1", "k2")
+    found = found.where(~F.col("blank")).withColumn("leaf", F.when(F.col("size") >= min_tokens, F.col("leaf"))).groupBy("doc_id", "_t", "leaf", "k1", "k2", "size")
     return scratch.save(found.agg(F.min_by("around", "p").alias("around"), F.collect_list("p").alias("places")), "places")
 
 
 def boilerplate_lines(docs: DataFrame, places: DataFrame, scratch: Scratch, depth: int = 3, min_docs: int = 10, fixed: float = 0.6, varied: float = 0.5) -> DataFrame:
     """(k1, k2, template) of the masked lines whose template is boilerplate."""
-    met = places.groupBy("leaf", "k1", "k2", "around").agg(F.count(F.lit(1)).alias("n"))
+    met = places.where(F.col("leaf").isNotNull()).groupBy("leaf", "k1", "k2", "around").agg(F.count(F.lit(1)).alias("n"))
     kinds = scratch.save(met.groupBy("leaf", "k1", "k2").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_around")), "kinds")
     leaves = kinds.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
     # Text moves for distinct lines only, and stays for those in a frequent leaf.
@@ -70,9 +79,30 @@ def boilerplate_lines(docs: DataFrame, places: DataFrame, scratch: Scratch, dept
         F.first("n_around").alias("n_around"),
     )
     parts = scratch.save(parts.where(F.col("firm") >= fixed * F.col("size")), "parts")
-    whole = parts.groupBy("leaf", "template").agg(F.sum("n_docs").alias("docs"), F.sum("n_around").alias("arounds"))
-    often = whole.where((F.col("docs") >= min_docs) & (F.col("arounds") >= min_docs) & (F.col("arounds") >= varied * F.col("docs")))
-    return scratch.save(parts.join(often, ["leaf", "template"]).select("k1", "k2", "template"), "boilerplate")
+    whole = parts.groupBy("leaf", "template").agg(F.sum("n_docs").alias("docs"), F.sum("n_around").alias("arounds")).where(F.col("docs") >= min_docs)
+    recurring = parts.join(whole, ["leaf", "template"]).select("k1", "k2", "leaf", "template", F.xxhash64("leaf", "template").alias("t"), "docs", "arounds")
+    recurring = scratch.save(recurring, "recurring")
+    scratch.drop(kept, parts)
+    often = run_surroundings(places, recurring).groupBy("t").agg(F.count(F.lit(1)).alias("runs"))
+    judged = recurring.join(often, "t", "left")
+    alone = (F.col("arounds") >= min_docs) & (F.col("arounds") >= varied * F.col("docs"))
+    return scratch.save(judged.where(alone | (F.col("runs") >= min_docs)).select("k1", "k2", "template"), "boilerplate")
+
+
+def run_surroundings(places: DataFrame, recurring: DataFrame) -> DataFrame:
+    """Distinct (t, around): surroundings of the runs of recurring lines that template t stands in, by documents that
+    have at least half their tokens in lines of their own."""
+    lines = places.join(recurring.select("k1", "k2", "t"), ["k1", "k2"], "left").select("doc_id", "_t", "k1", "k2", "size", "t", F.explode("places").alias("p"))
+    document = Window.partitionBy("doc_id", "_t")
+    own = F.when(F.col("t").isNull(), F.col("k1"))
+    lines = lines.select(
+        "*",
+        F.last(own, ignorenulls=True).over(document.orderBy("p")).alias("before"),
+        F.last(own, ignorenulls=True).over(document.orderBy(F.desc("p"))).alias("after"),
+        (2 * F.sum(F.when(F.col("t").isNull(), F.col("size")).otherwise(0)).over(document) >= F.sum("size").over(document)).alias("speaks"),
+    )
+    first = lines.where(F.col("speaks") & F.col("t").isNotNull()).groupBy("doc_id", "_t", "t").agg(F.min_by(F.xxhash64(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))), "p").alias("around"))
+    return first.select("t", "around").distinct()
 
 
 def key_columns(line: str) -> list[Column]:

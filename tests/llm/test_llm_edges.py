@@ -136,6 +136,18 @@ def test_templates(documents):
     assert template_lines.drop_lines(documents((1, "x")).limit(0)).count() == 0
 
 
+def test_blocks_of_boilerplate_lines(documents):
+    """A header and a footer of two lines go, although each line has a fixed neighbour, and whatever is copied."""
+    head, foot = f"{text(6, 800)}\n{text(6, 801)}", f"{text(5, 802)}\n{text(5, 803)}"
+    rows = [(i, f"{head}\n{text(30, i)}\n\n{text(30, 200 + i)}\n{foot}") for i in range(14)]
+    rows += [(100 + i, f"{head}\n{text(30, 500)}\n{text(30, 501)}\n{text(30, 502)}\n{foot}") for i in range(40)]
+    rows += [(200 + i, "\n".join(text(8, 700 + k) if k != i % 20 else text(8, 1000 + i) for k in range(20))) for i in range(60)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in template_lines.drop_lines(documents(*rows)).collect()}
+    assert all(got[i] == (f"{text(30, i)}\n\n{text(30, 200 + i)}", 4) for i in range(14))
+    assert all(got[100 + i] == (f"{text(30, 500)}\n{text(30, 501)}\n{text(30, 502)}", 4) for i in range(40))
+    assert all(got[200 + i] == (dict(rows)[200 + i], 0) for i in range(60))
+
+
 def test_language_edges(documents):
     docs = documents((1, "the cat and the dog " * 20), (2, "le chat et les chiens " * 20))
     docs = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("fr"))
