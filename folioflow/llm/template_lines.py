@@ -18,8 +18,8 @@ Copied documents consist of recurring lines, so they never speak for a template
 neighbours in every copy by the first; their lines stay for the near-dedup that judges whole documents.  All lines of
 boilerplate templates are dropped.
 
-A line that a document repeats counts once for it, with the surroundings of its first place.  Lines of fewer than
-`min_tokens` tokens are never dropped.  Null texts stay null with 0 lines; an empty text is one empty line.
+A line that a document repeats counts once for it, with the surroundings of its first place.  Short lines are judged
+like others; blank ones are never dropped.  Null texts stay null with 0 lines; an empty text is one empty line.
 Rows that repeat both id and text count as one document, and all of them lose the same lines.
 """
 
@@ -109,7 +109,7 @@ def key_columns(line: str) -> list[Column]:
     return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), F.col(line)).alias("k2")]
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, min_tokens: int = 4, **settings) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, min_tokens: int = 1, **settings) -> DataFrame:
     """`docs` with its text lessened by boilerplate lines, and n_lines and n_dropped added.
 
     Columns named n_lines and n_dropped are replaced; all others pass through.

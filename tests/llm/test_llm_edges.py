@@ -148,6 +148,14 @@ def test_blocks_of_boilerplate_lines(documents):
     assert all(got[200 + i] == (dict(rows)[200 + i], 0) for i in range(60))
 
 
+def test_short_boilerplate_lines(documents):
+    rows = [(i, f"{text(9, i)}\nAll rights reserved.\n\n{text(9, 300 + i)}\nEnd") for i in range(12)]
+    rows += [(50 + i, f"{text(9, 600)}\ncopied words\n{text(9, 601)}") for i in range(15)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in template_lines.drop_lines(documents(*rows)).collect()}
+    assert all(got[i] == (f"{text(9, i)}\n\n{text(9, 300 + i)}", 2) for i in range(12))
+    assert all(got[50 + i] == (dict(rows)[50 + i], 0) for i in range(15))
+
+
 def test_language_edges(documents):
     docs = documents((1, "the cat and the dog " * 20), (2, "le chat et les chiens " * 20))
     docs = docs.withColumn("lang", F.when(F.col("doc_id") == 1, "en").otherwise("fr"))
