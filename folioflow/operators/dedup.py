@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: sentinels of the screening ledger (fixed values)
@@ -27,22 +27,30 @@ def overlap(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return shared.agg(F.count(F.lit(1)).alias("shared"), (F.count(F.lit(1)) == 0).alias("contamination_free"))
 
 
-def near_duplicate_pairs(items: DataFrame, item: str, feature: str, least: float = 0.8, most_sharing: int = 64) -> DataFrame:
-    """Jaccard similarity of feature sets for pairs that share a feature.
+def near_duplicate_pairs(items: DataFrame, item: str, feature: str, least: float = 0.8) -> DataFrame:
+    """Jaccard similarity of feature sets for all pairs that reach `least` (above 0).
 
-    Features shared by more than `most_sharing` items do not block pairs, since they would give quadratically many,
-    but they count in the similarity of pairs that other features bring together.
+    Items of equal sets are one class, compared once by its first member and spread over its members at the end.
+    Classes are blocked by prefixes: of two sets that reach `least`, each holds one of the other's rarest
+    n - ceil(least * n) + 1 features among its own, in one order of all features, so no pair is missed.
     """
-    own = items.select(F.col(item).alias("i"), F.col(feature).alias("f")).distinct()
-    size = own.groupBy("i").agg(F.count(F.lit(1)).alias("n"))
-    rare = own.groupBy("f").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= most_sharing)).select("f")
-    blocked = own.join(rare, "f")
-    pairs = blocked.select("f", F.col("i").alias("a")).join(blocked.select("f", F.col("i").alias("b")), "f").where(F.col("a") < F.col("b")).select("a", "b").distinct()
-    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= least * F.greatest("na", "nb"))
-    left, right = own.toDF("a", "f"), own.toDF("b", "f")
+    own = items.select(F.col(item).alias("i"), F.col(feature).alias("f")).where(F.col("i").isNotNull() & F.col("f").isNotNull()).distinct()
+    keys = own.groupBy("i").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("f"))), 256).alias("k"), F.count(F.lit(1)).alias("n"))
+    classes = keys.groupBy("k").agg(F.min("i").alias("c"), F.first("n").alias("n"))
+    members = keys.select("i", "k").join(classes.select("k", "c"), "k").select("c", "i")
+    sets = own.withColumnRenamed("i", "c").join(classes.select("c", "n"), "c")
+    ranked = sets.join(sets.groupBy("f").agg(F.count(F.lit(1)).alias("often")), "f")
+    place = F.row_number().over(Window.partitionBy("c").orderBy("often", "f"))
+    prefix = ranked.withColumn("place", place).where((F.col("place") <= F.col("n") - F.ceil(least * F.col("n") - 1e-9) + 1) & (F.col("often") > 1)).select("c", "f", "n")
+    reach = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb"))
+    sized = prefix.toDF("a", "f", "na").join(prefix.toDF("b", "f", "nb"), "f").where(reach).select("a", "b", "na", "nb").distinct()
+    left, right = sets.select(F.col("c").alias("a"), "f"), sets.select(F.col("c").alias("b"), "f")
     both = sized.join(left, "a").join(right, ["b", "f"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     score = F.col("shared") / (F.col("na") + F.col("nb") - F.col("shared"))
-    return both.select("a", "b", F.round(score, 6).alias("jaccard")).where(score >= least)
+    near = both.where(score >= least).select(F.col("a").alias("ca"), F.col("b").alias("cb"), F.round(score, 6).alias("jaccard"))
+    across = near.join(members.toDF("ca", "x"), "ca").join(members.toDF("cb", "y"), "cb").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "jaccard")
+    within = members.toDF("c", "a").join(members.toDF("c", "b"), "c").where(F.col("a") < F.col("b")).select("a", "b", F.lit(1.0).alias("jaccard"))
+    return across.unionByName(within)
 
 
 def ledger(items: DataFrame, meta: DataFrame, key: str, digest: str = "sha256") -> DataFrame:

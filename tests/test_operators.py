@@ -226,3 +226,13 @@ def test_timing(spark):
     assert (r.n, r.mean, r.median) == (2, 2.0, 2.0)
 
 
+
+
+def test_near_duplicate_pairs_of_large_groups(spark):
+    """70 exact copies, 70 near copies of them whose common lines all exceed 64 documents, and a bystander."""
+    base = [f"line {k}" for k in range(10)]
+    sets = {i: set(base) for i in range(70)} | {100 + i: set(base[:9]) | {f"own {i}"} for i in range(70)} | {300: {"line 0", "x"}}
+    rows = [(i, f) for i, fs in sets.items() for f in fs]
+    found = dedup.near_duplicate_pairs(spark.createDataFrame(rows, "i long, f string"), "i", "f").collect()
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(found) == len(want) and {(r.a, r.b): r.jaccard for r in found} == want
