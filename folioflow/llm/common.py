@@ -67,24 +67,28 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int = 64) -> DataFrame:
+def connected_components(scratch: Scratch, edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(v, comp): comp is the smallest vertex that v reaches over the edges; isolated vertices have no row.
 
-    Min-label spreading with pointer jumping, one written table a round.  Hubs cost no more than their
-    edges: minima are combined map-side and the joins are plain sort-merge joins that AQE may split.
+    Alternating large-star and small-star steps, one written table a round, until every edge leads from a vertex to
+    the smallest of its component: about log(n) rounds on a path of n vertices in any order.  No step adds edges.
+    Hubs cost no more than their edges: minima are combined map-side and the joins are plain sort-merge joins that
+    AQE may split.
     """
-    pairs = edges.where(F.col(a) != F.col(b)).select(F.col(a).alias("s"), F.col(b).alias("d"))
-    both = scratch.save(pairs.unionByName(pairs.select(F.col("d").alias("s"), F.col("s").alias("d"))).distinct(), "edges")
-    labels = scratch.save(both.groupBy(F.col("s").alias("v")).agg(F.min("d").alias("m")).select("v", F.least("v", "m").alias("comp"), F.lit(True).alias("moved")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("v").alias("d"), "comp"), "d").groupBy(F.col("s").alias("v")).agg(F.min("comp").alias("m"))
-        lower = labels.select("v", F.col("comp").alias("old")).join(near, "v").select("v", "old", F.least("old", "m").alias("comp"))
-        target = labels.select(F.col("v").alias("comp"), F.col("comp").alias("onward"))
-        jumped = lower.join(target, "comp", "left").select("v", F.coalesce(F.least("onward", "comp"), "comp").alias("comp"), "old")
-        new = scratch.save(jumped.select("v", "comp", (F.col("comp") != F.col("old")).alias("moved")), "labels")
-        scratch.drop(labels)
-        labels = new
-        if labels.where("moved").isEmpty():
-            scratch.drop(both)
-            return labels.drop("moved")
-    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    # every edge leads from its larger vertex s to its smaller one d
+    edges = scratch.save(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("s"), F.least(a, b).alias("d")).distinct(), "edges")
+    while True:
+        both = edges.unionByName(edges.select(F.col("d").alias("s"), F.col("s").alias("d")))
+        least = both.groupBy("s").agg(F.min("d").alias("m")).select("s", F.least("s", "m").alias("m"))
+        # large star: the larger neighbours of a vertex move to its smallest one
+        large = edges.select(F.col("d").alias("s"), F.col("s").alias("v")).join(least, "s").select(F.col("v").alias("s"), F.col("m").alias("d")).distinct()
+        large = scratch.save(large, "large")
+        # small star: a vertex and its smaller neighbours move to the smallest of them
+        lower = large.groupBy("s").agg(F.min("d").alias("m"))
+        moved = large.join(lower, "s").where(F.col("d") != F.col("m")).select(F.col("d").alias("s"), F.col("m").alias("d"))
+        new = scratch.save(moved.unionByName(lower.select("s", F.col("m").alias("d"))).distinct(), "edges")
+        scratch.drop(edges, large)
+        edges = new
+        ends = edges.select("s", F.lit(1).alias("out"), F.lit(0).alias("in")).unionByName(edges.select(F.col("d").alias("s"), F.lit(0).alias("out"), F.lit(1).alias("in")))
+        if ends.groupBy("s").agg(F.sum("out").alias("out"), F.max("in").alias("in")).where((F.col("out") > 1) | ((F.col("out") > 0) & (F.col("in") > 0))).isEmpty():
+            return edges.toDF("v", "comp").unionByName(edges.select(F.col("d").alias("v"), F.col("d").alias("comp")).distinct())

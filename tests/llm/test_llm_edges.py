@@ -111,6 +111,18 @@ def test_components_of_a_long_path(spark):
     assert got == {i: 0 for i in range(41)} | {100: 100, 101: 100}
 
 
+@pytest.mark.parametrize("order", ["shuffled", "descending"])
+def test_components_of_paths_in_any_order(spark, order):
+    ids = list(range(1000))
+    if order == "shuffled":
+        random.Random(3).shuffle(ids)
+    else:
+        ids[1:] = ids[:0:-1]
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(2001, 2000)], "a long, b long")
+    got = connected_components(Scratch(spark), edges).collect()
+    assert len(got) == 1002 and {r.v: r.comp for r in got} == {i: 0 for i in range(1000)} | {2000: 2000, 2001: 2000}
+
+
 def test_decontamination_edges(documents, spark):
     item = text(30, 20)
     bench = spark.createDataFrame([(1, item), (2, "two words"), (3, None), (4, ""), (5, text(12, 21))], "item_id long, text string")
