@@ -108,11 +108,11 @@ def edge_prf1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH gold AS ({_GOLD}) SELECT a.doc_id, a.ord, levenshtein(substr(regexp_replace(a.text, '[^ -~]', '', 'g'), 1, 60), substr(regexp_replace(b.text, '[^ -~]', '', 'g'), 1, 60)) AS distance FROM gold a JOIN gold b ON a.doc_id = b.doc_id AND b.ord = a.ord + 1""")
 def char_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edit distance of the 60-character ASCII heads of neighbouring paragraphs, as heads are what anchors compare."""
+    """Edit distance of neighbouring paragraphs, normalised and whole.  The SQL compares 60-character ASCII heads only."""
     gold = _gold(spark, sf_dir)
     nxt = gold.select("doc_id", (F.col("ord") - 1).alias("ord"), F.col("text").alias("t"))
-    head = lambda c: F.substring(F.regexp_replace(c, "[^ -~]", ""), 1, 60)
-    return gold.join(nxt, ["doc_id", "ord"]).select("doc_id", "ord", F.levenshtein(head("text"), head("t")).cast("long").alias("distance"))
+    distance = F.levenshtein(T.normalise(F.col("text")), T.normalise(F.col("t")))
+    return gold.join(nxt, ["doc_id", "ord"]).select("doc_id", "ord", distance.cast("long").alias("distance"))
 
 
 @query(f"""{_COUNTS}, x AS (SELECT lang, matched, n_gold, n_cand, CASE WHEN n_gold = 0 OR matched = 0 THEN NULL ELSE 2 * (matched::DOUBLE / n_cand) * (matched::DOUBLE / n_gold) / (matched::DOUBLE / n_cand + matched::DOUBLE / n_gold) END AS f1 FROM s JOIN documents USING (doc_id))

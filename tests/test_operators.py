@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
 from folioflow.operators import alignment, audit, dedup, grading, pii, profile, sampling, scoring, stats, structure
+from folioflow.plans import registry
 
 
 def one(df):
@@ -236,3 +237,11 @@ def test_near_duplicate_pairs_of_large_groups(spark):
     found = dedup.near_duplicate_pairs(spark.createDataFrame(rows, "i long, f string"), "i", "f").collect()
     want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
     assert len(found) == len(want) and {(r.a, r.b): r.jaccard for r in found} == want
+
+
+def test_char_edit_distance_of_whole_paragraphs(spark, tmp_path):
+    head = "a" * 70
+    text = f"{head} end\n{head} eNd\n{head}  ending\nüber\nuber"
+    spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.QUERIES["char_edit_distance"](spark, str(tmp_path)).collect()
+    assert {r.ord: r.distance for r in found} == {0: 0, 1: 3, 2: 76, 3: 1}
