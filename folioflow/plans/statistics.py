@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from .base import query, table
 
+#: replicates of the SQL; the queries take stats.REPLICATES
 REPS = 200
 _U = "('0x' || substr(md5(concat_ws('|', '20260828', rep::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT"
 
@@ -29,7 +30,7 @@ _BOOT = f"""WITH {_LAB}, g AS (SELECT lang, list(quality ORDER BY doc_id, qualit
  round(CASE WHEN n < 2 THEN NULL WHEN lo = hi THEN CASE WHEN lo = 1 THEN 1 ELSE 1 - pow(0.025::DOUBLE, 1.0 / n) END ELSE ms[{int(0.975 * REPS)}] END, 6) AS high,
  CASE WHEN n < 2 THEN 'undefined' WHEN lo = hi THEN 'exact_boundary' ELSE 'percentile' END AS method FROM b LEFT JOIN s USING (lang)""")
 def bootstrap_ci_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_ci(_labelled(spark, sf_dir), ["lang"], "quality", "doc_id", replicates=REPS)
+    return stats.bootstrap_ci(_labelled(spark, sf_dir), ["lang"], "quality", "doc_id")
 
 
 @query("""SELECT event_type, n, 1.0::DOUBLE AS mean, round(pow(0.025::DOUBLE, 1.0 / n), 6) AS low, 1.0::DOUBLE AS high, 'exact_boundary' AS method FROM (SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type) WHERE n >= 2""")
@@ -47,7 +48,7 @@ _TEST = f"""g AS (SELECT grp, list(d ORDER BY doc_id) AS ds FROM d WHERE d IS NO
 
 @query(f"WITH {_LAB}, d AS (SELECT lang AS grp, doc_id, quality - toxic AS d FROM lab), {_TEST} SELECT grp AS lang, n, difference, p FROM t")
 def paired_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.permutation_test(_labelled(spark, sf_dir), ["lang"], "quality", "toxic", "doc_id", replicates=REPS)
+    return stats.permutation_test(_labelled(spark, sf_dir), ["lang"], "quality", "toxic", "doc_id")
 
 
 @query(f"""WITH {_LAB}, s AS (SELECT doc_id, 'quality' AS system, quality AS v FROM lab UNION ALL SELECT doc_id, 'safe', 1 - toxic FROM lab UNION ALL SELECT doc_id, 'toxic', toxic FROM lab),
@@ -56,7 +57,7 @@ def paired_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairwise_system_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _labelled(spark, sf_dir).withColumn("safe", 1 - F.col("toxic"))
     long = wide.unpivot(["doc_id"], ["quality", "safe", "toxic"], "system", "value")
-    return stats.permutation_test(stats.system_pairs(long, ["doc_id"], "system", "value"), ["system_a", "system_b"], "value_a", "value_b", "doc_id", replicates=REPS)
+    return stats.permutation_test(stats.system_pairs(long, ["doc_id"], "system", "value"), ["system_a", "system_b"], "value_a", "value_b", "doc_id")
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,5 +1,6 @@
 """Operators on small vectors."""
 
+import hashlib
 import random
 
 import pytest
@@ -245,3 +246,20 @@ def test_char_edit_distance_of_whole_paragraphs(spark, tmp_path):
     spark.createDataFrame([(1, text)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     found = registry.QUERIES["char_edit_distance"](spark, str(tmp_path)).collect()
     assert {r.ord: r.distance for r in found} == {0: 0, 1: 3, 2: 76, 3: 1}
+
+
+def test_registered_statistics_take_all_replicates(spark, tmp_path):
+    """Against plain resampling, 2,000 times."""
+    rng = random.Random(8)
+    rows = [(i, rng.randint(0, 1), rng.randint(0, 1)) for i in range(15)]
+    spark.createDataFrame([(i, "en") for i, _, _ in rows], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    n, u = len(rows), [[int(hashlib.md5(f"20260828|{rep}|{k}".encode()).hexdigest()[:8], 16) for k in range(len(rows))] for rep in range(2000)]
+    means = sorted(sum(rows[x % n][1] for x in xs) / n for xs in u)
+    share = lambda ds: round(sum(abs(sum(d if x % 2 == 0 else -d for d, x in zip(ds, xs))) >= abs(sum(ds)) for xs in u) / 2000, 6)
+    run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
+    ci = run("bootstrap_ci_by_group")[0]
+    assert (ci.low, ci.high) == (round(means[50], 6), round(means[1949], 6))
+    assert run("paired_permutation_test")[0].p == share([q - t for _, q, t in rows])
+    pairs = {(r.system_a, r.system_b): r.p for r in run("pairwise_system_tests")}
+    assert pairs == {("quality", "safe"): share([q + t - 1 for _, q, t in rows]), ("quality", "toxic"): share([q - t for _, q, t in rows]), ("safe", "toxic"): share([1 - 2 * t for _, _, t in rows])}
