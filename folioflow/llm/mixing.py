@@ -28,7 +28,7 @@ WEIGHTS = (5.0, 2.0, 1.0)
 SLOTS = 256
 #: more sources than this are joined by a shuffle
 BROADCAST_SOURCES = 100_000
-#: words of the budget that the dynamic programming decides, where shorter documents allow it
+#: words of the budget that the dynamic programming decides at least; three of the longest document where one is longer
 MARGIN = 20_000
 
 
@@ -60,11 +60,12 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
     if not len(lengths) or budget <= 0 or budget >= total:
         return counts.copy() if len(lengths) and budget >= total else np.zeros_like(counts)
     # what the table below can hold as a whole is not dealt out first
-    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > MARGIN else np.zeros_like(counts)
+    margin = int(lengths[-1])  # the nearest sum may be beyond the budget by the better part of any document
+    held = MARGIN if margin <= MARGIN else 3 * margin
+    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > held else np.zeros_like(counts)
     rest = budget - int(lengths @ take)
-    margin = min(int(lengths[-1]), MARGIN)
     for i in range(len(lengths) - 1, -1, -1):  # from long to short, down to what the table below can hold
-        if rest <= max(2 * margin, MARGIN):
+        if rest <= max(2 * margin, held):
             break
         more = min(int(counts[i] - take[i]), (rest - margin) // int(lengths[i]))
         take[i] += max(more, 0)

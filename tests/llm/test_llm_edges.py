@@ -237,6 +237,12 @@ def test_knapsack_is_exact_where_it_can_be(seed):
         assert abs(int(lengths @ take) - budget) == near
 
 
+@pytest.mark.parametrize("lengths, counts, budget, near", [([100_000], [10], 570_000, 600_000), ([60_000, 100_000], [3, 3], 250_000, 260_000), ([5, 100_000], [1, 10], 570_000, 600_000)])
+def test_knapsack_of_long_documents(lengths, counts, budget, near):
+    take = mixing.fit(np.array(lengths), np.array(counts), budget)
+    assert (take <= counts).all() and int(np.array(lengths) @ take) == near
+
+
 def test_targets_reshare_excess():
     got = mixing.targets({"a": 10, "b": 1000, None: 500})
     assert got["a"] == 30 and sum(got.values()) == pytest.approx(1510)
