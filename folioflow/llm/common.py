@@ -6,7 +6,10 @@ import gc
 import tempfile
 import time
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -15,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share.  Only where the session names none (tests) a local one is made."""
+    """The folder all executors share.  Only a local session, which is one process, may name none: it gets its own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="folioflow-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root
@@ -36,12 +41,14 @@ class Scratch:
         hadoop = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         act(hadoop.getFileSystem(self.spark._jsc.hadoopConfiguration()), hadoop)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """Writes a table and reads it again; `free` also lets go of the shuffle files behind it, for large ones."""
         path = f"{self.base}/{name}-{uuid.uuid4().hex[:8]}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._scratch = path
-        self.collect_garbage()
+        if free:
+            self.collect_garbage()
         return out
 
     def drop(self, *tables: DataFrame) -> None:
@@ -63,6 +70,27 @@ def arrow_batches(spark: SparkSession, rows: int = 2000, size: str = "8m") -> No
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
+def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.RecordBatch | None]:
+    """Batches of rows sorted by `keys`, cut so that none goes over a change of group; None stands after each group.
+
+    For mapInArrow behind a repartition and sort: groups need not fit into memory, and small ones cost no call each.
+    """
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        columns = [batch[k].to_numpy(zero_copy_only=False) for k in keys]
+        cuts = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in columns])) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            now = tuple(c[a] for c in columns)
+            if last is not None and now != last:
+                yield None
+            last = now
+            yield batch.slice(a, b - a)
+    if last is not None:
+        yield None
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

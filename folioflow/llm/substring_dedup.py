@@ -2,15 +2,18 @@
 
 A repeat of `window` words holds at least one whole block of `block` words of any document's grid, when
 2 * block - 1 <= window.  So (1) every document's non-overlapping blocks are indexed and probed with every
-rolling window of `block` words; (2) hits are extended: the `window`-word runs around them are compared by
-128-bit hashes, and runs of confirmed starts are the maximal exact repeats; (3) a run goes if it also starts
-in a document with a smaller id.
+rolling window of `block` words; (2) hits are extended: the `window`-word runs around them are compared by two
+independent 64-bit hashes over the BLAKE2b digests of their words, and runs of confirmed starts are the maximal
+exact repeats; (3) a run goes if it also starts in a document with a smaller id.
 
 Both exchanges move packed arrays rather than rows: a map task sends each distinct hash once per chunk of
 about 2 MB of text, so a passage found in a third of all documents costs its bucket one entry a chunk.  The
 first exchange moves 6 bytes a word; it is only a filter, false hits are rejected by the second.  Buckets
 follow the size of the corpus, so a bucket's arrays stay about as large at any scale.
 
+What goes to a bucket names only the documents found there, and replies are dealt by a hash of the id, so ids of any
+stride or sign spread evenly.
+
 Nulls, empty and short texts have no window and stay whole.  Rows with a null id take no part and stay whole.
 Rows that repeat an id are all kept; equal ids never remove each other.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch, arrow_batches, partitions
-from .hashing import Chunk, chunks, groups
+from .hashing import Chunk, chunks, groups, mix
 
 _MANY, _BLOCK = 0x7FFF, 0x8000
 _PACKED = "bucket int, kind int, ids binary, body binary"
@@ -43,6 +46,11 @@ def _packed(rows: list[tuple]) -> pa.RecordBatch:
     return _rows(rows, ("bucket", "kind", "ids", "body"), (pa.int32(), pa.int32(), pa.binary(), pa.binary()))
 
 
+def _target(ids: np.ndarray | int, targets: int) -> np.ndarray:
+    """Where replies to documents go."""
+    return (mix(np.atleast_1d(np.asarray(ids, np.int64)).view(np.uint64)) % np.uint64(targets)).astype(np.int64)
+
+
 def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(docs, kind="stable")
     docs, values = docs[order], values[order]
@@ -53,10 +61,10 @@ def _by_doc(docs: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndar
 
 def _reply(found: list[tuple[int, bytes]], targets: int) -> pd.DataFrame:
     """Replies to documents, packed by where they go: a row for each target rather than for each document."""
-    found.sort(key=lambda x: x[0] % targets)
+    where = _target([d for d, _ in found], targets).tolist()
     rows = []
-    for target, part in itertools.groupby(found, key=lambda x: x[0] % targets):
-        ids, bodies = zip(*part)
+    for target, part in itertools.groupby(sorted(zip(where, found), key=lambda x: x[0]), key=lambda x: x[0]):
+        ids, bodies = zip(*(x for _, x in part))
         rows.append((target, np.array(ids, np.int64).tobytes(), np.array([len(b) for b in bodies], np.int64).tobytes(), b"".join(bodies)))
     return pd.DataFrame(rows, columns=["target", "ids", "sizes", "body"])
 
@@ -89,10 +97,17 @@ def _send_probes(block: int, buckets: int):
             entry = np.where(many, _MANY, docs[begin]).astype(np.uint16) | np.where(np.maximum.reduceat(grid, begin), _BLOCK, 0).astype(np.uint16)
             key, low = key[begin], (key[begin] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
             edges = np.searchsorted(key, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
-            rows = [(i, 0, ids.tobytes(), low[a:b].tobytes() + entry[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
+            # a bucket is told of the documents that it has entries of, and entries name them by their place there
+            single, n = ~many, len(texts)
+            used, place = np.unique((key[single] >> np.uint64(32)).astype(np.int64) * n + docs[begin][single], return_inverse=True)
+            first = np.searchsorted(used, np.arange(buckets + 1) * n)
+            entry[single] = (entry[single] & _BLOCK) | (place - first[used[place] // n]).astype(np.uint16)
+            named = ids[used % n]
+            rows = [(i, 0, named[first[i] : first[i + 1]].tobytes(), low[a:b].tobytes() + entry[a:b].tobytes()) for i, (a, b) in enumerate(zip(edges[:-1], edges[1:])) if b > a]
             shared = np.repeat(many, last - begin + 1)  # found twice within the chunk: hits already
             repeated = (np.repeat(key, last - begin + 1) & np.uint64(0xFFFFFFFF)).astype(np.uint32)[shared]
-            rows += [(int(ids[d]) % buckets, 1, ids[d : d + 1].tobytes(), np.unique(x).tobytes()) for d, x in _by_doc(docs[shared], repeated)]
+            own = [(d, np.unique(x).tobytes()) for d, x in _by_doc(docs[shared], repeated)]
+            rows += [(int(t), 1, ids[d : d + 1].tobytes(), x) for t, (d, x) in zip(_target(ids[[d for d, _ in own]], buckets), own)]
             yield _packed(rows)
 
     return send
@@ -144,7 +159,8 @@ def _send_windows(window: int, block: int, buckets: int):
             begin = np.flatnonzero(new)
             owner = np.repeat(docs[begin], np.diff(np.concatenate((begin, [len(h)]))))
             gone = docs > owner
-            rows = [(d % buckets, 1, np.int64(d).tobytes(), np.unique(x).tobytes()) for d, x in _by_doc(docs[gone], h[gone])]
+            own = [(d, np.unique(x).tobytes()) for d, x in _by_doc(docs[gone], h[gone])]
+            rows = [(int(t), 1, np.int64(d).tobytes(), x) for t, (d, x) in zip(_target([d for d, _ in own], buckets), own)]
             h, g, docs = h[begin], g[begin], docs[begin]
             where = (h >> np.uint64(32)) % np.uint64(buckets)
             order = np.argsort(where, kind="stable")
@@ -221,7 +237,7 @@ def substring_dedup(docs: DataFrame, window: int = 50, keep_text: bool = False)
 
     def exchange(packed: DataFrame, match, name: str) -> DataFrame:
         replies = packed.groupBy("bucket").applyInPandas(lambda pdf: match(pdf, buckets), _REPLY)
-        return scratch.save(replies.groupBy("target").applyInPandas(_unpack, "doc_id long, hits binary"), name)
+        return scratch.save(replies.groupBy("target").applyInPandas(_unpack, "doc_id long, hits binary"), name, free=True)
 
     probes = known.mapInArrow(_send_probes(block, buckets), _PACKED)
     hits = exchange(probes, _match_probes, "hits")
