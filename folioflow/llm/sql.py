@@ -48,19 +48,17 @@ met AS (SELECT page_id, entry.*, row_number() OVER (PARTITION BY page_id ORDER B
 SELECT page_id, host, fetched_at, domain, since AS valid_from, coalesce(action, 'allow') AS action FROM c LEFT JOIN (SELECT * FROM met WHERE k = 1) USING (page_id)""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS raw, list_transform(string_split(regexp_replace(text, '[^\x09-\x0D 0-9]*[0-9][^\x09-\x0D ]*', '<*>', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS ls FROM documents),
-l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS p, ls FROM d),
-f AS (SELECT doc_id, line, min(p) AS p, any_value(ls) AS ls FROM l WHERE len(string_split(line, ' ')) >= 4 GROUP BY doc_id, line),
-g AS (SELECT doc_id, line, [CASE WHEN p > 1 THEN ls[p - 1] END, ls[p + 1]] AS around, string_split(line, ' ') AS t FROM f),
-k AS (SELECT [len(t)::VARCHAR] || t[1:3] AS leaf, line, any_value(t) AS t, count(*) AS n_docs, count(DISTINCT around) AS n_around FROM g GROUP BY leaf, line),
-s AS (SELECT * FROM k SEMI JOIN (SELECT leaf FROM k GROUP BY leaf HAVING sum(n_docs) >= 10) USING (leaf)),
-u AS (SELECT leaf, line, n_docs, n_around, unnest(t) AS token, generate_subscripts(t, 1) AS p FROM s),
-firm AS (SELECT leaf, p, token FROM u WHERE token <> '<*>' GROUP BY leaf, p, token HAVING sum(n_docs) >= 10),
-m AS (SELECT u.leaf, u.line, any_value(n_docs) AS n_docs, any_value(n_around) AS n_around, count(firm.p) AS n_firm, count(*) AS n,
-  list(CASE WHEN firm.p IS NULL THEN '<*>' ELSE u.token END ORDER BY u.p) AS template
-  FROM u LEFT JOIN firm ON firm.leaf = u.leaf AND firm.p = u.p AND firm.token = u.token GROUP BY u.leaf, u.line),
-b AS (SELECT line FROM m WHERE n_firm >= 0.6 * n AND (leaf, template) IN (SELECT (leaf, template) FROM m WHERE n_firm >= 0.6 * n GROUP BY leaf, template HAVING sum(n_docs) >= 10 AND sum(n_around) >= 10 AND sum(n_around) >= 0.5 * sum(n_docs))),
-z AS (SELECT d.doc_id, unnest(raw) AS line, generate_subscripts(raw, 1) AS p, unnest(ls) AS masked FROM d),
-kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM z WHERE masked NOT IN (SELECT line FROM b) GROUP BY doc_id)
+l AS (SELECT doc_id, line, string_split(line, ' ') AS ts FROM (SELECT DISTINCT doc_id, unnest(ls) AS line FROM d) WHERE line <> ''),
+leaf AS (SELECT len(ts) AS size, ts[1:3] AS lead FROM l GROUP BY 1, 2 HAVING count(*) >= 10),
+k AS (SELECT line, any_value(ts) AS ts, count(*) AS n FROM l GROUP BY line HAVING (len(any_value(ts)), any_value(ts)[1:3]) IN (SELECT (size, lead) FROM leaf)),
+u AS (SELECT line, len(ts) AS size, ts[1:3] AS lead, n, unnest(ts) AS token, generate_subscripts(ts, 1) AS p FROM k),
+firm AS (SELECT size, lead, p, token FROM u WHERE token <> '<*>' GROUP BY size, lead, p, token HAVING sum(n) >= 10),
+common AS (SELECT u.line, u.size, u.lead, list(coalesce(firm.token, '<*>') ORDER BY u.p) AS template FROM u LEFT JOIN firm USING (size, lead, p, token) GROUP BY u.line, u.size, u.lead HAVING count(firm.token) >= 0.6 * count(*)),
+speaking AS (SELECT doc_id FROM l LEFT JOIN common USING (line) GROUP BY doc_id HAVING sum(CASE WHEN common.line IS NULL THEN len(ts) ELSE 0 END) >= 0.2 * sum(len(ts))),
+bad AS (SELECT size, lead, template FROM l JOIN common USING (line) SEMI JOIN speaking USING (doc_id) GROUP BY size, lead, template HAVING count(DISTINCT doc_id) >= 10),
+gone AS (SELECT line FROM common SEMI JOIN bad USING (size, lead, template)),
+z AS (SELECT doc_id, unnest(raw) AS line, generate_subscripts(raw, 1) AS p, unnest(ls) AS masked FROM d),
+kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM z WHERE masked NOT IN (SELECT line FROM gone) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(raw), 0)::BIGINT AS n_lines, (coalesce(len(raw), 0) - coalesce(n, 0))::BIGINT AS n_dropped, CASE WHEN raw IS NOT NULL THEN md5(coalesce(t, '')) END AS kept_md5
 FROM d LEFT JOIN kept USING (doc_id)""",
     "op10_chat_formatting": """

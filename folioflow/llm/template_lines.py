@@ -1,130 +1,104 @@
 """Line dedup with a log-template tree.  DataFrame functions only.
 
-Lines are trimmed and parsed into a tree of fixed depth: token count (pieces between single blanks), then the
-`depth` leading tokens, tokens with a digit standing as `<*>`.  Within a leaf a token is fixed at its position when lines of at least `min_docs` documents have
-it there; all others are variable fields and become `<*>`.  The line with its variable fields generalised is its
-template.
-
-A template recurs when at least `min_docs` documents have it and at least `fixed` of its tokens are fixed.  It is
-boilerplate when it recurs in varied surroundings, by either of two tests:
-
-* (line before, line after) take at least `min_docs` values and at least a `varied` share of its documents;
-* the whole run of recurring lines that it stands in, blank lines aside, has at least `min_docs` different
-  surroundings (last line of its own that the document has before it, first one after it), by documents of which
-  lines of their own make up half the tokens or more.  So inner and outer lines of a block are judged alike,
-  and copies, which add no surroundings, cannot outvote the rest.
-
-Copied documents consist of recurring lines, so they never speak for a template by the second test, and have the same
-neighbours in every copy by the first; their lines stay for the near-dedup that judges whole documents.  All lines of
-boilerplate templates are dropped.
-
-A line that a document repeats counts once for it, with the surroundings of its first place.  Short lines are judged
-like others; blank ones are never dropped.  Null texts stay null with 0 lines; an empty text is one empty line.
-Rows that repeat both id and text count as one document, and all of them lose the same lines.
+Lines are trimmed and parsed into a tree of fixed depth: token count (pieces between single blanks), then the `depth`
+leading tokens, tokens with a digit standing as `<*>`.  A leaf is frequent when its lines stand in documents at least
+`min_docs` times (a line counts once for a document).  Within a frequent leaf a token is fixed at its position when
+lines of at least `min_docs` documents have it there; all others are variable fields and become `<*>`.  The line with
+its variable fields generalised is its template.  A line is common when it has a frequent leaf and at least `fixed` of
+its tokens are fixed; short lines are judged like all others.
+
+A template is dropped when it recurs across documents: when at least `min_docs` documents that speak have it.  A
+document speaks when lines that are not common make up at least `own` of the tokens of its distinct lines.  A copy,
+exact or edited, consists of lines that recur with it; it does not speak, and whole copies stay for the near-dedup that
+judges documents.  A notice of any number of lines speaks against itself in every text that it was pasted into.
+
+All lines of dropped templates go, from documents that do not speak too.  Blank lines are never dropped.  Null texts
+stay null with 0 lines; an empty text is one empty line.  Rows with a null id pass through and count for nothing.  Rows
+that repeat an id and text are one document, but count for each row where frequent leaves and tokens are told.  Lines and texts of any length are taken whole.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Scratch
 
 PLAIN = r"[^\x09-\x0D 0-9]*+[0-9][^\x09-\x0D ]*"
+BLANKS = " \t\r\x0b\x0c"
+#: rows of a table of lines, leaves or templates that is broadcast, and their characters; a larger one is joined by a shuffle
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16 << 20
+#: parts of a frequent line in such a shuffle
+SALTS = 32
 
 
 def masked(text: Column) -> Column:
     """Trimmed lines of a text with tokens that hold a digit as `<*>`."""
     generalised = F.when(text.rlike("[0-9]"), F.regexp_replace(text, PLAIN, "<*>")).otherwise(text)
-    return F.transform(F.split(generalised, "\n"), lambda x: F.btrim(x, F.lit(" \t\r\x0b\x0c")))
+    return F.transform(F.split(generalised, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
-def _keys(ls: str, depth: int) -> Column:
-    """For each line its place, 128-bit key, leaf key, token count, and a hash of the lines around it."""
+def _tokens(line: str) -> Column:
+    """How many tokens a line has, or the lines of a text that blanks separate."""
+    return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "))) + 1
 
-    def one(x: Column, i: Column) -> Column:
-        tokens = F.split(x, " ")
-        leaf = F.xxhash64(F.size(tokens), F.slice(tokens, 1, depth))
-        return F.struct((x == "").alias("blank"), i.alias("p"), F.xxhash64(x).alias("k1"), F.xxhash64(F.lit(1), x).alias("k2"), leaf.alias("leaf"), F.size(tokens).alias("size"), F.xxhash64(F.when(i > 0, F.get(ls, i - 1)), F.get(ls, i + 1)).alias("around"))
 
-    return F.transform(ls, one)
+def _leaf(line: str, depth: int) -> Column:
+    return F.xxhash64(_tokens(line), F.substring_index(line, " ", depth))
 
 
-def line_places(docs: DataFrame, scratch: Scratch, depth: int, min_tokens: int) -> DataFrame:
-    """One row for each document and distinct masked line that is not blank: leaf (null for a short line), k1, k2,
-    token count, first surroundings, all places."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("_t"), masked(F.col("text")).alias("ls")).select("doc_id", "_t", F.inline_outer(_keys("ls", depth)))
-    found = found.where(~F.col("blank")).withColumn("leaf", F.when(F.col("size") >= min_tokens, F.col("leaf"))).groupBy("doc_id", "_t", "leaf", "k1", "k2", "size")
-    return scratch.save(found.agg(F.min_by("around", "p").alias("around"), F.collect_list("p").alias("places")), "places")
+def _meet(rows: DataFrame, table: DataFrame, on: str, chars: Column | None = None) -> DataFrame:
+    """Inner join of many rows, of which a third may share one value, with a written table of distinct values."""
+    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(8) if chars is None else chars), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(table), on)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
 
 
-def boilerplate_lines(docs: DataFrame, places: DataFrame, scratch: Scratch, depth: int = 3, min_docs: int = 10, fixed: float = 0.6, varied: float = 0.5) -> DataFrame:
-    """(k1, k2, template) of the masked lines whose template is boilerplate."""
-    met = places.where(F.col("leaf").isNotNull()).groupBy("leaf", "k1", "k2", "around").agg(F.count(F.lit(1)).alias("n"))
-    kinds = scratch.save(met.groupBy("leaf", "k1", "k2").agg(F.sum("n").alias("n_docs"), F.count(F.lit(1)).alias("n_around")), "kinds")
-    leaves = kinds.groupBy("leaf").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf")
-    # Text moves for distinct lines only, and stays for those in a frequent leaf.
-    lines = docs.select(F.explode_outer(masked(F.col("text"))).alias("line")).select(*key_columns("line"), "line")
-    texts = lines.groupBy("k1", "k2").agg(F.first("line").alias("line"))
-    kept = scratch.save(kinds.join(leaves, "leaf").join(texts, ["k1", "k2"]), "kept")
-    scratch.drop(kinds)
-    tokens = kept.select("leaf", "k1", "k2", "n_docs", "n_around", F.posexplode(F.split("line", " ")).alias("p", "token"))
-    firm = tokens.where(F.col("token") != "<*>").groupBy("leaf", "p", "token").agg(F.sum("n_docs").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("firm"))
+def common_lines(docs: DataFrame, scratch: Scratch, depth: int, min_docs: int, fixed: float) -> tuple[DataFrame, DataFrame]:
+    """(places, templates): of every document (doc_id, _t a hash of its text) the lines of frequent leaves with the
+    tokens of all its distinct lines, and (line, t, template) of the common lines."""
+    found = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.array_distinct(masked(F.col("text"))).alias("ls"))
+    found = found.withColumn("ls", F.array_remove("ls", "")).withColumn("joined", F.array_join("ls", " "))
+    lines = found.select("doc_id", "_t", _tokens("joined").alias("total"), F.explode("ls").alias("line")).withColumn("leaf", _leaf("line", depth))
+    leaves = scratch.save(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
+    places = scratch.save(_meet(lines, leaves, "leaf"), "places")
+    kinds = scratch.save(places.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "kinds")
+    tokens = kinds.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("p", "token"))
+    firm = tokens.where(F.col("token") != "<*>").groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("firm"))
     shaped = tokens.join(firm, ["leaf", "p", "token"], "left").withColumn("token", F.when(F.col("firm"), F.col("token")).otherwise("<*>"))
-    parts = shaped.groupBy("leaf", "k1", "k2").agg(
+    parts = shaped.groupBy("leaf", "line").agg(
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", "token"))), lambda x: x["token"]), " ").alias("template"),
-        F.sum(F.coalesce(F.col("firm"), F.lit(False)).cast("long")).alias("firm"),
+        F.count("firm").alias("firm"),
         F.count(F.lit(1)).alias("size"),
-        F.first("n_docs").alias("n_docs"),
-        F.first("n_around").alias("n_around"),
     )
-    parts = scratch.save(parts.where(F.col("firm") >= fixed * F.col("size")), "parts")
-    whole = parts.groupBy("leaf", "template").agg(F.sum("n_docs").alias("docs"), F.sum("n_around").alias("arounds")).where(F.col("docs") >= min_docs)
-    recurring = parts.join(whole, ["leaf", "template"]).select("k1", "k2", "leaf", "template", F.xxhash64("leaf", "template").alias("t"), "docs", "arounds")
-    recurring = scratch.save(recurring, "recurring")
-    scratch.drop(kept, parts)
-    often = run_surroundings(places, recurring).groupBy("t").agg(F.count(F.lit(1)).alias("runs"))
-    judged = recurring.join(often, "t", "left")
-    alone = (F.col("arounds") >= min_docs) & (F.col("arounds") >= varied * F.col("docs"))
-    return scratch.save(judged.where(alone | (F.col("runs") >= min_docs)).select("k1", "k2", "template"), "boilerplate")
-
-
-def run_surroundings(places: DataFrame, recurring: DataFrame) -> DataFrame:
-    """Distinct (t, around): surroundings of the runs of recurring lines that template t stands in, by documents that
-    have at least half their tokens in lines of their own."""
-    lines = places.join(recurring.select("k1", "k2", "t"), ["k1", "k2"], "left").select("doc_id", "_t", "k1", "k2", "size", "t", F.explode("places").alias("p"))
-    document = Window.partitionBy("doc_id", "_t")
-    own = F.when(F.col("t").isNull(), F.col("k1"))
-    lines = lines.select(
-        "*",
-        F.last(own, ignorenulls=True).over(document.orderBy("p")).alias("before"),
-        F.last(own, ignorenulls=True).over(document.orderBy(F.desc("p"))).alias("after"),
-        (2 * F.sum(F.when(F.col("t").isNull(), F.col("size")).otherwise(0)).over(document) >= F.sum("size").over(document)).alias("speaks"),
-    )
-    first = lines.where(F.col("speaks") & F.col("t").isNotNull()).groupBy("doc_id", "_t", "t").agg(F.min_by(F.xxhash64(F.coalesce("before", F.lit(0)), F.coalesce("after", F.lit(0))), "p").alias("around"))
-    return first.select("t", "around").distinct()
-
-
-def key_columns(line: str) -> list[Column]:
-    return [F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(1), F.col(line)).alias("k2")]
+    common = parts.where(F.col("firm") >= fixed * F.col("size")).select("line", F.xxhash64("leaf", "template").alias("t"), "template")
+    return places, scratch.save(common, "common")
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, min_tokens: int = 1, **settings) -> DataFrame:
-    """`docs` with its text lessened by boilerplate lines, and n_lines and n_dropped added.
+def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float = 0.6, own: float = 0.2) -> DataFrame:
+    """`docs` with its text lessened by lines of dropped templates, and n_lines and n_dropped added.
 
     Columns named n_lines and n_dropped are replaced; all others pass through.
     """
     scratch = Scratch(docs.sparkSession)
     known = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
-    places = line_places(known, scratch, depth, min_tokens)
-    bad = boilerplate_lines(known, places, scratch, depth=depth, **settings).select("k1", "k2")
-    hits = places.join(bad, ["k1", "k2"]).groupBy("doc_id", "_t").agg(F.array_distinct(F.flatten(F.collect_list("places"))).alias("_hits"))
+    places, common = common_lines(known, scratch, depth, min_docs, fixed)
+    width = F.length("line")
+    hits = _meet(places.select("doc_id", "_t", "total", "line"), common.select("line", "t"), "line", F.length("line"))
+    found = scratch.save(hits.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("line", "t")).alias("ls"), F.first("total").alias("total")), "found")
+    held = found.withColumn("held", F.array_join("ls.line", " "))
+    speaking = held.where(F.col("total") - _tokens("held") >= own * F.col("total"))
+    bad = scratch.save(speaking.select(F.explode(F.array_distinct("ls.t")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("t"), "bad")
+    gone = _meet(found.select("doc_id", "_t", F.inline("ls")), bad, "t").groupBy("doc_id", "_t").agg(F.collect_set("line").alias("_gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    raw = docs.select(*columns, F.xxhash64("text").alias("_t")).join(hits, ["doc_id", "_t"], "left").withColumn("_raw", F.split("text", "\n"))
-    kept = F.filter("_raw", lambda x, i: ~F.array_contains("_hits", i))
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return raw.select(
-        *[text.alias(c) if c == "text" else F.col(c) for c in columns],
-        F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_raw")).cast("long").alias("n_lines"),
-        F.coalesce(F.size("_hits"), F.lit(0)).cast("long").alias("n_dropped"),
+    joined = docs.select(*columns, F.xxhash64("text").alias("_t")).join(gone, ["doc_id", "_t"], "left")
+    pairs = F.zip_with(F.split("text", "\n"), masked(F.col("text")), lambda raw, line: F.struct(raw.alias("raw"), line.alias("line")))
+    kept = F.when(F.col("_gone").isNotNull(), F.filter(pairs, lambda x: ~F.array_contains("_gone", x["line"])))
+    cut = joined.select("*", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"), kept.alias("_kept"))
+    return cut.select(
+        *[F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept.raw", "\n")).alias(c) if c == "text" else F.col(c) for c in columns],
+        "n_lines",
+        F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
     )
