@@ -1,18 +1,25 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
 Every source has a target in words.  Whole rounds of the source come first; the rest of the target is a subset-sum
-problem over document lengths: the documents are counted by exact length, most of the rest is dealt to the lengths in
-proportion, and bounded-knapsack dynamic programming over the remaining budget finds how many more to take of each
-length so that the sum is met exactly, or as nearly as lengths allow.  Then that many documents of each length are
-selected by a seeded hash, which reruns repeat.
-
-Only the histogram of lengths goes to the planner, one task a source.  Selection is a distributed rank: documents
-are counted by (source, length, hash slot), running sums over at most `SLOTS` slots find the slot in which the quota
-ends, that slot is cut once more in the same way, and only the documents of the last slot are ordered.  So a length
-that a third of all documents share is no burden.
+problem over document lengths: the documents are counted by exact length, and bounded-knapsack dynamic programming
+finds how many to take of each length so that the sum is met exactly, or as nearly as lengths allow.  Then that many
+documents of each length are selected by a seeded hash, which reruns repeat.
+
+The table of reachable sums is a bitset, over lengths divided by their greatest common divisor.  So that it need not
+span the whole budget, most of the budget is first dealt to the lengths in proportion and the table decides the rest.
+If it reaches that exactly, no better fit exists.  If not, ever less is dealt beforehand, until the sum is exact or the
+table decides the whole budget; so the fit is the nearest one for documents of any length.  The one bound is MOST_BITS
+for the table, 1,073 million words times the divisor: budgets beyond it that have no exact sum in it get the nearest in it.
+
+Targets come from a table of one row a source, which may be many: ranks by a range partition, caps by a threshold that
+rises until no source is above.  Only sums reach the driver.  The histogram of one source's lengths goes to one planner
+task.  Selection is a distributed rank: documents are counted by (source, length, hash slot), running sums over at most
+`SLOTS` slots find the slot in which the quota ends, that slot is cut once more in the same way, and only the documents
+of the last slot are ordered.  So a length that a third of all documents share is no burden.
 
 Null text has size 0 and is never taken; null sources are one source, which comes last.  Documents that repeat an
-id are separate documents; ties are broken by the text's hash, and identical rows are interchangeable.
+id are separate documents; ties are broken by the text's hash, and identical rows are interchangeable.  An empty
+table gives none.
 """
 
 from __future__ import annotations
@@ -24,100 +31,123 @@ from pyspark.sql import functions as F
 
 from .common import WORD, Scratch
 
-WEIGHTS = (5.0, 2.0, 1.0)
+WEIGHTS = (5, 2, 1)
 SLOTS = 256
-#: more sources than this are joined by a shuffle
-BROADCAST_SOURCES = 100_000
-#: words of the budget that the dynamic programming decides at least; three of the longest document where one is longer
-MARGIN = 20_000
-
-
-def targets(sizes: dict[str | None, int], weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> dict[str | None, float]:
-    """Target of each source: its weight's share of all sizes, no more than `most` times its own size, the excess
-    reshared by weight among the others until none is above."""
-    order = sorted((s for s in sizes if s is not None), key=lambda s: [ord(c) for c in s]) + [s for s in sizes if s is None]
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    out: dict[str | None, float] = {}
-    left, open_ = float(sum(sizes.values())), list(order)
-    while open_:
-        total = sum(weight[s] for s in open_)
-        over = [s for s in open_ if left * weight[s] / total > most * sizes[s]]
-        if not over:
-            return out | {s: left * weight[s] / total for s in open_}
-        for s in over:
-            out[s] = most * sizes[s]
-        left -= sum(out[s] for s in over)
-        open_ = [s for s in open_ if s not in over]
-    return out
+#: parts of the documents of one source and length while they meet their plan
+SALTS = 16
+MOST_BITS = 1 << 30
+_REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
+
+
+def targets(spread: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
+    """`spread` (source, source_size; one row a source) with its target: its weight's share of all sizes, no more than
+    `most` times its own size, the excess reshared by weight among the others until none is above."""
+    place = spread.select("source", "source_size").repartitionByRange(F.col("source").isNull(), "source").sortWithinPartitions(F.col("source").isNull(), "source")
+    place = scratch.save(place.withColumn("at", F.monotonically_increasing_id()), "ranked")
+    part, start = F.shiftright("at", 33), {}
+    for r in place.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n")).orderBy("part").collect():  # a row for each partition
+        start[r["part"]] = sum(r_n for _, r_n in start.values()), r["n"]
+    offset = F.lit(0).cast("long")
+    if start:
+        offset = F.element_at(F.create_map(*[F.lit(x) for p, (before, _) in start.items() for x in (p, before)]), part)
+    rank = offset + F.col("at").bitwiseAND((1 << 33) - 1)
+    weighted = place.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.pmod(rank, F.lit(len(weights))) + 1).cast("int")))
+    weighted = scratch.save(weighted.select("source", "source_size", "weight"), "weighted")
+    whole, weight = (x or 0 for x in weighted.agg(F.sum("source_size"), F.sum("weight")).first())
+    left, open_, capped = whole, weight, 0
+    while open_:  # the share of a unit of weight only grows, and so do those above their cap
+        over = most * F.col("source_size") * F.lit(open_) < F.col("weight") * F.lit(left)
+        n, size, w = weighted.where(over).agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("weight")).first()
+        if n == capped:
+            break
+        left, open_, capped = whole - most * size, weight - w, n
+    over = most * F.col("source_size") * F.lit(open_) < F.col("weight") * F.lit(left)
+    share = F.lit(float(left)) * F.col("weight") / F.lit(float(open_ or 1))
+    return weighted.select("source", "source_size", F.when(over | F.lit(not open_), (most * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
+
+
+def _reach(items: list[tuple[int, int]], size: int, stop: int | None = None) -> tuple[int, int]:
+    """Bitset of the sums below `size` that so many of each length reach, and how many items it took to reach `stop`."""
+    bits, mask = 1, (1 << size) - 1
+    for used, (length, count) in enumerate(items):
+        count, step = min(count, (size - 1) // length), 1
+        while count > 0:
+            step = min(step, count)
+            bits |= (bits << (step * length)) & mask
+            count, step = count - step, 2 * step
+        if stop is not None and (bits >> stop) & 1:
+            return bits, used + 1
+    return bits, len(items)
+
+
+def _choose(items: list[tuple[int, int]], target: int, take: list[int], at: int = 0) -> None:
+    """Adds to `take` how many of each item make up a sum that they reach: halves agree on where to split it."""
+    if not target:
+        return
+    if len(items) == 1:
+        take[at] += target // items[0][0]
+        return
+    half, size = len(items) // 2, target + 1
+    first, second = _reach(items[:half], size)[0], _reach(items[half:], size)[0]
+    n = -(-size // 8)
+    turned = int.from_bytes(second.to_bytes(n, "little").translate(_REVERSED)[::-1], "little") >> (8 * n - size)
+    both = first & turned
+    split = (both & -both).bit_length() - 1
+    _choose(items[:half], split, take, at)
+    _choose(items[half:], target - split, take, at + half)
 
 
 def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
-    """How many documents of each length to take so that their sizes sum to the budget, or come nearest.
+    """How many documents of each length to take so that their sizes sum to the budget, or come nearest; of two
+    sums as near the smaller.
 
     `lengths` ascending and positive, 0 <= budget <= lengths @ counts.
     """
     total = int(lengths @ counts)
     if not len(lengths) or budget <= 0 or budget >= total:
         return counts.copy() if len(lengths) and budget >= total else np.zeros_like(counts)
-    # what the table below can hold as a whole is not dealt out first
-    margin = int(lengths[-1])  # the nearest sum may be beyond the budget by the better part of any document
-    held = MARGIN if margin <= MARGIN else 3 * margin
-    take = np.floor(counts * (budget / total)).astype(np.int64) if budget > held else np.zeros_like(counts)
-    rest = budget - int(lengths @ take)
-    for i in range(len(lengths) - 1, -1, -1):  # from long to short, down to what the table below can hold
-        if rest <= max(2 * margin, held):
+    unit = int(np.gcd.reduce(lengths))
+    lengths, total = lengths // unit, total // unit
+    want = (2 * budget + unit - 1) // (2 * unit)  # the nearest multiple
+    longest = int(lengths[-1])
+    spread = max(4 * longest, 1 << 14)
+    while True:
+        take = np.zeros_like(counts)
+        if want > spread:
+            take = np.minimum(np.floor(counts * ((want - spread) / total)).astype(np.int64), counts)
+            rest = want - int(lengths @ take)
+            for i in range(len(lengths) - 1, -1, -1):
+                more = max(0, min(int(counts[i] - take[i]), (rest - spread) // int(lengths[i])))
+                take[i] += more
+                rest -= more * int(lengths[i])
+        rest = want - int(lengths @ take)
+        order = np.flatnonzero(counts > take)[::-1]
+        items = [(int(lengths[i]), int(counts[i] - take[i])) for i in order]
+        bits, used = _reach(items, rest + longest + 1, rest)
+        if (bits >> rest) & 1 or not take.any() or 8 * spread > MOST_BITS:
             break
-        more = min(int(counts[i] - take[i]), (rest - margin) // int(lengths[i]))
-        take[i] += max(more, 0)
-        rest = budget - int(lengths @ take)
-    # which sums up to the rest can be reached, and by which last length and how many of it
-    spare, size = counts - take, rest + margin + 1
-    by = np.full(size, -1, np.int32)
-    many = np.zeros(size, np.int64)
-    reached = np.zeros(size, bool)
-    reached[0] = True
-    for i in np.argsort(-lengths, kind="stable"):
-        if reached[rest]:
-            break
-        w, c = int(lengths[i]), int(min(spare[i], (size - 1) // int(lengths[i])))
-        if c <= 0:
-            continue
-        before, done = reached.copy(), 0
-        step = 1
-        while done < c:  # after each pass `reached` allows up to `done` documents of this length
-            step = min(step, c - done)
-            new = np.zeros(size, bool)
-            new[step * w :] = reached[: size - step * w]
-            new &= ~reached
-            at = np.flatnonzero(new)
-            source = at - step * w
-            own = np.where(before[source], 0, many[source])
-            by[at], many[at] = i, own + step
-            reached |= new
-            done += step
-            step *= 2
-    sums = np.flatnonzero(reached)
-    at = int(sums[np.argmin(np.abs(sums - rest) * 2 + (sums > rest))])
-    while at:
-        i, n = int(by[at]), int(many[at])
-        take[i] += n
-        at -= n * int(lengths[i])
+        spread *= 8
+    low, high = (bits & ((1 << (rest + 1)) - 1)).bit_length() - 1, bits >> (rest + 1)
+    sums = [low] + ([(high & -high).bit_length() + rest] if high else [])
+    over = lambda s: (want - rest + s) * unit - budget
+    best = min(sums, key=lambda s: (abs(over(s)), over(s) > 0))
+    more = [0] * used
+    _choose(items[:used], best, more)
+    take[order[:used]] += np.array(more, dtype=np.int64)
     return take
 
 
-def _plan(target_of: dict[str | None, float]):
-    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
-        name = pdf["source"].iloc[0]
-        name = name if isinstance(name, str) else None
-        pdf = pdf[pdf["size"] > 0].sort_values("size")
-        lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
-        total = int(lengths @ counts)
-        want = int(round(target_of[name])) if total else 0
-        rounds = want // total if total else 0
-        extra = fit(lengths, counts, want - rounds * total) if total else counts
-        return pd.DataFrame({"source": [name] * len(lengths), "size": lengths, "rounds": rounds, "extra": extra})
-
-    return plan
+def _plan(pdf: pd.DataFrame) -> pd.DataFrame:
+    """For one source (source, source_size, target, size, n): whole rounds, and how many of each size come once more."""
+    pdf = pdf.sort_values("size").reset_index(drop=True)
+    lengths, counts = pdf["size"].to_numpy(np.int64), pdf["n"].to_numpy(np.int64)
+    total, some = int(lengths @ counts), lengths > 0
+    want = int(round(pdf["target"].iloc[0]))
+    rounds = want // total if total else 0
+    quota = np.zeros(len(pdf), np.int64)
+    if total:
+        quota[some] = fit(lengths[some], counts[some], want - rounds * total)
+    return pdf.assign(rounds=rounds, quota=quota)[["source", "size", "source_size", "target", "rounds", "quota"]]
 
 
 def _cut(dealt: DataFrame, slot: Column) -> tuple[DataFrame, DataFrame]:
@@ -128,7 +158,7 @@ def _cut(dealt: DataFrame, slot: Column) -> tuple[DataFrame, DataFrame]:
     counts = dealt.where(F.col("quota") > 0).groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.first("quota").alias("quota"))
     upto = F.sum("n").over(Window.partitionBy("source", "size").orderBy("slot"))
     states = counts.withColumn("upto", upto).select(F.col("source").alias("s"), F.col("size").alias("z"), F.col("slot").alias("t"), "upto", (F.col("quota") - F.col("upto") + F.col("n")).alias("left"))
-    met = dealt.join(states, dealt["source"].eqNullSafe(states["s"]) & (dealt["size"] == states["z"]) & (dealt["slot"] == states["t"]), "left")
+    met = dealt.join(states.hint("merge"), dealt["source"].eqNullSafe(states["s"]) & (dealt["size"] == states["z"]) & (dealt["slot"] == states["t"]), "left")
     # left: what the slots before leave of the quota
     ends = (F.col("left") > 0) & (F.col("upto") > F.col("quota"))
     sure = met.where(~F.coalesce(ends, F.lit(False))).withColumn("more", F.coalesce((F.col("left") > 0).cast("long"), F.lit(0)))
@@ -137,31 +167,26 @@ def _cut(dealt: DataFrame, slot: Column) -> tuple[DataFrame, DataFrame]:
     return sure.drop(*extra), edge.drop(*extra)
 
 
-def mix(docs: DataFrame, seed: int = 9, weights: tuple[float, ...] = WEIGHTS, most: float = 3.0) -> DataFrame:
+def mix(docs: DataFrame, seed: int = 9, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """doc_id, source, size, source_size, target, taken for each row of `docs` (doc_id, text, source)."""
-    spark = docs.sparkSession
-    scratch = Scratch(spark)
+    scratch = Scratch(docs.sparkSession)
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     draw = F.xxhash64(F.lit(seed), F.col("doc_id"), F.xxhash64("text"))
     own = scratch.save(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"), draw.alias("draw")), "sizes")
     histogram = scratch.save(own.groupBy("source", "size").agg(F.count(F.lit(1)).alias("n")), "histogram")
-    # one row for each source: their number is the mix's, not the corpus's
-    sizes = {r["source"]: int(r["s"]) for r in histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("s")).collect()}
-    target = targets(sizes, weights, most)
-    source_rows = [(s, sizes[s], float(target[s])) for s in sizes]
-    per_source = spark.createDataFrame(source_rows, "source string, source_size long, target double")
-    plan = scratch.save(histogram.groupBy("source").applyInPandas(_plan(target), "source string, size long, rounds long, extra long"), "plan")
-    dealt = own.join(plan.select(F.col("source").alias("s"), F.col("size").alias("z"), "rounds", F.col("extra").alias("quota")), own["source"].eqNullSafe(F.col("s")) & (own["size"] == F.col("z")), "left").drop("s", "z")
+    target = targets(histogram.groupBy("source").agg(F.sum(F.col("n") * F.col("size")).alias("source_size")), scratch, weights, most)
+    spread = histogram.join(target.withColumnRenamed("source", "s").hint("merge"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    plan = spread.groupBy("source").applyInPandas(_plan, "source string, size long, source_size long, target double, rounds long, quota long")
+    plan = scratch.save(plan, "plan").withColumnRenamed("source", "s").withColumnRenamed("size", "z").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    same = F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")) & (F.pmod("draw", F.lit(SALTS)) == F.col("_salt"))
+    dealt = own.join(plan.hint("merge"), same).drop("s", "z", "_salt")
     settled = []
     for level in range(2):
-        sure, dealt = _cut(dealt, F.pmod(F.shiftright("draw", 8 * level), F.lit(SLOTS)).cast("int"))
+        sure, dealt = _cut(dealt, F.pmod(F.shiftright("draw", 8 * level + 4), F.lit(SLOTS)).cast("int"))
         settled.append(sure)
         dealt = scratch.save(dealt, "edge")
     rank = F.row_number().over(Window.partitionBy("source", "size").orderBy("draw", "doc_id"))
     chosen = dealt.withColumn("more", (rank <= F.col("quota")).cast("long"))
     for sure in settled:
         chosen = chosen.unionByName(sure)
-    taken = (F.coalesce("rounds", F.lit(0)) + F.col("more")) * F.col("size")
-    near = F.broadcast if len(source_rows) <= BROADCAST_SOURCES else (lambda df: df)
-    out = chosen.join(near(per_source.withColumnRenamed("source", "s")), F.col("source").eqNullSafe(F.col("s")), "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+    return chosen.select("doc_id", "source", "size", "source_size", "target", ((F.col("rounds") + F.col("more")) * F.col("size")).alias("taken"))
