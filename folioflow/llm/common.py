@@ -10,7 +10,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: words of the contracts: runs of anything but blank, tab, line feed, vertical tab, form feed, carriage return
@@ -91,6 +91,23 @@ def by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield None
 
 
+#: rows of a table that is broadcast, and their characters or bytes; a larger one is joined by a shuffle
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16 << 20
+#: parts of a frequent value in such a shuffle
+MEET_SALTS = 32
+
+
+def meet(rows: DataFrame, table: DataFrame, on: str | list[str], by: str, chars: Column | None = None, how: str = "inner") -> DataFrame:
+    """Joins many rows, of which a third may share one value of `on`, with a written table of distinct values, whose
+    size is counted first: `chars` are the characters of a row of it.  `by` deals rows of one value to salts."""
+    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(8) if chars is None else chars), F.lit(0))).first()
+    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_CHARS:
+        return rows.join(F.broadcast(table), on, how)
+    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(MEET_SALTS - 1))))
+    dealt = rows.withColumn("_salt", F.pmod(F.xxhash64(by), F.lit(MEET_SALTS)).cast("int"))
+    return dealt.join(salted.hint("merge"), [*([on] if isinstance(on, str) else on), "_salt"], how).drop("_salt")
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

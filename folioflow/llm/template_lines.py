@@ -22,14 +22,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch
+from .common import Scratch, meet
 
 PLAIN = r"[^\x09-\x0D 0-9]*+[0-9][^\x09-\x0D ]*"
 BLANKS = " \t\r\x0b\x0c"
-#: rows of a table of lines, leaves or templates that is broadcast, and their characters; a larger one is joined by a shuffle
-BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 16 << 20
-#: parts of a frequent line in such a shuffle
-SALTS = 32
 
 
 def masked(text: Column) -> Column:
@@ -47,15 +43,6 @@ def _leaf(line: str, depth: int) -> Column:
     return F.xxhash64(_tokens(line), F.substring_index(line, " ", depth))
 
 
-def _meet(rows: DataFrame, table: DataFrame, on: str, chars: Column | None = None) -> DataFrame:
-    """Inner join of many rows, of which a third may share one value, with a written table of distinct values."""
-    size = table.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.lit(8) if chars is None else chars), F.lit(0))).first()
-    if size[0] <= BROADCAST_ROWS and size[1] <= BROADCAST_CHARS:
-        return rows.join(F.broadcast(table), on)
-    salted = table.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, [on, "_salt"]).drop("_salt")
-
-
 def common_lines(docs: DataFrame, scratch: Scratch, depth: int, min_docs: int, fixed: float) -> tuple[DataFrame, DataFrame]:
     """(places, templates): of every document (doc_id, _t a hash of its text) the lines of frequent leaves with the
     tokens of all its distinct lines, and (line, t, template) of the common lines."""
@@ -63,7 +50,7 @@ def common_lines(docs: DataFrame, scratch: Scratch, depth: int, min_docs: int, f
     found = found.withColumn("ls", F.array_remove("ls", "")).withColumn("joined", F.array_join("ls", " "))
     lines = found.select("doc_id", "_t", _tokens("joined").alias("total"), F.explode("ls").alias("line")).withColumn("leaf", _leaf("line", depth))
     leaves = scratch.save(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
-    places = scratch.save(_meet(lines, leaves, "leaf"), "places")
+    places = scratch.save(meet(lines, leaves, "leaf", "doc_id"), "places")
     kinds = scratch.save(places.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "kinds")
     tokens = kinds.select("leaf", "line", "n", F.posexplode(F.split("line", " ")).alias("p", "token"))
     firm = tokens.where(F.col("token") != "<*>").groupBy("leaf", "p", "token").agg(F.sum("n").alias("n")).where(F.col("n") >= min_docs).select("leaf", "p", "token", F.lit(True).alias("firm"))
@@ -86,12 +73,12 @@ def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float
     known = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     places, common = common_lines(known, scratch, depth, min_docs, fixed)
     width = F.length("line")
-    hits = _meet(places.select("doc_id", "_t", "total", "line"), common.select("line", "t"), "line", F.length("line"))
+    hits = meet(places.select("doc_id", "_t", "total", "line"), common.select("line", "t"), "line", "doc_id", F.length("line"))
     found = scratch.save(hits.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("line", "t")).alias("ls"), F.first("total").alias("total")), "found")
     held = found.withColumn("held", F.array_join("ls.line", " "))
     speaking = held.where(F.col("total") - _tokens("held") >= own * F.col("total"))
     bad = scratch.save(speaking.select(F.explode(F.array_distinct("ls.t")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("t"), "bad")
-    gone = _meet(found.select("doc_id", "_t", F.inline("ls")), bad, "t").groupBy("doc_id", "_t").agg(F.collect_set("line").alias("_gone"))
+    gone = meet(found.select("doc_id", "_t", F.inline("ls")), bad, "t", "doc_id").groupBy("doc_id", "_t").agg(F.collect_set("line").alias("_gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns, F.xxhash64("text").alias("_t")).join(gone, ["doc_id", "_t"], "left")
     pairs = F.zip_with(F.split("text", "\n"), masked(F.col("text")), lambda raw, line: F.struct(raw.alias("raw"), line.alias("line")))
