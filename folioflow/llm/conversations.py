@@ -5,38 +5,44 @@ that its n-th value stands for the first n turns; conversations whose last value
 snapshots, and an anti-join drops them.  Equal conversations collapse to the one with the smallest id.  What stays is
 rendered as one text.
 
-Turns are ordered by (turn, role, text).  A null role is written as `unknown`, a null text as empty.  Rows with a null
-conv_id are one conversation.  Columns of `turns` other than these four are ignored.
+The hashes come from a running window over the sorted turns, two 60-bit halves of MD5 sums of (place, role, text)
+folded by XOR, so that a conversation's length costs in proportion.  Only ids and hashes take part in the collapse;
+turns are gathered again for those that stay.
+
+Turns are ordered by (turn, role, text), null turns first.  A null role is written as `unknown`, a null text as empty.
+Turns with a null conv_id belong to no conversation and are left out.  A rendered conversation is one row, however
+long.  Columns of `turns` other than these four are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
 
-def _prefixes(turns: Column) -> Column:
-    """Rolling 128-bit hashes: each takes in the one before, the role, and the text."""
-
-    def step(done: Column, x: Column) -> Column:
-        last = F.coalesce(F.get(done, F.size(done) - 1), F.lit(""))
-        return F.concat(done, F.array(F.md5(F.concat(last, F.md5(x["role"]), F.md5(x["text"])))))
 
-    return F.aggregate(turns, F.array().cast("array<string>"), step)
+def escaped(text: Column) -> Column:
+    r"""Text in which no role marker can be read: `<|` gets a backslash, `<\|` one more, so that it can be undone."""
+    return F.regexp_replace(text, r"<(\\*)\|", r"<$1\\|")
 
 
-def render(turns: Column, start: str = "<|", end: str = "|>") -> Column:
+def render(turns: Column) -> Column:
     """`<|role|>` and the text of each turn on lines of their own."""
-    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit(start), x["role"], F.lit(end + "\n"), x["text"])), "\n")
+    return F.array_join(F.transform(turns, lambda x: F.concat(F.lit("<|"), escaped(x["role"]), F.lit("|>\n"), escaped(x["text"]))), "\n")
 
 
 def maximal_conversations(turns: DataFrame) -> DataFrame:
     """(conv_id, n_turns, n_copies, rendered) of the conversations that are no prefix of a longer one."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    whole = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
-    hashed = whole.select("conv_id", "turns", _prefixes(F.col("turns")).alias("hs"))
-    last = hashed.select("conv_id", "turns", "hs", F.get("hs", F.size("hs") - 1).alias("h"))
-    one = last.groupBy("h").agg(F.min_by(F.struct("conv_id", "turns"), F.coalesce("conv_id", F.lit(2**63 - 1))).alias("c"), F.count(F.lit(1)).alias("n_copies"))
-    inner = last.select(F.explode_outer(F.slice("hs", F.lit(1), F.size("hs") - 1)).alias("h")).where(F.col("h").isNotNull()).distinct()
-    kept = one.join(inner, "h", "left_anti")
-    return kept.select("c.conv_id", F.size("c.turns").cast("long").alias("n_turns"), "n_copies", render(F.col("c.turns")).alias("rendered"))
+    scratch = Scratch(turns.sparkSession)
+    turns = turns.where(F.col("conv_id").isNotNull()).select("conv_id", "turn", F.coalesce("role", F.lit("unknown")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    placed = turns.withColumn("n", F.row_number().over(order)).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
+    placed = placed.withColumn("md5", F.md5(F.concat_ws(",", "n", F.md5("role"), F.md5("text"))))
+    half = lambda a: F.bit_xor(F.conv(F.substring("md5", a, 15), 16, 10).cast("long")).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    prefixes = scratch.save(placed.select("conv_id", "n", "last", half(1).alias("h1"), half(16).alias("h2")), "prefixes")
+    key = ["n", "h1", "h2"]
+    whole = prefixes.where("last").groupBy(*key).agg(F.min("conv_id").alias("conv_id"), F.count(F.lit(1)).alias("n_copies"))
+    kept = whole.join(prefixes.where("not last").select(*key).distinct(), key, "left_anti").select("conv_id", F.col("n").cast("long").alias("n_turns"), "n_copies")
+    told = turns.join(kept, "conv_id").groupBy("conv_id", "n_turns", "n_copies").agg(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    return told.select("conv_id", "n_turns", "n_copies", render(F.col("turns")).alias("rendered"))

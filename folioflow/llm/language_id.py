@@ -4,7 +4,9 @@ A profile lists a text's most frequent letter 1- to 3-grams in order.  A documen
 profile is at the smallest out-of-place distance: the sum over the document's n-grams of how far their ranks
 lie apart, an absent n-gram counting as the full profile length.
 
-Letters are folded to lower case; every other character ends a word, and word ends take part as a blank.
+Letters, of any plane, are folded to lower case; every other character ends a word, and word ends take part as a blank.
+Rows that repeat an id are predicted each, from their own text; texts are read whole, however long.  An empty table
+gives none, and without a labelled text all is `und`.
 """
 
 from __future__ import annotations
@@ -15,20 +17,20 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_batches
+from .common import Scratch, arrow_batches, meet
 from .hashing import chunks
 
 UNKNOWN = "und"
-_LETTER = np.zeros(0x110000 >> 0, dtype=np.uint32)
+_LETTER = np.zeros(0x110000, dtype=np.uint32)
 
 
 def _letters() -> np.ndarray:
     """Code point -> folded letter, or a blank for what is no letter.  Built once in each worker."""
     if not _LETTER[97]:
-        for c in range(0x30000):
+        for c in range(0x110000):
             if (x := chr(c)).isalpha():
                 low = x.lower()
                 _LETTER[c] = ord(low) if len(low) == 1 else c
@@ -83,17 +85,11 @@ def train(labelled: DataFrame, length: int = 400, longest: int = 3, sample_docs:
     """
     arrow_batches(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    share = usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()
-    if not share:
-        return {}
+    share = Scratch(labelled.sparkSession).save(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
-    keep = F.lit(False)
-    for r in share:
-        keep = keep | ((F.col("lang") == r["lang"]) & (draw < min(1.0, sample_docs / r["n"])))
-    counted = usable.where(keep).mapInArrow(_count(longest), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    kept = meet(usable, share, "lang", "doc_id", F.length("lang")).where(draw * F.col("_n") < sample_docs).select("doc_id", "text", "lang")
+    counted = kept.mapInArrow(_count(longest), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code")))
-    from pyspark.sql import Window
-
     top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= length)
     return {r["lang"]: [x["code"] for x in r["p"]] for r in top.groupBy("lang").agg(order.alias("p")).collect()}
 

@@ -287,7 +287,8 @@ def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not mixed.isEmpty():
         dealt = _blocks(mixed.where(F.col("comp") != F.col("main")).drop("salt"), mixed.drop("salt"), ["key"], SKETCH_BLOCK, 1 << 40)
         block = ["key", "i", "j"]
-        rows = dealt.join(classes.select("v", "sketch", "bands"), "v").select(*block, "side", "v", "n", "comp", "sketch", "bands").repartition(tasks, *block).sortWithinPartitions(*block)
+        # an id with several texts has several sketches, of which those belong here that have the bucket's band
+        rows = dealt.join(classes.select("v", "sketch", "bands"), "v").where(F.array_contains("bands", F.col("key"))).select(*block, "side", "v", "n", "comp", "sketch", "bands").repartition(tasks, *block).sortWithinPartitions(*block)
         met = rows.mapInArrow(_meeting(most), "key long, v long, n long, comp long, bi long, bj long, side long")
         met = scratch.save(met, "met")
         texts = texts_of(met.select(F.col("v").alias("doc_id")))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import language_id, minhash_dedup, mixing, template_lines, token_rollup, url_filters
-from .common import Scratch
+from .common import Scratch, meet
 from .conversations import maximal_conversations
 from .decontamination import contaminated
 from .embedding_dedup import embedding_components
@@ -58,7 +58,8 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     hosts = pages.select(url_filters.host("url").alias("host")).where(F.col("host").isNotNull()).distinct()
     number = lambda c, a: F.conv(F.substring(F.md5(c), a, 4), 16, 10).cast("long")
     exact = hosts.where(number(F.col("host"), 1) % 3 == 0).select(F.col("host").alias("domain"), (number(F.col("host"), 5) % 300).alias("d"))
-    parents = hosts.select(F.regexp_extract("host", r"([^.]+\.[^.]+)$", 1).alias("domain")).where(F.col("domain") != "").distinct()
+    registered = r"([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z][a-z]|[^.]*[^.0-9\]][^.]*))$"
+    parents = hosts.select(F.regexp_extract("host", registered, 1).alias("domain")).where(F.col("domain") != "").distinct()
     parents = parents.select("domain", (number(F.col("domain"), 5) % 300).alias("d"))
     both = exact.union(parents).distinct()
     entries = both.select("domain", day(F.col("d")).alias("listed_at"), F.lit("block").alias("action")).union(both.select("domain", day(F.col("d") + 45), F.lit("allow")))
@@ -91,7 +92,8 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = _table(spark, sf_dir, "labels").where(F.col("quality") == 0).select("doc_id").distinct()
     rollup.commit("2-delete", signed(counted.join(low, "doc_id", "left_semi"), -1))
     first = counted.groupBy("key").agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    copies = counted.join(low, "doc_id", "left_anti").join(first, "key").where(F.col("doc_id") > F.col("first"))
+    first = scratch.save(first.select("key", "first"), "first")
+    copies = meet(counted.join(low, "doc_id", "left_anti"), first, "key", "doc_id", F.length("key")).where(F.col("doc_id") > F.col("first"))
     rollup.commit("3-revise", signed(copies, -1).unionByName(signed(copies, 1, "0")))
     rollup.commit("1-insert", signed(counted, 1))
     return rollup.totals()

@@ -38,13 +38,13 @@ n AS (SELECT a AS vec_id, count(*) AS n FROM link GROUP BY a)
 SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, m) AS component_id, vec_id = least(vec_id, m) AS kept
 FROM v LEFT JOIN least_id USING (vec_id) LEFT JOIN n USING (vec_id)""",
     "op6_url_filters": r"""
-WITH c AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)', 1)), '') AS host, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_at FROM pages),
+WITH c AS (SELECT page_id, nullif(lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)', 1)), '') AS host, DATE '2024-01-01' + (page_id % 366)::INT AS fetched_at FROM pages),
 h AS (SELECT DISTINCT host FROM c WHERE host IS NOT NULL),
 l AS (SELECT host AS domain, ('0x' || substr(md5(host), 5, 4))::BIGINT % 300 AS d FROM h WHERE ('0x' || substr(md5(host), 1, 4))::BIGINT % 3 = 0
-  UNION SELECT p, ('0x' || substr(md5(p), 5, 4))::BIGINT % 300 FROM (SELECT DISTINCT regexp_extract(host, '([^.]+\.[^.]+)$', 1) AS p FROM h) WHERE p <> ''),
+  UNION SELECT p, ('0x' || substr(md5(p), 5, 4))::BIGINT % 300 FROM (SELECT DISTINCT regexp_extract(host, '([^.]+\.(?:(?:ac|co|com|edu|gov|net|org)\.[a-z][a-z]|[^.]*[^.0-9\]][^.]*))$', 1) AS p FROM h) WHERE p <> ''),
 entry AS (SELECT domain, DATE '2024-01-01' + d::INT AS since, 'block' AS action FROM l UNION ALL SELECT domain, DATE '2024-01-01' + (d + 45)::INT, 'allow' FROM l),
 met AS (SELECT page_id, entry.*, row_number() OVER (PARTITION BY page_id ORDER BY length(domain) DESC, since DESC) AS k
-  FROM c JOIN entry ON (host = domain OR ends_with(host, '.' || domain)) AND since <= fetched_at)
+  FROM c JOIN entry ON (host = domain OR (ends_with(host, '.' || domain) AND NOT regexp_matches(host, '^[0-9.]+$|^\['))) AND since <= fetched_at)
 SELECT page_id, host, fetched_at, domain, since AS valid_from, coalesce(action, 'allow') AS action FROM c LEFT JOIN (SELECT * FROM met WHERE k = 1) USING (page_id)""",
     "op7_line_dedup": r"""
 WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS raw, list_transform(string_split(regexp_replace(text, '[^\x09-\x0D 0-9]*[0-9][^\x09-\x0D ]*', '<*>', 'g'), chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13) || chr(11) || chr(12))) AS ls FROM documents),
@@ -61,9 +61,10 @@ z AS (SELECT doc_id, unnest(raw) AS line, generate_subscripts(raw, 1) AS p, unne
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM z WHERE masked NOT IN (SELECT line FROM gone) GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(raw), 0)::BIGINT AS n_lines, (coalesce(len(raw), 0) - coalesce(n, 0))::BIGINT AS n_dropped, CASE WHEN raw IS NOT NULL THEN md5(coalesce(t, '')) END AS kept_md5
 FROM d LEFT JOIN kept USING (doc_id)""",
-    "op10_chat_formatting": """
-WITH c AS (SELECT conv_id, list({'r': coalesce(role, 'unknown'), 't': coalesce("text", '')} ORDER BY turn, coalesce(role, 'unknown'), coalesce("text", '')) AS ts FROM conversations GROUP BY conv_id),
+    "op10_chat_formatting": r"""
+WITH c AS (SELECT conv_id, list({'r': coalesce(role, 'unknown'), 't': coalesce("text", '')} ORDER BY turn NULLS FIRST, coalesce(role, 'unknown'), coalesce("text", '')) AS ts FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
 kept AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP BY ts)
-SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies, array_to_string(list_transform(ts, lambda x: '<|' || x.r || '|>' || chr(10) || x.t), chr(10)) AS rendered
+SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies,
+  array_to_string(list_transform(ts, lambda x: '<|' || regexp_replace(x.r, '<(\\*)\|', '<\1\\|', 'g') || '|>' || chr(10) || regexp_replace(x.t, '<(\\*)\|', '<\1\\|', 'g')), chr(10)) AS rendered
 FROM kept WHERE NOT EXISTS (SELECT 1 FROM c WHERE len(c.ts) > len(kept.ts) AND c.ts[1:len(kept.ts)] = kept.ts)""",
 }

@@ -4,12 +4,14 @@ List entries are dated: (domain, listed_at, action), action 'block' or 'allow';
 subdomains from its date until the domain's next entry.  Each capture is judged by the entry that was active at its
 fetch time, of the most specific domain that has one.
 
-Entries become validity intervals with one window over the list; captures meet them on domain and time.  Only ids,
-hosts and times move, never pages, and the as-of condition is part of the join, so a popular host costs one row
-per capture and suffix; AQE may split it.
+The as-of join is one pass: questions (host and time, once each, for the host and each parent domain) and entries are
+sorted together by domain and time, and the last entry is carried along.  So a domain with many entries and captures
+costs their sum.  Only hosts and times move, never pages; a popular domain's questions are dealt to salts, to each of
+which its entries go.
 
 Rows with null or unparsable URLs, or null fetch times, have a null host or time and are `allow` with no
-entry.  Entries with null domain or date are void; of entries of one domain and date `block` wins.
+entry.  Entries with null domain or date are void; of entries of one domain and date `block` wins.  IP addresses
+have no parent domains.  Rows that repeat a page_id are judged each; URLs of any length are read whole.
 """
 
 from __future__ import annotations
@@ -17,7 +19,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+from .common import Scratch, meet
+
+HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?(\[[^\]/?#]*\]|[^/?#:\[\]]+)"
+#: parts of a popular domain's questions
+SALTS = 16
 
 
 def host(url: str) -> Column:
@@ -30,24 +36,23 @@ def suffixes(name: str) -> Column:
     """The host and its parent domains that have at least two labels, most specific first, with their label count."""
     labels = F.split(F.col(name), r"\.")
     n = F.size(labels)
-    starts = F.when(n >= 2, F.sequence(F.lit(0), n - 2)).otherwise(F.array(F.lit(0)))
+    starts = F.when((n >= 2) & ~F.col(name).rlike(r"^[0-9.]+$|^\["), F.sequence(F.lit(0), n - 2)).otherwise(F.array(F.lit(0)))
     return F.transform(starts, lambda i: F.struct(F.array_join(F.slice(labels, i + 1, n), ".").alias("domain"), (n - i).alias("depth")))
 
 
-def intervals(entries: DataFrame) -> DataFrame:
-    """(domain, action, valid_from, valid_to): valid_to is exclusive, null while the entry is the latest."""
-    ordered = entries.where(F.col("domain").isNotNull() & F.col("listed_at").isNotNull()).groupBy(F.lower("domain").alias("domain"), "listed_at").agg(F.max("action").alias("action"))
-    nxt = F.lead("listed_at").over(Window.partitionBy("domain").orderBy("listed_at"))
-    return ordered.select("domain", "action", F.col("listed_at").alias("valid_from"), nxt.alias("valid_to"))
-
-
 def judge(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """(page_id, host, fetched_at, domain, valid_from, action) for each capture (page_id, url, fetched_at)."""
+    scratch = Scratch(captures.sparkSession)
     own = captures.select("page_id", "fetched_at", host("url").alias("host"))
-    valid = intervals(entries)
-    asked = own.where(F.col("host").isNotNull() & F.col("fetched_at").isNotNull()).select("host", "fetched_at").distinct()
-    probes = asked.select("host", "fetched_at", F.inline_outer(suffixes("host")))
-    met = probes.join(valid, (probes["domain"] == valid["domain"]) & (probes["fetched_at"] >= valid["valid_from"]) & (valid["valid_to"].isNull() | (probes["fetched_at"] < valid["valid_to"])))
-    best = met.groupBy(probes["host"], probes["fetched_at"]).agg(F.max_by(F.struct(valid["domain"], valid["valid_from"], valid["action"]), probes["depth"]).alias("hit"))
-    out = own.join(best, ["host", "fetched_at"], "left")
+    listed = entries.where(F.col("domain").isNotNull() & F.col("listed_at").isNotNull()).groupBy(F.lower("domain").alias("domain"), F.col("listed_at").alias("at")).agg(F.max("action").alias("action"))
+    listed = listed.select("domain", "at", F.lit(0).alias("asks"), F.struct(F.col("at").alias("valid_from"), "action").alias("entry"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    asked = own.where(F.col("host").isNotNull() & F.col("fetched_at").isNotNull()).select("host", F.col("fetched_at").alias("at")).distinct()
+    asked = asked.select("host", "at", F.inline_outer(suffixes("host")), F.pmod(F.xxhash64("host", "at"), F.lit(SALTS)).cast("int").alias("salt"), F.lit(1).alias("asks"))
+    # an entry of the day itself is in force, so entries come before questions of a time
+    past = Window.partitionBy("domain", "salt").orderBy("at", "asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    both = listed.unionByName(asked, allowMissingColumns=True).withColumn("entry", F.last("entry", ignorenulls=True).over(past))
+    hits = both.where((F.col("asks") == 1) & F.col("entry").isNotNull())
+    best = hits.groupBy("host", F.col("at").alias("fetched_at")).agg(F.max_by(F.struct("domain", "entry.valid_from", "entry.action"), "depth").alias("hit"))
+    best = scratch.save(best, "best")
+    out = meet(own, best, ["host", "fetched_at"], "page_id", 2 * F.length("host") + 16, "left")
     return out.select("page_id", "host", "fetched_at", F.col("hit.domain").alias("domain"), F.col("hit.valid_from").alias("valid_from"), F.coalesce("hit.action", F.lit("allow")).alias("action"))

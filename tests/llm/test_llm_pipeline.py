@@ -3,9 +3,8 @@
 from collections import defaultdict
 
 import corpus_pipeline
-from folioflow.llm import mixing
 
-from tests.llm.test_llm_edges import brute_components
+from tests.llm.test_llm_edges import brute_components, plain_targets
 
 
 def test_stages(spark, sf_dir):
@@ -26,7 +25,7 @@ def test_stages(spark, sf_dir):
     for r in outputs["mixing"]:
         sizes[r.source] += r["size"]
         taken[r.source] += r.taken
-    target = mixing.targets(dict(sizes))
+    target = plain_targets(dict(sizes))
     assert sorted(r.doc_id for r in outputs["mixing"]) == sorted(clean) and all(abs(taken[s] - target[s]) <= 1 + 0.05 * sizes[s] for s in sizes)
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, outputs["mixing"]))
 

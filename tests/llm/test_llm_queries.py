@@ -6,7 +6,9 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.llm import mixing, queries
+from folioflow.llm import queries
+
+from tests.llm.test_llm_edges import plain_targets
 
 
 @pytest.mark.parametrize("name", sorted(queries.SQL))
@@ -56,7 +58,7 @@ def test_mix_meets_its_targets(spark, sf_dir):
         target[r.source] = r.target
         assert r.taken <= 3 * r["size"] and (r["size"] == 0 or r.taken % r["size"] == 0)
     assert all(r.source_size == sizes[r.source] for r in rows)
-    assert target == pytest.approx(mixing.targets(dict(sizes)))
+    assert target == pytest.approx(plain_targets(dict(sizes)))
     assert all(abs(taken[s] - target[s]) <= 1 + 0.05 * sizes[s] for s in sizes)
 
 
