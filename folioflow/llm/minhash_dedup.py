@@ -39,8 +39,8 @@ BANDS, ROWS = 32, 6
 BITS = 512
 #: members of one side of a block, while sketches are compared, and members and shingles while words are
 SKETCH_BLOCK, WORD_BLOCK, WORD_SHINGLES = 4096, 512, 200_000
-#: shingles of the texts that one part of a hub's pairs holds
-PART_SHINGLES = 500_000
+#: pairs of a hub that one part holds, and shingles of their texts
+PART_PAIRS, PART_SHINGLES = 256, 500_000
 #: parts of a hot key in joins
 SALTS = 63
 _FACTORS = np.random.Generator(np.random.PCG64(7)).integers(1, 2**63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -260,7 +260,7 @@ def minhash_components(docs: DataFrame, percent: int = 85) -> DataFrame:
     first = members.join(hubs, ["key", "salt"]).where(F.col("v") != F.col("hub")).select(F.col("hub").alias("a"), F.col("v").alias("b"), _salt("v").alias("salt")).distinct()
     detail = classes.select("v", "n", "sketch")
     first = scratch.save(first.join(detail.toDF("b", "n", "sb"), "b"), "met")
-    stars = _salted(first, ["a"], F.ceil(F.sum("n") / PART_SHINGLES).cast("int").alias("parts")).join(detail.select(F.col("v").alias("a"), F.col("sketch").alias("sa")), "a")
+    stars = _salted(first, ["a"], F.ceil(F.greatest(F.count(F.lit(1)) / PART_PAIRS, F.sum("n") / PART_SHINGLES)).cast("int").alias("parts")).join(detail.select(F.col("v").alias("a"), F.col("sketch").alias("sa")), "a")
     part = F.pmod(F.xxhash64("b", F.lit(1)), F.col("parts")).cast("int")
     pairs = scratch.save(first.join(stars, ["a", "salt"]).where(_alike("sa", "sb", most)).select("a", part.alias("part"), "b"), "pairs")
     scratch.drop(first)
