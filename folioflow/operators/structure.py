@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,11 +46,18 @@ def text_facts(nodes: DataFrame, doc: str) -> DataFrame:
     return nodes.groupBy(doc).agg(F.count(F.lit(1)).alias("n_paragraphs"), F.md5(F.array_join(ordered, "\n")).alias("text_md5"))
 
 
+#: styles that no body paragraph has (fixed values)
+NOT_BODY = ("heading", "title", "subtitle")
+
+
 def body_anchor(paras: Column, at: float = 0.8, shortest: int = 8, snippet: int = 80) -> Column:
-    """Head of the eligible paragraph at a share of the way through the document; headings are not eligible."""
-    ok = F.filter(paras, lambda p: (F.length(F.trim(p)) >= shortest) & ~F.lower(p).rlike(r"^(heading|title|subtitle)"))
+    """Head of the eligible paragraph at a share of the way through the document.  `paras` is an array of (text, style);
+    paragraphs of a heading's or title's style are not eligible, whatever their text says, nor are short ones."""
+    style = lambda p: F.lower(F.coalesce(p["style"], F.lit("")))
+    heads = lambda p: reduce(lambda x, y: x | y, [F.startswith(style(p), F.lit(n)) for n in NOT_BODY])
+    ok = F.filter(paras, lambda p: (F.length(F.trim(p["text"])) >= shortest) & ~heads(p))
     n = F.size(ok)
-    return F.when(n > 0, F.substring(F.get(ok, F.least(F.floor(n * at), n - 1).cast("int")), 1, snippet))
+    return F.when(n > 0, F.substring(F.get(ok, F.least(F.floor(n * at), n - 1).cast("int"))["text"], 1, snippet))
 
 
 def resolve_marker(paras: Column, marker: Column) -> Column:
@@ -82,17 +91,18 @@ def reorder_plan(headings: DataFrame, doc: str) -> DataFrame:
 
 
 def chain_depth(parents: DataFrame, child: str, parent: str, most: int = 50) -> DataFrame:
-    """Length of each node's chain of parents, at most `most` + 1; cycles end at the first repeat.
+    """Number of steps from each node along its parents until one has no parent or was met before, at most `most` + 1.
+    So a cycle of two has depth 2, and a parent that is not defined counts as a step.
 
-    Pointer doubling: each round joins the table with itself and doubles the distance, so a depth of `most` takes
-    log2(most) joins instead of one for each level.
+    Pointer doubling: each round joins the table with itself and doubles the path that a node knows, so a depth of
+    `most` takes log2(most) joins instead of one for each level, and paths hold 2 * `most` ids at the longest.
     """
-    steps = parents.select(F.col(child).alias("n"), F.col(parent).alias("up"))
-    known = steps.select(F.col("n").alias("k"))
-    jump = steps.join(known, steps["up"] == known["k"], "left").select("n", F.col("k").alias("up"), F.when(F.col("k").isNull(), 0).otherwise(1).cast("long").alias("depth"))
+    up = F.col(parent)
+    jump = parents.select(F.col(child).alias("n"), up.alias("up"), F.when(up.isNull(), F.slice(F.array(child), 1, 0)).otherwise(F.array(child)).alias("path"))
     reach = 1
     while reach <= most:
-        on = jump.select(F.col("n").alias("m"), F.col("up").alias("far"), F.col("depth").alias("more"))
-        jump = jump.join(on, jump["up"] == on["m"], "left").select("n", F.col("far").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+        on = jump.select(F.col("n").alias("m"), F.col("up").alias("far"), F.col("path").alias("more"))
+        path = F.when(F.col("more").isNull(), F.col("path")).otherwise(F.concat("path", "more"))
+        jump = jump.join(on, jump["up"] == on["m"], "left").select("n", F.col("far").alias("up"), path.alias("path"))
         reach *= 2
-    return jump.select(F.col("n").alias(child), F.least("depth", F.lit(most + 1)).alias("depth"))
+    return jump.select(F.col("n").alias(child), F.least(F.size(F.array_distinct("path")), F.lit(most + 1)).cast("long").alias("depth"))

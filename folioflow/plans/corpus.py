@@ -73,7 +73,7 @@ def holdout_hash_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _NEAR = f"""WITH l AS (SELECT DISTINCT doc_id AS i, md5({NORM.format('x')}) AS f FROM (SELECT doc_id, unnest({LINES}) AS x FROM documents)),
- n AS (SELECT i, count(*) AS n FROM l GROUP BY i), r AS (SELECT f FROM l GROUP BY f HAVING count(*) BETWEEN 2 AND 64),
+ n AS (SELECT i, count(*) AS n FROM l GROUP BY i), r AS (SELECT f FROM l GROUP BY f HAVING count(*) > 1),
  p AS (SELECT DISTINCT x.i AS a, y.i AS b FROM l x JOIN r USING (f) JOIN l y ON y.f = x.f AND x.i < y.i),
  s AS (SELECT a, b, count(*) AS c FROM p JOIN l x ON x.i = a JOIN l y ON y.i = b AND y.f = x.f GROUP BY a, b),
  near AS (SELECT a, b, round(c / (u.n + v.n - c), 6) AS jaccard FROM s JOIN n u ON u.i = a JOIN n v ON v.i = b WHERE c / (u.n + v.n - c) >= 0.8)"""
@@ -122,21 +122,27 @@ def screening_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ISSUES = f"""WITH d AS (SELECT d.doc_id, text, n_chars, toxic, q.doc_id AS known, count(*) OVER (PARTITION BY sha256(text)) AS copies, len({LINES}) AS n FROM documents d LEFT JOIN labels q USING (doc_id)),
  issue AS (SELECT doc_id, 'duplicate_bytes' AS kind, copies::VARCHAR AS detail FROM d WHERE copies > 1
   UNION ALL SELECT doc_id, 'no_verdict', '' FROM d WHERE known IS NULL UNION ALL SELECT doc_id, 'toxic', '' FROM d WHERE toxic = 1
-  UNION ALL SELECT doc_id, 'single_paragraph', '' FROM d WHERE n <= 1 UNION ALL SELECT doc_id, 'short', n_chars::VARCHAR FROM d WHERE n_chars < 200)"""
+  UNION ALL SELECT doc_id, 'single_paragraph', '' FROM d WHERE n <= 1 UNION ALL SELECT doc_id, 'short', n_chars::VARCHAR FROM d WHERE n_chars < 200
+  UNION ALL SELECT doc_id, 'empty', '' FROM d WHERE n_chars = 0)"""
 
 
 def _issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "n_chars", F.sha2("text", 256).alias("h"), F.size(T.paragraphs(F.col("text"))).alias("n"))
-    copies = docs.groupBy("h").agg(F.count(F.lit(1)).alias("copies"))
-    facts = docs.join(copies, "h").join(table(spark, sf_dir, "labels").select("doc_id", "toxic", F.lit(True).alias("known")), "doc_id", "left")
-    rules = {
+    # a null text has no hash; such documents are copies of each other and keep their other issues
+    copies = docs.groupBy("h").agg(F.count(F.lit(1)).alias("copies")).withColumnRenamed("h", "h_")
+    facts = docs.join(copies, F.col("h").eqNullSafe(F.col("h_"))).join(table(spark, sf_dir, "labels").select("doc_id", "toxic", F.lit(True).alias("known")), "doc_id", "left")
+    return audit.issues(facts, "doc_id", _rules())
+
+
+def _rules() -> dict:
+    return {
         "duplicate_bytes": (F.col("copies") > 1, F.col("copies").cast("string")),
         "no_verdict": (F.col("known").isNull(), F.lit("")),
         "toxic": (F.col("toxic") == 1, F.lit("")),
         "single_paragraph": (F.col("n") <= 1, F.lit("")),
         "short": (F.col("n_chars") < 200, F.col("n_chars").cast("string")),
+        "empty": (F.col("n_chars") == 0, F.lit("")),
     }
-    return audit.issues(facts, "doc_id", rules)
 
 
 @query(f"{_ISSUES} SELECT * FROM issue")
@@ -149,11 +155,15 @@ def issue_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _issues(spark, sf_dir).groupBy("kind").agg(F.count(F.lit(1)).alias("issues"), F.count_distinct("doc_id").alias("documents"))
 
 
-@query(f"""{_ISSUES}, c AS (SELECT kind AS name, kind IN ('duplicate_bytes', 'toxic') AS blocking, count(*) = 0 AS passed FROM issue GROUP BY kind)
+@query(f"""{_ISSUES}, k AS (SELECT unnest(['duplicate_bytes', 'no_verdict', 'toxic', 'single_paragraph', 'short', 'empty']) AS name),
+ c AS (SELECT name, name IN ('duplicate_bytes', 'empty') AS blocking, NOT EXISTS (SELECT 1 FROM issue WHERE kind = name) AS passed FROM k)
  SELECT count(*) AS checks, count(*) FILTER (NOT passed) AS failed, count(*) FILTER (blocking AND NOT passed) AS blocking_failures, count(*) FILTER (blocking AND NOT passed) = 0 AS gate_passed FROM c""")
 def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = _issues(spark, sf_dir).groupBy(F.col("kind").alias("name")).agg((F.count(F.lit(1)) == 0).alias("passed"))
-    return audit.gate(checks.withColumn("blocking", F.col("name").isin("duplicate_bytes", "toxic")))
+    """A check for each rule, passed if it found nothing."""
+    rules = spark.createDataFrame([(name,) for name in _rules()], "name string")  # one row for each rule
+    found = _issues(spark, sf_dir).groupBy(F.col("kind").alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    checks = rules.join(found, "name", "left").select("name", F.col("n").isNull().alias("passed"))
+    return audit.gate(checks.withColumn("blocking", F.col("name").isin("duplicate_bytes", "empty")))
 
 
 @query("""WITH p AS (SELECT page_id, url, html FROM pages), e AS (SELECT page_id,

@@ -8,8 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import stats
 from .base import query, table
 
-#: replicates of the SQL; the queries take stats.REPLICATES
-REPS = 200
+REPS = stats.REPLICATES
 _U = "('0x' || substr(md5(concat_ws('|', '20260828', rep::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT"
 
 
@@ -37,7 +36,7 @@ def bootstrap_ci_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 def boundary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user of an event type counts as a success: the exact interval for n of n."""
     users = table(spark, sf_dir, "events").select("event_type", "user_id").distinct().withColumn("passed", F.lit(1.0))
-    return stats.bootstrap_ci(users, ["event_type"], "passed", "user_id", replicates=40)
+    return stats.bootstrap_ci(users, ["event_type"], "passed", "user_id")
 
 
 _TEST = f"""g AS (SELECT grp, list(d ORDER BY doc_id) AS ds FROM d WHERE d IS NOT NULL GROUP BY grp),
@@ -97,10 +96,10 @@ def steady_state_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
  w AS (SELECT family, doc, max(outcome) FILTER (arm = 'control') AS control, max(outcome) FILTER (arm = 'treatment') AS treatment FROM last_one GROUP BY ALL),
  m AS (SELECT family, count(control) AS n_control, count(treatment) AS n_treatment, round(avg(control), 6) AS mean_control, round(avg(treatment), 6) AS mean_treatment FROM w GROUP BY family),
  x AS (SELECT family, count(*) FILTER (outcome IS NULL) AS not_applicable FROM c GROUP BY family),
- d AS (SELECT family AS grp, doc AS doc_id, treatment - control AS d FROM w), {_TEST.replace('range(200)', 'range(50)')}
+ d AS (SELECT family AS grp, doc AS doc_id, treatment - control AS d FROM w), {_TEST}
  SELECT m.*, not_applicable, coalesce(n, 0) AS n_pairs, difference, p FROM m JOIN x USING (family) LEFT JOIN t ON grp = family""")
 def ab_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ab_report(_chains(spark, sf_dir), ["family"], "doc", "arm", "outcome", "chain_id", replicates=50)
+    return stats.ab_report(_chains(spark, sf_dir), ["family"], "doc", "arm", "outcome", "chain_id")
 
 
 @query("""SELECT event_type, metric, count(value) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, 'cost' AS metric, CASE WHEN value > 5 THEN value END AS value FROM events UNION ALL SELECT event_type, 'k', json_extract_string(props, '$.k')::DOUBLE FROM events) GROUP BY ALL""")

@@ -52,10 +52,12 @@ def rows_per_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return structure.children_count(parents, edges, "node_id")
 
 
-@query(f"""SELECT doc_id, CASE WHEN len(p) > 0 THEN substr(p[least(floor(len(p) * 0.8::DOUBLE), len(p) - 1)::BIGINT + 1], 1, 80) END AS anchor
- FROM (SELECT doc_id, list_filter({LINES}, lambda x: length(trim(x)) >= 8 AND NOT regexp_matches(lower(x), '^(heading|title|subtitle)')) AS p FROM documents)""")
+@query(f"""WITH p AS (SELECT doc_id, ord, text FROM ({_PARAS}) WHERE length(trim(text)) >= 8 AND (ord % 7 <> 0 OR ord % 14 = 7)), n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY ord) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n FROM p)
+ SELECT doc_id, substr(text, 1, 80) AS anchor FROM documents LEFT JOIN (SELECT doc_id, text FROM n WHERE k = least(floor(n * 0.8::DOUBLE), n - 1)) t USING (doc_id)""".replace("SELECT doc_id, substr(text, 1, 80)", "SELECT documents.doc_id, substr(t.text, 1, 80)"))
 def body_anchor_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", T.paragraphs(F.col("text")).alias("p"))
+    """Of every fourteen paragraphs one has a heading's style, one none, and the others a body style."""
+    style = lambda i: F.when(i % 14 == 0, "Heading 2").when(i % 14 != 7, "Body Text")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.transform(T.paragraphs(F.col("text")), lambda x, i: F.struct(x.alias("text"), style(i).alias("style"))).alias("p"))
     return docs.select("doc_id", structure.body_anchor(F.col("p")).alias("anchor"))
 
 
@@ -92,13 +94,19 @@ def page_link_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return refs.groupBy("ref").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("page_id").alias("pages"))
 
 
-@query("""WITH RECURSIVE c AS (SELECT p_partkey AS node, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE p_partkey - (p_partkey % 7) END AS parent FROM part),
- w(node, up, depth) AS (SELECT node, parent, 0::BIGINT FROM c UNION ALL SELECT w.node, c.parent, depth + 1 FROM w JOIN c ON c.node = w.up WHERE depth < 51)
- SELECT node, max(depth) AS depth FROM w GROUP BY node""")
+#: of every thousand keys: roots at 0 and 50, cycles of two at 60 and 80 and one of sixty at 140, an undefined parent at 99
+_BASED = "CASE WHEN p_partkey % 1000 IN (0, 50) THEN NULL WHEN p_partkey % 1000 IN (60, 80) THEN p_partkey + 1 WHEN p_partkey % 1000 = 99 THEN -1 WHEN p_partkey % 1000 = 140 THEN p_partkey + 59 ELSE p_partkey - 1 END"
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT p_partkey AS node, {_BASED} AS parent FROM part),
+ w(node, cur, seen) AS (SELECT node, node, []::BIGINT[] FROM c UNION ALL SELECT w.node, c.parent, w.seen || [w.cur::BIGINT] FROM w JOIN c ON c.node = w.cur WHERE c.parent IS NOT NULL AND NOT list_contains(w.seen, w.cur) AND len(w.seen) < 51)
+ SELECT node, max(len(seen))::BIGINT AS depth FROM w GROUP BY node""")
 def style_inheritance_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("node"))
-    parents = part.withColumn("parent", F.when(F.col("node") % 7 != 0, F.col("node") - F.col("node") % 7))
-    return structure.chain_depth(parents, "node", "parent")
+    """Part keys as styles: each is based on the one before, but for roots, cycles, and bases that are not defined."""
+    node = F.col("p_partkey")
+    at = node % 1000
+    parent = F.when(at.isin(0, 50), None).when(at.isin(60, 80), node + 1).when(at == 99, F.lit(-1)).when(at == 140, node + 59).otherwise(node - 1)
+    return structure.chain_depth(table(spark, sf_dir, "part").select(node.alias("node"), parent.alias("parent")), "node", "parent")
 
 
 @query("""SELECT event_id, CASE WHEN event_type IS NULL THEN 'not_run_missing' WHEN event_type = 'error' AND value > 50 THEN 'blocked' WHEN event_type = 'error' THEN 'failed' WHEN value < 1 THEN 'not_run_budget' ELSE 'completed' END AS status FROM events""")

@@ -191,9 +191,11 @@ def test_modal_profile(spark):
 
 
 def test_chain_depth_with_cycle(spark):
-    parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x")], "n string, up string")
+    long = [(f"l{i}", f"l{i + 1}") for i in range(9)] + [("l9", None)]
+    parents = spark.createDataFrame([("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("t", "x"), ("u", "nowhere"), ("s", "s"), *long], "n string, up string")
     got = {r.n: r.depth for r in structure.chain_depth(parents, "n", "up", most=5).collect()}
-    assert (got["a"], got["b"], got["c"]) == (0, 1, 2) and got["x"] == got["y"] == 6
+    assert (got["a"], got["b"], got["c"]) == (0, 1, 2) and got["x"] == got["y"] == 2 and got["t"] == 3 and got["u"] == got["s"] == 1
+    assert [got[f"l{i}"] for i in range(10)] == [6, 6, 6, 6, 5, 4, 3, 2, 1, 0]
 
 
 def test_preceding_and_containment(spark):

@@ -19,6 +19,23 @@ def test_alignment_bounds(spark, sf_dir):
     assert all(r.accuracy is None or 0 <= r.accuracy <= 1 for r in fuzzy)
 
 
+def test_edit_distance_by_brute_force(spark, tmp_path):
+    texts = ["Añb  C", "acb c", "", "x" * 300, "x" * 150 + "é" + "x" * 149, "日本語テキスト", "日本テキスト!"]
+    spark.createDataFrame([(1, "\n".join(texts)), (2, None)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.ord: r.distance for r in registry.QUERIES["char_edit_distance"](spark, str(tmp_path)).collect()}
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y)))
+        return row[-1]
+
+    kept = [" ".join(t.lower().split()) for t in texts if t]
+    assert got == {i: distance(a, b) for i, (a, b) in enumerate(zip(kept, kept[1:]))}
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
