@@ -139,3 +139,37 @@ def drift(sides: DataFrame, doc: str) -> DataFrame:
         return ("identical" if rest == g else "count_changed" if len(rest) != len(g) else "drifted"), f1, len(rest) - len(g)
 
     return _rows(sides.select(doc, "gold", "cand", "marker"), doc, "status string, f1 double, count_change long", score)
+
+
+#: verdicts of a round trip, the first that holds (fixed values)
+ROUND_TRIP = {
+    "marker": "marker_paragraph_missing_after_round_trip",
+    "paragraphs": "unintended_paragraph_drift_detected",
+    "tables": "table_count_drift_detected",
+    "rows": "table_row_count_drift_detected",
+    "labels": "equation_semantic_drift_detected",
+    "clean": "clean_round_trip",
+}
+
+
+def round_trip(sides: DataFrame, doc: str) -> DataFrame:
+    """What a round trip changed besides the marker that it was to append.
+
+    `sides` has doc, the lists gold and cand of paragraphs, marker, rows and rows_after (row counts of the tables), and
+    labels and labels_after (of the equations, as told from their XML).  The last paragraph that equals the marker goes;
+    what is left must correspond to gold in full.  Without any paragraph F1 is undefined, which counts as drift.
+    """
+
+    def score(gold, cand, marker, rows, rows_after, labels, labels_after):
+        before, after, mark = [_norm(x) for x in gold], [_norm(x) for x in cand], _norm(marker)
+        at = max((i for i, x in enumerate(after) if x == mark), default=None)
+        left = after if at is None else after[:at] + after[at + 1 :]
+        f1 = _prf(len(matched_pairs(before, left)), len(before), len(left))[2]
+        tables = len(rows) == len(rows_after)
+        counts = list(rows) == list(rows_after) if tables else None
+        same = list(labels) == list(labels_after)
+        state = next((name for name, bad in (("marker", at is None), ("paragraphs", f1 != 1.0), ("tables", not tables), ("rows", not counts), ("labels", not same)) if bad), "clean")
+        return at is not None, f1, tables, counts, same, ROUND_TRIP[state]
+
+    schema = "marker_found boolean, f1 double, table_count_stable boolean, row_counts_stable boolean, labels_stable boolean, status string"
+    return _rows(sides.select(doc, "gold", "cand", "marker", "rows", "rows_after", "labels", "labels_after"), doc, schema, score)

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import prf1, shuffle_key
+from . import alignment
 
 
 def rounded(columns: dict[str, Column], places: int = 6) -> list[Column]:
@@ -92,6 +93,14 @@ def capability_gate(scores: DataFrame, capabilities: DataFrame) -> DataFrame:
     return joined.select(*[c for c in scores.columns if c != "value"], F.when(ok, F.col("value")).alias("value"), F.when(~ok, "not_applicable: unsupported").when(F.col("value").isNull(), "undefined").otherwise("scored").alias("status"))
 
 
+def caption_scores(sides: DataFrame, doc: str, capable: dict[str, bool]) -> DataFrame:
+    """F1 of caption texts in order (doc, metric, system, value, status); null for systems that tell no captions.
+    `sides` has doc, gold and cand lists."""
+    scored = alignment.align(sides, doc).select(doc, F.lit("caption_f1").alias("metric"), F.explode(F.array(*[F.lit(s) for s in capable])).alias("system"), F.col("f1").alias("value"))
+    flags = sides.sparkSession.createDataFrame([(s, "caption_f1", c) for s, c in capable.items()], "system string, metric string, capable boolean")
+    return capability_gate(scored, flags).select(doc, "metric", "system", "value", "status")
+
+
 def micro_macro(counts: DataFrame, group: str) -> DataFrame:
     """Micro (sums first) and macro (mean of documents) F1 of (matched, n_gold, n_cand) rows."""
     f1 = prf1(F.col("matched"), F.col("n_gold"), F.col("n_cand"))["f1"]

@@ -16,10 +16,12 @@ from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MOST_BYTES = 256 << 20
+#: bytes of packages whose results are held at a time
+BATCH_BYTES = 4 << 20
 # fixed values: namespaces of the format
 W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 W14 = "{http://schemas.microsoft.com/office/word/2010/wordml}"
@@ -208,14 +210,19 @@ def _per_package(packages: DataFrame, schema: str, one: Callable[[bytes], dict])
     columns = [c.split()[0] for c in schema.split("; ")]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["path", *columns, "error"]
         for pdf in batches:
-            rows = []
+            rows, held = [], 0
             for path, content in zip(pdf["path"], pdf["content"]):
                 try:
                     rows.append({"path": path, **one(content), "error": None})
                 except Exception as exc:  # a bad package is a row, not a failed job
                     rows.append({"path": path, "error": f"{type(exc).__name__}: {exc}"[:500]})
-            yield pd.DataFrame([{c: r.get(c) for c in ["path", *columns, "error"]} for r in rows], columns=["path", *columns, "error"])
+                held += len(content or b"")
+                if held > BATCH_BYTES:  # results leave as they come, not a whole batch at once
+                    yield pd.DataFrame([{c: r.get(c) for c in names} for r in rows], columns=names)
+                    rows, held = [], 0
+            yield pd.DataFrame([{c: r.get(c) for c in names} for r in rows], columns=names)
 
     return packages.select("path", "content").mapInPandas(run, "path string, " + schema.replace("; ", ", ") + ", error string")
 
@@ -242,6 +249,21 @@ def extract(packages: DataFrame, compat: bool = True) -> DataFrame:
     return _per_package(packages, f"sha256 string; nodes {_NODE}; edges {_EDGE}; uncertainty {_DOUBT}; text string; grids array<array<int>>", one)
 
 
+def relabel(raw: str) -> Column:
+    """An equation's label told again from its XML; null for null or unparsable XML."""
+
+    def one(xml: str | None) -> str | None:
+        try:
+            return equation_label(parse_xml(xml.encode())) if xml else None
+        except ElementTree.ParseError:
+            return None
+
+    def many(xs: pd.Series) -> pd.Series:
+        return xs.map(one)
+
+    return F.pandas_udf(many, "string")(F.col(raw))
+
+
 def nodes(extracted: DataFrame) -> DataFrame:
     return extracted.select("path", F.inline("nodes"))
 
