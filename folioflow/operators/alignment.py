@@ -59,6 +59,11 @@ def _rows(sides: DataFrame, doc: str, schema: str, score) -> DataFrame:
     return sides.mapInPandas(run, f"{doc} {key}, {schema}")
 
 
+def inversion_counts(listed: DataFrame, doc: str) -> DataFrame:
+    """(doc, matched, discordant) of a list of positions for each document."""
+    return _rows(listed, doc, "matched long, discordant long", lambda positions: (len(positions), inversions(list(positions))))
+
+
 def align(sides: DataFrame, doc: str) -> DataFrame:
     """Precision, recall and F1 of paragraphs in order; `sides` has doc, gold and cand lists."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,3 +85,31 @@ def structure_regressions(counts: DataFrame, item: str, variant: str, baseline:
     base = counts.where(F.col(variant) == baseline).select(item, F.struct(*columns).alias("base"))
     other = counts.where(F.col(variant) != baseline).select(item, variant, F.struct(*columns).alias("own"))
     return other.join(base, item).select(item, variant, changed_fields(F.col("base"), F.col("own"), columns).alias("changed")).where(F.size("changed") > 0)
+
+
+#: name heads of items that were written by hand (fixed values)
+HAND_AUTHORED = ("fixture-", "composite-")
+#: what a result says when its tools were missing (fixed values)
+FLAKES = ("doesn't exist in my toolset", "isn't loaded in this session", "no way to modify or save")
+
+
+def hand_authored(name: Column) -> Column:
+    return F.coalesce(reduce(lambda a, b: a | b, [F.startswith(name, F.lit(h)) for h in HAND_AUTHORED]), F.lit(False))
+
+
+def flake(arm: Column, changed: Column, result: Column) -> Column:
+    """A treatment that changed nothing and says that its tools were missing."""
+    said = reduce(lambda a, b: a | b, [F.contains(result, F.lit(p)) for p in FLAKES])
+    return F.coalesce((arm == "treatment") & ~F.coalesce(changed, F.lit(False)) & said, F.lit(False))
+
+
+def orphans(before: Column, after: Column, owned: Column) -> dict[str, Column]:
+    """Set differences of process ids around a run, and what became of the process that it owned."""
+    new = F.array_sort(F.array_except(after, before))
+    running = F.coalesce(F.array_contains(after, owned), F.lit(False))
+    return {
+        "new_pids": new,
+        "untouched_pids": F.array_sort(F.array_intersect(before, after)),
+        "status": F.when(running, "orphan_still_running").when(F.size(new) > 0, "unattributed_new_process").otherwise("clean_no_new_word_process"),
+        "orphan_pids": F.when(running, F.array(owned)).when(F.size(new) > 0, new).otherwise(F.array().cast("array<long>")),
+    }

@@ -87,6 +87,30 @@ def dispatch(family: Column, graders: dict[str, dict[str, Column]]) -> Column:
     return out
 
 
+def graders(before: Column, after: Column, marker: Column, anchor: Column, equations: Column, forward: bool) -> dict[str, dict[str, Column]]:
+    """The checks of each family of edits, forward or back (families: fixed values).  `anchor` is the paragraph that an
+    inline edit goes to, or the heading that moves; `equations` are the output's equation texts."""
+    if forward:
+        add = forward_add(before, after, marker)
+        return {
+            "bibliography": add,
+            "caption": add,
+            "citation": forward_inline(before, after, marker, anchor),
+            "section_reorder": forward_reorder(before, after, anchor),
+            "equation": forward_equation(before, after, marker, equations),
+            "table_structural": forward_table(before, after, marker),
+        }
+    add = inverse_add(before, after, marker)
+    return {
+        "bibliography": add,
+        "caption": add,
+        "citation": inverse_inline(before, after, marker),
+        "section_reorder": inverse_reorder(before, after),
+        "equation": inverse_equation(before, after, marker, equations),
+        "table_structural": inverse_table(before, after, marker),
+    }
+
+
 def task_completed(returncode: Column, timed_out: Column, changed: Column, graded: Column) -> Column:
     """A killed process still counts if it left a changed output that passes."""
     ran = F.coalesce((returncode == 0) & ~timed_out, F.lit(False))

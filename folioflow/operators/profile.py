@@ -61,8 +61,8 @@ def match_templates(long: DataFrame, templates: DataFrame, doc: str) -> DataFram
     values of a template against its size.  `templates` has template, rank, category, node, value_json."""
     size = templates.groupBy("template").agg(F.count(F.lit(1)).alias("size"))
     own = long.select(doc, "category", "node", F.col("value_json").alias("own"))
-    hits = own.join(F.broadcast(templates), ["category", "node"]).where(F.col("own").eqNullSafe(F.col("value_json")))
-    full = hits.groupBy(doc, "template", "rank").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(size), "template").where(F.col("n") == F.col("size"))
+    hits = own.join((templates), ["category", "node"]).where(F.col("own").eqNullSafe(F.col("value_json")))
+    full = hits.groupBy(doc, "template", "rank").agg(F.count(F.lit(1)).alias("n")).join((size), "template").where(F.col("n") == F.col("size"))
     best = full.groupBy(doc).agg(F.min_by("template", F.struct("rank", "template")).alias("template"))
     return long.select(doc).distinct().join(best, doc, "left")
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,26 +48,42 @@ def group_split(families: DataFrame, fractions: dict[str, float], seed: str, fam
     """(family, size, split): whole families go, by falling size, to the split that lacks most; ties go by the order
     of the splits, families of one size in seeded order.
 
-    Every choice depends on all before, so families are folded in one row's array.  That array holds one entry for a
-    family, never for a document.
+    Every choice depends on all before, so the sorted families run through one task, which keeps what each split lacks
+    and nothing else: any number of families takes constant memory.
     """
     check_fractions(fractions)
     names = list(fractions)
-    total = families.agg(F.sum(size).alias("t"))
-    entry = F.struct((-F.col(size)).alias("order"), shuffle_key(F.lit(seed), F.col(family)).alias("key"), F.col(family).alias("family"), F.col(size).cast("long").alias("size"))
-    listed = families.agg(F.array_sort(F.collect_list(entry)).alias("fs")).crossJoin(total)
-    start = F.struct(*[(F.col("t") * F.lit(fractions[n])).alias(n) for n in names], F.array().cast("array<struct<family:string,size:bigint,split:string>>").alias("done"))
-
-    def place(state: Column, x: Column) -> Column:
-        best = F.greatest(*[state[n] for n in names])
-        choice = F.lit(names[-1])
-        for n in reversed(names[:-1]):
-            choice = F.when(state[n] == best, F.lit(n)).otherwise(choice)
-        left = [(state[n] - F.when(choice == n, x["size"]).otherwise(F.lit(0))).alias(n) for n in names]
-        return F.struct(*left, F.concat(state["done"], F.array(F.struct(x["family"].cast("string").alias("family"), x["size"].alias("size"), choice.alias("split")))).alias("done"))
-
-    placed = listed.select(F.aggregate("fs", start, place)["done"].alias("done"))
-    return placed.select(F.inline("done"))
+    total = families.agg(F.sum(size)).first()[0] or 0
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lacks = [total * fractions[n] for n in names]
+        for pdf in batches:
+            chosen = []
+            for n in pdf["size"].tolist():
+                at = lacks.index(max(lacks))
+                lacks[at] -= n
+                chosen.append(names[at])
+            yield pd.DataFrame({"family": pdf["family"], "size": pdf["size"], "split": chosen})
+
+    rows = families.select(F.col(family).cast("string").alias("family"), F.col(size).cast("long").alias("size"), shuffle_key(F.lit(seed), F.col(family)).alias("key"))
+    ordered = rows.repartition(1).sortWithinPartitions(F.desc("size"), "key").select("family", "size")
+    return ordered.mapInPandas(place, "family string, size long, split string")
+
+
+def resolve_slices(slices: DataFrame, asked: str, order: list[str]) -> DataFrame:
+    """Rows of one slice, or for `all` those of every slice in order, with the slice's rank; `slices` has a column slice."""
+    if asked != "all" and asked not in order:
+        raise ValueError(f"unknown slice {asked}")
+    rank = F.array_position(F.array(*[F.lit(n) for n in order]), F.col("slice"))
+    return slices.withColumn("slice_rank", rank.cast("long")).where((F.col("slice_rank") > 0) & F.lit(asked == "all") | (F.col("slice") == asked))
+
+
+def first_checked(items: DataFrame, order: list[str], n: int) -> DataFrame:
+    """All items; the first n in order are to be checked, all others are `not_run` and say why."""
+    head = items.select(*order).orderBy(*order).limit(max(n, 0)).withColumn("_head", F.lit(True))
+    joined = items.join(head, order, "left")
+    run = F.coalesce("_head", F.lit(False))
+    return joined.select(*items.columns, F.when(run, "run").otherwise("not_run").alias("status"), F.when(~run, "outside the sample").alias("reason"))
 
 
 def split_fractions(assigned: DataFrame, fractions: dict[str, float]) -> DataFrame:

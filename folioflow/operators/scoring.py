@@ -40,15 +40,10 @@ def kth_matches(gold: DataFrame, cand: DataFrame, doc: str, key: str, pos: str)
 def reading_order(matches: DataFrame, doc: str) -> DataFrame:
     """(doc, matched, discordant, accuracy): pairs of matches in the same order on both sides; null below two.
 
-    Inversions are counted inside one array for each document, by an insertion fold over candidate positions, so no
-    pair becomes a row.
+    Inversions are counted inside one list for each document, so no pair becomes a row.
     """
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("g", "c"))), lambda x: x["c"].cast("long"))
-    listed = matches.groupBy(doc).agg(ordered.alias("cs"))
-    n = F.size("cs").cast("long")
-    discordant = F.aggregate(F.sequence(F.lit(0), F.size("cs") - 1), F.lit(0).cast("long"), lambda total, i: total + F.size(F.filter(F.slice("cs", F.lit(1), i), lambda earlier: earlier > F.get("cs", i))).cast("long"))
-    pairs = n * (n - 1) / 2
-    counted = listed.select(doc, n.alias("matched"), discordant.alias("discordant"))
+    counted = alignment.inversion_counts(matches.groupBy(doc).agg(ordered.alias("cs")), doc)
     n = F.col("matched")
     pairs = n * (n - 1) / 2
     return counted.select(doc, "matched", "discordant", F.when(n >= 2, F.round((pairs - F.col("discordant")) / pairs, 6)).alias("accuracy"))
@@ -87,8 +82,8 @@ def edge_prf1(gold: DataFrame, cand: DataFrame, doc: str, columns: list[str]) ->
 def capability_gate(scores: DataFrame, capabilities: DataFrame) -> DataFrame:
     """Scores of a system that lacks the capability become null with a status; rows never vanish.
 
-    `capabilities` is a small constant table (system, metric, capable)."""
-    joined = scores.join(F.broadcast(capabilities), ["system", "metric"], "left")
+    `capabilities` has a row for each (system, metric), with `capable`."""
+    joined = scores.join(capabilities, ["system", "metric"], "left")
     ok = F.coalesce("capable", F.lit(False))
     return joined.select(*[c for c in scores.columns if c != "value"], F.when(ok, F.col("value")).alias("value"), F.when(~ok, "not_applicable: unsupported").when(F.col("value").isNull(), "undefined").otherwise("scored").alias("status"))
 

@@ -51,18 +51,18 @@ def grade_inverse_add(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_EDIT}, c AS (SELECT doc_id, len(list_filter(inlined, lambda x: contains(x, marker) AND starts_with(x, substr(before[1], 1, 40)))) = 1 AS once, {_lost("list_filter(before, lambda y: y <> before[1])", 'inlined')} AS none_lost,
- len(list_filter(inlined, lambda x: contains(x, marker))) = len(list_filter(inlined, lambda x: contains(x, marker) AND starts_with(x, substr(before[1], 1, 40)))) AS not_leaked, len(inlined) = len(before) AS same_count FROM t WHERE len(before) > 0)
+ len(list_filter(inlined, lambda x: contains(x, marker))) = len(list_filter(inlined, lambda x: contains(x, marker) AND starts_with(x, substr(before[1], 1, 40)))) AS not_leaked, len(inlined) = len(before) AS same_count FROM t)
  SELECT *, CASE WHEN once AND none_lost AND not_leaked AND same_count THEN 'pass' ELSE 'fail' END AS verdict FROM c""")
 def grade_inline(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = grading.forward_inline(F.col("before"), F.col("inlined"), F.col("marker"), F.col("anchor"))
-    return _trials(spark, sf_dir).where(F.size("before") > 0).select("doc_id", *[c.alias(n) for n, c in checks.items()], grading.verdict(checks).alias("verdict"))
+    return _trials(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in checks.items()], grading.verdict(checks).alias("verdict"))
 
 
-@query(f"""WITH {_EDIT}, c AS (SELECT doc_id, list_sort(moved) = list_sort(before) AS same_paragraphs, moved <> before AS moved, list_contains(moved, trim(before[1])) AS heading_kept FROM t WHERE len(before) > 0)
+@query(f"""WITH {_EDIT}, c AS (SELECT doc_id, list_sort(moved) = list_sort(before) AS same_paragraphs, moved <> before AS moved, list_contains(moved, trim(before[1])) AS heading_kept FROM t)
  SELECT *, CASE WHEN same_paragraphs AND moved AND heading_kept THEN 'pass' ELSE 'fail' END AS verdict FROM c""")
 def grade_reorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     checks = grading.forward_reorder(F.col("before"), F.col("moved"), F.col("anchor"))
-    return _trials(spark, sf_dir).where(F.size("before") > 0).select("doc_id", *[c.alias(n) for n, c in checks.items()], grading.verdict(checks).alias("verdict"))
+    return _trials(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in checks.items()], grading.verdict(checks).alias("verdict"))
 
 
 @query(f"""WITH {_EDIT}, c AS (SELECT doc_id, len(list_filter(added, lambda x: contains(x, marker))) = 1 AND {_lost('before', 'added')} AS fwd, len(list_filter(undone, lambda x: contains(x, marker))) = 0 AND undone = before AND {_lost('before', 'undone')} AS inv FROM t)
@@ -82,22 +82,44 @@ def grade_equation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _trials(spark, sf_dir).select("doc_id", grading.verdict(grading.forward_equation(before, F.col("added"), marker, equations)).alias("forward"), grading.verdict(grading.inverse_equation(before, F.col("undone"), marker, equations)).alias("inverse"))
 
 
-_FAMILY = "CASE WHEN doc_id % 3 = 0 THEN 'bibliography' WHEN doc_id % 3 = 1 THEN 'section_reorder' ELSE 'table_structural' END"
+@query(f"""WITH {_EDIT}, c AS (SELECT doc_id, len(list_filter(restored, lambda x: contains(x, marker))) = 0 AS gone, {_lost('before', 'restored')} AS none_lost, len(restored) = len(before) AS same_count
+  FROM (SELECT *, CASE WHEN mode IN (0, 3) THEN before WHEN mode = 1 THEN inlined ELSE before || ['more'] END AS restored FROM t))
+ SELECT *, CASE WHEN gone AND none_lost AND same_count THEN 'pass' ELSE 'fail' END AS verdict FROM c""")
+def grade_inline_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An inline edit taken back, left in place, or taken back with a paragraph too many."""
+    mode, before = F.col("mode"), F.col("before")
+    restored = F.when(mode.isin(0, 3), before).when(mode == 1, F.col("inlined")).otherwise(F.concat(before, F.array(F.lit("more"))))
+    checks = grading.inverse_inline(before, restored, F.col("marker"))
+    return _trials(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in checks.items()], grading.verdict(checks).alias("verdict"))
+
+
+@query(f"""WITH {_EDIT} SELECT doc_id, (CASE WHEN mode % 2 = 0 THEN before ELSE moved END) = before AS restored, CASE WHEN (CASE WHEN mode % 2 = 0 THEN before ELSE moved END) = before THEN 'pass' ELSE 'fail' END AS verdict FROM t""")
+def grade_reorder_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = F.when(F.col("mode") % 2 == 0, F.col("before")).otherwise(F.col("moved"))
+    checks = grading.inverse_reorder(F.col("before"), back)
+    return _trials(spark, sf_dir).select("doc_id", *[c.alias(n) for n, c in checks.items()], grading.verdict(checks).alias("verdict"))
+
+
+_FAMILIES = ("bibliography", "caption", "citation", "section_reorder", "equation", "table_structural")
 
 
-@query(f"""WITH {_EDIT}, c AS (SELECT doc_id, {_FAMILY} AS family, CASE doc_id % 3 WHEN 0 THEN len(list_filter(added, lambda x: contains(x, marker))) = 1 AND {_lost('before', 'added')} AND len(added) > len(before)
-  WHEN 1 THEN list_sort(moved) = list_sort(before) AND moved <> before AND list_contains(moved, trim(before[1])) ELSE len(list_filter(added, lambda x: contains(x, marker))) = 1 AND {_lost('before', 'added')} END AS ok FROM t WHERE len(before) > 0)
- SELECT family, CASE WHEN ok THEN 'pass' ELSE 'fail' END AS verdict, count(*) AS trials FROM c GROUP BY 1, 2""")
+@query(f"""WITH {_EDIT}, f AS (SELECT *, ['{"', '".join(_FAMILIES)}'][doc_id % 6 + 1] AS family, list_filter(added, lambda x: contains(x, 'MARK')) AS eq FROM t),
+ c AS (SELECT doc_id, family, coalesce(CASE family WHEN 'citation' THEN len(list_filter(inlined, lambda x: contains(x, marker) AND starts_with(x, substr(before[1], 1, 40)))) = 1 AND {_lost("list_filter(before, lambda y: y <> before[1])", 'inlined')}
+   AND len(list_filter(inlined, lambda x: contains(x, marker))) = len(list_filter(inlined, lambda x: contains(x, marker) AND starts_with(x, substr(before[1], 1, 40)))) AND len(inlined) = len(before)
+  WHEN 'section_reorder' THEN list_sort(moved) = list_sort(before) AND moved <> before AND list_contains(moved, trim(before[1]))
+  ELSE len(list_filter(added, lambda x: contains(x, marker))) = 1 AND {_lost('before', 'added')} AND (family IN ('equation', 'table_structural') OR len(added) > len(before)) END, false) AS fwd,
+  coalesce(CASE family WHEN 'citation' THEN len(list_filter(undone, lambda x: contains(x, marker))) = 0 AND {_lost('before', 'undone')} AND len(undone) = len(before) WHEN 'section_reorder' THEN undone = before
+  WHEN 'equation' THEN len(list_filter(eq, lambda x: contains(x, marker))) = 0 AND undone = before ELSE len(list_filter(undone, lambda x: contains(x, marker))) = 0 AND undone = before END, false) AS inv FROM f)
+ SELECT family, CASE WHEN fwd THEN 'pass' ELSE 'fail' END AS forward, CASE WHEN inv THEN 'pass' ELSE 'fail' END AS inverse, count(*) AS trials FROM c GROUP BY ALL""")
 def grade_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    before, marker = F.col("before"), F.col("marker")
-    graders = {
-        "bibliography": grading.forward_add(before, F.col("added"), marker),
-        "section_reorder": grading.forward_reorder(before, F.col("moved"), F.col("anchor")),
-        "table_structural": grading.forward_table(before, F.col("added"), marker),
-    }
-    third = F.col("doc_id") % 3
-    trials = _trials(spark, sf_dir).where(F.size("before") > 0).withColumn("family", F.when(third == 0, "bibliography").when(third == 1, "section_reorder").otherwise("table_structural"))
-    return trials.select("family", grading.dispatch(F.col("family"), graders).alias("verdict")).groupBy("family", "verdict").agg(F.count(F.lit(1)).alias("trials"))
+    """All six families by the document's id, forward and back."""
+    at, before, marker = F.col("doc_id") % 6, F.col("before"), F.col("marker")
+    family = F.element_at(F.array(*[F.lit(f) for f in _FAMILIES]), (at + 1).cast("int"))
+    trials = _trials(spark, sf_dir).withColumn("family", family)
+    after = F.when(F.col("family") == "citation", F.col("inlined")).when(F.col("family") == "section_reorder", F.col("moved")).otherwise(F.col("added"))
+    equations = grading.holding(F.col("added"), F.lit("MARK"))
+    side = lambda to, forward: grading.dispatch(F.col("family"), grading.graders(before, to, marker, F.col("anchor"), equations, forward))
+    return trials.select("family", side(after, True).alias("forward"), side(F.col("undone"), False).alias("inverse")).groupBy("family", "forward", "inverse").agg(F.count(F.lit(1)).alias("trials"))
 
 
 @query("""WITH e AS (SELECT user_id, event_type <> 'signup' AS readable, event_type <> 'error' AND value >= 2 AS good, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

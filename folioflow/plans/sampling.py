@@ -108,3 +108,24 @@ def promote_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fetch_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     log = table(spark, sf_dir, "events").select("event_type", F.when(F.col("value") > 3, "ok").alias("status"))
     return sampling.fetch_summary(log, "event_type")
+
+
+_SLICE = "CASE WHEN source IN ('src0', 'src1') THEN 'final' WHEN source = 'src2' THEN 'smoke' WHEN source = 'src3' THEN 'scale_up' ELSE 'unused' END"
+
+
+def _sliced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    source = F.col("source")
+    name = F.when(source.isin("src0", "src1"), "final").when(source == "src2", "smoke").when(source == "src3", "scale_up").otherwise("unused")
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("slice"))
+
+
+@query(f"SELECT doc_id, slice, CASE slice WHEN 'smoke' THEN 1 WHEN 'scale_up' THEN 2 ELSE 3 END::BIGINT AS slice_rank FROM (SELECT doc_id, {_SLICE} AS slice FROM documents) WHERE slice <> 'unused'")
+def slice_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`all` stands for every slice in its order; what is in none is left out."""
+    return sampling.resolve_slices(_sliced(spark, sf_dir), "all", ["smoke", "scale_up", "final"])
+
+
+@query(f"""SELECT doc_id, slice, CASE WHEN k <= 25 THEN 'run' ELSE 'not_run' END AS status, CASE WHEN k > 25 THEN 'outside the sample' END AS reason FROM (SELECT doc_id, slice, row_number() OVER (ORDER BY doc_id) AS k FROM (SELECT doc_id, {_SLICE} AS slice FROM documents))""")
+def first_n_checked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An expensive check for the first 25 documents; all others are reported as not run."""
+    return sampling.first_checked(_sliced(spark, sf_dir), ["doc_id"], 25)

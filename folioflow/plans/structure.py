@@ -139,3 +139,69 @@ def stage_remap_inclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     inputs = table(spark, sf_dir, "lineitem").select("l_partkey", "l_suppkey").distinct().groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count(F.lit(1)).alias("n"))
     joined = table(spark, sf_dir, "part").select("p_partkey", "p_brand").join(inputs, "p_partkey", "left")
     return joined.groupBy(F.coalesce(F.try_element_at(names, "p_brand"), F.lit("final")).alias("stage"), F.when(F.col("n") == 1, "kept").otherwise("excluded").alias("inclusion")).agg(F.count(F.lit(1)).alias("parts"))
+
+
+@query("""SELECT doc_id, name, starts_with(name, 'fixture-') OR starts_with(name, 'composite-') AS hand_authored FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'fixture-' WHEN 1 THEN 'composite-' ELSE 'my-fixture-' END || doc_id AS name FROM documents)""")
+def hand_authored_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("doc_id") % 3
+    name = F.concat(F.when(third == 0, "fixture-").when(third == 1, "composite-").otherwise("my-fixture-"), F.col("doc_id").cast("string"))
+    return table(spark, sf_dir, "documents").select("doc_id", name.alias("name")).select("doc_id", "name", audit.hand_authored(F.col("name")).alias("hand_authored"))
+
+
+_SAID = ["the tool doesn't exist in my toolset", "it isn't loaded in this session.", "there is no way to modify or save", "done"]
+
+
+@query("""WITH t AS (SELECT event_id, CASE WHEN user_id % 2 = 0 THEN 'control' ELSE 'treatment' END AS arm, CASE WHEN event_type <> 'signup' THEN event_type = 'purchase' END AS changed, CASE WHEN event_id % 5 < 4 THEN ['the tool doesn''t exist in my toolset', 'it isn''t loaded in this session.', 'there is no way to modify or save', 'done'][event_id % 5 + 1] END AS result FROM events)
+ SELECT event_id, arm = 'treatment' AND NOT coalesce(changed, false) AND coalesce(contains(result, 'doesn''t exist in my toolset') OR contains(result, 'isn''t loaded in this session') OR contains(result, 'no way to modify or save'), false) AS flake FROM t""")
+def flake_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Trials that failed for want of tools; a null change or answer is none."""
+    arm = F.when(F.col("user_id") % 2 == 0, "control").otherwise("treatment")
+    said = F.get(F.array(*[F.lit(x) for x in _SAID]), (F.col("event_id") % 5).cast("int"))
+    changed = F.when(F.col("event_type") != "signup", F.col("event_type") == "purchase")
+    return table(spark, sf_dir, "events").select("event_id", audit.flake(arm, changed, said).alias("flake"))
+
+
+@query("""WITH u AS (SELECT user_id, coalesce(list_distinct(list(event_id % 50) FILTER (event_type = 'click')), []) AS before, coalesce(list_distinct(list(event_id % 50) FILTER (event_type = 'view')), []) AS after, CASE WHEN user_id % 3 = 0 THEN user_id % 50 END AS owned FROM events GROUP BY user_id),
+ d AS (SELECT *, list_sort(list_filter(after, lambda x: NOT list_contains(before, x))) AS fresh, list_sort(list_filter(before, lambda x: list_contains(after, x))) AS kept, coalesce(list_contains(after, owned), false) AS running FROM u)
+ SELECT user_id, CASE WHEN running THEN 'orphan_still_running' WHEN len(fresh) > 0 THEN 'unattributed_new_process' ELSE 'clean_no_new_word_process' END AS status, array_to_string(fresh, ',') AS new_pids, array_to_string(kept, ',') AS untouched_pids,
+ CASE WHEN running THEN owned::VARCHAR ELSE array_to_string(fresh, ',') END AS orphan_pids FROM d""")
+def process_orphans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event numbers stand in for process ids before and after a run."""
+    pid = (F.col("event_id") % 50).cast("long")
+    of = lambda kind: F.collect_set(F.when(F.col("event_type") == kind, pid))
+    users = table(spark, sf_dir, "events").groupBy("user_id").agg(of("click").alias("before"), of("view").alias("after"))
+    owned = F.when(F.col("user_id") % 3 == 0, (F.col("user_id") % 50).cast("long"))
+    found = audit.orphans(F.col("before"), F.col("after"), owned)
+    text = lambda c: F.array_join(c.cast("array<string>"), ",")
+    return users.select("user_id", found["status"].alias("status"), *[text(found[c]).alias(c) for c in ("new_pids", "untouched_pids", "orphan_pids")])
+
+
+@query("""SELECT o_orderkey, coalesce(nullif(regexp_extract(hint, 'key=([A-Z0-9]+)', 1), ''), 'K' || o_orderkey) AS key, trim(regexp_replace(hint, 'key=([A-Z0-9]+)', '')) AS hint
+ FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'see key=Z' || o_custkey || ' there' WHEN 1 THEN 'no hint' ELSE '' END AS hint FROM orders)""")
+def key_remaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    third = F.col("o_orderkey") % 3
+    hint = F.when(third == 0, F.concat(F.lit("see key=Z"), F.col("o_custkey").cast("string"), F.lit(" there"))).when(third == 1, "no hint").otherwise("")
+    key, rest = audit.remap(F.concat(F.lit("K"), F.col("o_orderkey").cast("string")), hint, "key=([A-Z0-9]+)")
+    return table(spark, sf_dir, "orders").select("o_orderkey", key.alias("key"), rest.alias("hint"))
+
+
+@query("""WITH c AS (SELECT l_orderkey AS item, l_linestatus AS variant, count(*) AS n_lines, count(DISTINCT l_suppkey) AS n_suppliers FROM lineitem GROUP BY 1, 2)
+ SELECT o.item, o.variant, array_to_string(list_filter([CASE WHEN o.n_lines <> b.n_lines THEN 'n_lines' END, CASE WHEN o.n_suppliers <> b.n_suppliers THEN 'n_suppliers' END], lambda x: x IS NOT NULL), ',') AS changed
+ FROM c o JOIN c b ON b.item = o.item AND b.variant = 'F' AND o.variant <> 'F' WHERE o.n_lines <> b.n_lines OR o.n_suppliers <> b.n_suppliers""")
+def structure_regressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line statuses as variants of an order, those with F as the baseline."""
+    counts = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("item"), F.col("l_linestatus").alias("variant")).agg(F.count(F.lit(1)).alias("n_lines"), F.count_distinct("l_suppkey").alias("n_suppliers"))
+    found = audit.structure_regressions(counts, "item", "variant", "F", ["n_lines", "n_suppliers"])
+    return found.select("item", "variant", F.array_join("changed", ",").alias("changed"))
+
+
+@query("""WITH s AS (SELECT p_partkey, [12240, 11906, 12240, 1000][p_partkey % 4 + 1] AS a, [15840, 16838, 20160, 2000][p_partkey % 4 + 1] AS b FROM part)
+ SELECT p_partkey, ['a4', 'letter', 'legal', 'custom'][CASE p_partkey % 4 WHEN 0 THEN 2 WHEN 1 THEN 1 WHEN 2 THEN 3 ELSE 4 END] AS size, upper(string_split(trim(['  seq Table', 'PAGE', 'ref x y', ' ' ][p_partkey % 3 + 1]), ' ')[1]) AS code FROM s""")
+def page_sizes_and_field_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Page sizes in both orientations, and the words that field instructions begin with."""
+    key = F.col("p_partkey")
+    pick = lambda xs, i: F.get(F.array(*[F.lit(x) for x in xs]), i.cast("int"))
+    a, b = pick([12240, 11906, 12240, 1000], key % 4), pick([15840, 16838, 20160, 2000], key % 4)
+    turned = key % 8 > 3
+    size = T.paper_size(F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b))
+    return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), T.field_code(pick(["  seq Table", "PAGE", "ref x y"], key % 3)).alias("code"))
