@@ -24,19 +24,23 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, meet
 
-PLAIN = r"[^\x09-\x0D 0-9]*+[0-9][^\x09-\x0D ]*"
+#: from a digit to the end of its token
+DIGIT = r"[0-9][^\x09-\x0D ]*"
 BLANKS = " \t\r\x0b\x0c"
 
 
 def masked(text: Column) -> Column:
     """Trimmed lines of a text with tokens that hold a digit as `<*>`."""
-    generalised = F.when(text.rlike("[0-9]"), F.regexp_replace(text, PLAIN, "<*>")).otherwise(text)
+    # what follows a token's first digit goes first, then, read backwards, what stands before it: a pattern that begins
+    # with the digit passes over all other text at once, one that begins with the token tries every character
+    marked = F.reverse(F.regexp_replace(F.reverse(F.regexp_replace(text, DIGIT, "0")), DIGIT, ">*<"))
+    generalised = F.when(text.rlike("[0-9]"), marked).otherwise(text)
     return F.transform(F.split(generalised, "\n"), lambda x: F.btrim(x, F.lit(BLANKS)))
 
 
 def _tokens(line: str) -> Column:
     """How many tokens a line has, or the lines of a text that blanks separate."""
-    return F.length(line) - F.length(F.replace(F.col(line), F.lit(" "))) + 1
+    return F.octet_length(line) - F.octet_length(F.replace(F.col(line), F.lit(" "))) + 1
 
 
 def _leaf(line: str, depth: int) -> Column:
