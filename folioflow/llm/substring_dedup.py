@@ -198,11 +198,13 @@ def _cut(window: int, keep_text: bool):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in chunks(batches):
-            chunk, rows = Chunk(texts), []
+            found = table["hits"].to_pylist()
+            chunk, rows = Chunk([t if h else None for t, h in zip(texts, found)]), []  # words of the others are only counted
             start = chunk.windows(window)
             edges = np.searchsorted(chunk.doc[start], np.arange(len(texts) + 1))
-            for d, (i, hits) in enumerate(zip(table["doc_id"].to_pylist(), table["hits"].to_pylist())):
-                text, n, spans, gone = chunk.canon[d], int(chunk.counts[d]), [], 0
+            for d, (i, hits) in enumerate(zip(table["doc_id"].to_pylist(), found)):
+                text = chunk.canon[d] if hits else b" ".join((texts[d] or b"").split())
+                n, spans, gone = text.count(b" ") + 1 if text else 0, [], 0
                 own = start[edges[d] : edges[d + 1]]
                 if hits and len(own):
                     own = own[np.isin(chunk.ranges(own, window), np.frombuffer(hits, np.uint64))] - chunk.first[d]
