@@ -54,8 +54,8 @@ k AS (SELECT line, any_value(ts) AS ts, count(*) AS n FROM l GROUP BY line HAVIN
 u AS (SELECT line, len(ts) AS size, ts[1:3] AS lead, n, unnest(ts) AS token, generate_subscripts(ts, 1) AS p FROM k),
 firm AS (SELECT size, lead, p, token FROM u WHERE token <> '<*>' GROUP BY size, lead, p, token HAVING sum(n) >= 10),
 common AS (SELECT u.line, u.size, u.lead, list(coalesce(firm.token, '<*>') ORDER BY u.p) AS template FROM u LEFT JOIN firm USING (size, lead, p, token) GROUP BY u.line, u.size, u.lead HAVING count(firm.token) >= 0.6 * count(*)),
-speaking AS (SELECT doc_id FROM l LEFT JOIN common USING (line) GROUP BY doc_id HAVING sum(CASE WHEN common.line IS NULL THEN len(ts) ELSE 0 END) >= 0.2 * sum(len(ts))),
-bad AS (SELECT size, lead, template FROM l JOIN common USING (line) SEMI JOIN speaking USING (doc_id) GROUP BY size, lead, template HAVING count(DISTINCT doc_id) >= 10),
+told AS (SELECT DISTINCT list(line ORDER BY line) AS same, sum(CASE WHEN common.line IS NULL THEN len(ts) ELSE 0 END) >= 0.3 * sum(len(ts)) AS speaks FROM l LEFT JOIN common USING (line) GROUP BY doc_id),
+bad AS (SELECT size, lead, template FROM (SELECT DISTINCT size, lead, template, same, speaks FROM (SELECT unnest(same) AS line, same, speaks FROM told) JOIN common USING (line)) GROUP BY size, lead, template HAVING count(*) FILTER (speaks) >= 10 AND 2 * count(*) FILTER (speaks) >= count(*)),
 gone AS (SELECT line FROM common SEMI JOIN bad USING (size, lead, template)),
 z AS (SELECT doc_id, unnest(raw) AS line, generate_subscripts(raw, 1) AS p, unnest(ls) AS masked FROM d),
 kept AS (SELECT doc_id, count(*) AS n, string_agg(line, chr(10) ORDER BY p) AS t FROM z WHERE masked NOT IN (SELECT line FROM gone) GROUP BY doc_id)

@@ -7,10 +7,11 @@ lines of at least `min_docs` documents have it there; all others are variable fi
 its variable fields generalised is its template.  A line is common when it has a frequent leaf and at least `fixed` of
 its tokens are fixed; short lines are judged like all others.
 
-A template is dropped when it recurs across documents: when at least `min_docs` documents that speak have it.  A
-document speaks when lines that are not common make up at least `own` of the tokens of its distinct lines.  A copy,
-exact or edited, consists of lines that recur with it; it does not speak, and whole copies stay for the near-dedup that
-judges documents.  A notice of any number of lines speaks against itself in every text that it was pasted into.
+A template is dropped when it recurs across documents, of which those with the same lines count as one: when at least
+`min_docs` of them speak, and they are half or more of all that have it.  A document speaks when lines that are not
+common make up at least `own` of the tokens of its distinct lines.  Copies, exact or edited, consist for the most part
+of lines that recur with them; few of them speak, and whole copies stay for the near-dedup that judges documents.  A
+notice of any number of lines speaks against itself in every text that it was pasted into.
 
 All lines of dropped templates go, from documents that do not speak too.  Blank lines are never dropped.  Null texts
 stay null with 0 lines; an empty text is one empty line.  Rows with a null id pass through and count for nothing.  Rows
@@ -49,10 +50,10 @@ def _leaf(line: str, depth: int) -> Column:
 
 def common_lines(docs: DataFrame, scratch: Scratch, depth: int, min_docs: int, fixed: float) -> tuple[DataFrame, DataFrame]:
     """(places, templates): of every document (doc_id, _t a hash of its text) the lines of frequent leaves with the
-    tokens of all its distinct lines, and (line, t, template) of the common lines."""
+    tokens and a hash of all its distinct lines, and (line, t, template) of the common lines."""
     found = docs.select("doc_id", F.xxhash64("text").alias("_t"), F.array_distinct(masked(F.col("text"))).alias("ls"))
     found = found.withColumn("ls", F.array_remove("ls", "")).withColumn("joined", F.array_join("ls", " "))
-    lines = found.select("doc_id", "_t", _tokens("joined").alias("total"), F.explode("ls").alias("line")).withColumn("leaf", _leaf("line", depth))
+    lines = found.select("doc_id", "_t", _tokens("joined").alias("total"), F.xxhash64("joined").alias("same"), F.explode("ls").alias("line")).withColumn("leaf", _leaf("line", depth))
     leaves = scratch.save(lines.groupBy("leaf").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("leaf"), "leaves")
     places = scratch.save(meet(lines, leaves, "leaf", "doc_id"), "places")
     kinds = scratch.save(places.groupBy("leaf", "line").agg(F.count(F.lit(1)).alias("n")), "kinds")
@@ -68,7 +69,7 @@ def common_lines(docs: DataFrame, scratch: Scratch, depth: int, min_docs: int, f
     return places, scratch.save(common, "common")
 
 
-def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float = 0.6, own: float = 0.2) -> DataFrame:
+def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float = 0.6, own: float = 0.3) -> DataFrame:
     """`docs` with its text lessened by lines of dropped templates, and n_lines and n_dropped added.
 
     Columns named n_lines and n_dropped are replaced; all others pass through.
@@ -77,11 +78,13 @@ def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float
     known = docs.where(F.col("text").isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", "text")
     places, common = common_lines(known, scratch, depth, min_docs, fixed)
     width = F.length("line")
-    hits = meet(places.select("doc_id", "_t", "total", "line"), common.select("line", "t"), "line", "doc_id", F.length("line"))
-    found = scratch.save(hits.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("line", "t")).alias("ls"), F.first("total").alias("total")), "found")
+    hits = meet(places.select("doc_id", "_t", "total", "same", "line"), common.select("line", "t"), "line", "doc_id", F.length("line"))
+    found = scratch.save(hits.groupBy("doc_id", "_t").agg(F.collect_set(F.struct("line", "t")).alias("ls"), F.first("total").alias("total"), F.first("same").alias("same")), "found")
     held = found.withColumn("held", F.array_join("ls.line", " "))
-    speaking = held.where(F.col("total") - _tokens("held") >= own * F.col("total"))
-    bad = scratch.save(speaking.select(F.explode(F.array_distinct("ls.t")).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_docs).select("t"), "bad")
+    speaks = F.col("total") - _tokens("held") >= own * F.col("total")
+    once = held.groupBy("same").agg(F.first("ls.t").alias("ts"), F.first(speaks).alias("speaks"))
+    often = once.select("speaks", F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count_if("speaks").alias("n"), F.count(F.lit(1)).alias("docs"))
+    bad = scratch.save(often.where((F.col("n") >= min_docs) & (2 * F.col("n") >= F.col("docs"))).select("t"), "bad")
     gone = meet(found.select("doc_id", "_t", F.inline("ls")), bad, "t", "doc_id").groupBy("doc_id", "_t").agg(F.collect_set("line").alias("_gone"))
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
     joined = docs.select(*columns, F.xxhash64("text").alias("_t")).join(gone, ["doc_id", "_t"], "left")
