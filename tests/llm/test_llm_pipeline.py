@@ -3,6 +3,7 @@
 from collections import defaultdict
 
 import corpus_pipeline
+from pyspark.sql import functions as F
 
 from tests.llm.test_llm_edges import brute_components, plain_targets
 
@@ -33,3 +34,19 @@ def test_stages(spark, sf_dir):
 def shingles(text):
     w = text.encode().lower().split()
     return [tuple(w[k : k + 5]) for k in range(len(w) - 4)] if len(w) >= 5 else [tuple(w)]
+
+
+def test_stages_on_hostile_rows(spark, tmp_path, documents):
+    """Nulls, empties, repeats, ties and clashing columns in any stage; and an empty table."""
+    spark.createDataFrame([(1, "one two three four five six seven")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(1, "plain words of a text that is kept"), (1, "plain words of a text that is kept"), (1, "another text under the same id, kept once"), (2, None), (3, ""), (4, "12 34"), (None, "no id here"), (5, "say one two three four five six seven"), (6, "x " * 200_000), (7, "x " * 200_000)]
+    docs = documents(*rows).withColumn("lang", F.when(F.col("doc_id") != 6, "en")).withColumn("source", F.when(F.col("doc_id") != 1, "s"))
+    docs = docs.withColumn("n_dropped", F.lit("clash")).withColumn("component_id", F.lit("clash")).withColumn("lang_pred", F.lit("clash"))
+    for table in (docs, docs.limit(0)):
+        kept = []
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, table, str(tmp_path)).cache()
+            assert name == "mixing" or out.columns == corpus_pipeline.COLUMNS
+            kept.append(sorted(r.doc_id for r in out.collect()))
+            table = out
+        assert kept in ([[1, 1, 1, 5, 6, 7], [1, 1, 1, 5, 6, 7], [1, 5, 6], [1, 6], [1, 6]], [[]] * 5)
