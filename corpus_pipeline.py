@@ -1,13 +1,14 @@
 """Corpus pipeline: language ID, line dedup, near-dedup, benchmark decontamination, mixing.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that run() writes as Parquet to the shared folder and
-reads again as the next stage's documents.  All but the last return the columns of documents.  Ids of documents
-are unique; rows with a null id or text are rejected by the first stage.
+reads again as the next stage's documents.  All but the last return the columns of documents and drop others.  Rows
+with a null id or text, and texts without a letter, are rejected by the first stage; rows that repeat an id are one
+group for near-dedup, which keeps one of them.  An empty table stays empty.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import language_id, minhash_dedup, mixing, template_lines
@@ -32,9 +33,10 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest id of each group of near-duplicates."""
+    """Keeps the smallest id of each group of near-duplicates, and one row of an id."""
     kept = minhash_dedup.minhash_components(docs, percent=85).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*COLUMNS)
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.xxhash64("text"), F.xxhash64("lang", "source")))
+    return docs.join(kept, "doc_id", "left_semi").withColumn("_place", place).where(F.col("_place") == 1).select(*COLUMNS)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
