@@ -175,3 +175,23 @@ def test_stream_resumes_without_doing_work_twice(spark, tmp_path):
 def test_windowed_counts(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     assert incremental.windowed_counts(events).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_manifests_tiers_and_logs(spark, tmp_path):
+    for name, items in (("a", [{"id": 1, "kind": "x"}, {"id": 2, "kind": None}]), ("b", [{"id": 3, "kind": "y"}])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"name": name, "items": items}, indent=1))
+    schema = schema_of("name string, items array<struct<id:long,kind:string>>")
+    rows = files.manifests(spark, [str(tmp_path / "a.json"), str(tmp_path / "b.json")], schema, "items")
+    assert sorted((r.id, r.kind) for r in rows.collect()) == [(1, "x"), (2, None), (3, "y")]
+    files.write_tiers(rows.withColumn("tier", F.col("id") % 2), f"{tmp_path}/tiers")
+    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/tiers").where("tier = 1").collect()) == [1, 3]
+    for seq, state in ((1, "open"), (2, "done")):
+        files.append_log(spark.createDataFrame([(7, seq, state)], "id long, seq long, state string"), f"{tmp_path}/log")
+    last = files.checkpoint_log(spark, f"{tmp_path}/log", "id long, seq long, state string", "id", "seq").collect()
+    assert [(r.id, r.seq, r.state) for r in last] == [(7, 2, "done")]
+
+
+def schema_of(ddl):
+    from pyspark.sql.types import StructType
+
+    return StructType.fromDDL(ddl)
