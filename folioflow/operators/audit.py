@@ -104,7 +104,7 @@ def flake(arm: Column, changed: Column, result: Column) -> Column:
 
 
 def orphans(before: Column, after: Column, owned: Column) -> dict[str, Column]:
-    """Set differences of process ids around a run, and what became of the process that it owned."""
+    """Set differences of process ids around a run, and what became of the process that it owned (states: fixed values)."""
     new = F.array_sort(F.array_except(after, before))
     running = F.coalesce(F.array_contains(after, owned), F.lit(False))
     return {
