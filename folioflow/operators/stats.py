@@ -1,31 +1,74 @@
 """Reproducible statistics: bootstrap intervals, exact boundary intervals, sign-flip tests, chains, A/B reports.
 
 Draws come from hashed keys, not from a stateful generator, so a result does not depend on partitioning and any
-engine can repeat it.  Groups hold one value for each document and metric, which replicates times, so the draws are
-made row by row inside the group's array (`statistics over arrays`) and never exploded over the cluster.
+engine can repeat it.  No row holds a group's values: places in a group are told range by range, and replicates are
+drawn value by value and summed on the mappers.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import draw
 
 REPLICATES = 2000
 ALPHA = 0.05
+PARTS = 256
+#: replicates drawn by one row before rows are dealt to the tasks
+BATCH = 40
+
+
+def beside(left: DataFrame, right: DataFrame, names: list[str]) -> DataFrame:
+    """Inner join in which nulls meet nulls; the names come from the left."""
+    other = right.withColumnsRenamed({c: f"_r_{c}" for c in names})
+    same = reduce(lambda x, y: x & y, [F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in names], F.lit(True))
+    return left.join(other, same).drop(*[f"_r_{c}" for c in names])
+
+
+def placed(values: DataFrame, groups: list[str], value: str, order: str) -> DataFrame:
+    """(group, x, k, n): non-null values with their places 0..n-1 in the group by (order, value).
+
+    A numeric order is cut into 256 equal ranges between a group's least and most, which are sorted apart and begin
+    where those before them end; an order of another type is sorted in one task a group."""
+    kept = values.where(F.col(value).isNotNull()).select(*groups, order, F.col(value).cast("double").alias("x"))
+    part = F.lit(0).cast("long")
+    if isinstance(kept.schema[order].dataType, T.NumericType):
+        at = F.col(order).cast("double")
+        ends = kept.groupBy(*groups).agg(F.min(at).alias("_least"), F.max(at).alias("_most"))
+        kept = beside(kept, ends, groups)
+        part = F.coalesce(F.width_bucket(at, "_least", "_most", F.lit(PARTS)), F.lit(0).cast("long"))
+    kept = kept.select(*groups, order, "x", part.alias("_part"))
+    sizes = kept.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_in"))
+    whole = Window.partitionBy(*groups)
+    before = F.coalesce(F.sum("_in").over(whole.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = sizes.select(*groups, "_part", before.alias("_before"), F.sum("_in").over(whole).alias("n"))
+    ranked = kept.withColumn("_rank", F.row_number().over(Window.partitionBy(*groups, "_part").orderBy(order, "x")))
+    return beside(ranked, begins, [*groups, "_part"]).select(*groups, "x", (F.col("_before") + F.col("_rank") - 1).alias("k"), "n")
+
+
+def replicated(rows: DataFrame, replicates: int) -> DataFrame:
+    """Each row once for each replicate `rep`.  Batches of replicates are dealt to the tasks first, so that few rows
+    keep all of them busy as well."""
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    batch = F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // BATCH)))
+    dealt = rows.withColumn("_batch", batch).repartition(tasks, "k", "_batch")
+    last = F.least((F.col("_batch") + 1) * BATCH, F.lit(replicates)) - 1
+    return dealt.withColumn("rep", F.explode(F.sequence(F.col("_batch") * BATCH, last))).drop("_batch")
 
 
 def bootstrap_means(values: DataFrame, groups: list[str], value: str, order: str, seed: str, replicates: int) -> DataFrame:
-    """(group, rep, mean): means of resamples of each group's non-null values, listed by `order`."""
-    listed = values.where(F.col(value).isNotNull()).groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, value))), lambda x: x[value].cast("double")).alias("xs"))
-    reps = listed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))))
-    # replicates spread over the cluster; each draws from its group's array
-    reps = reps.repartition("rep", *groups)
-    n = F.size("xs")
-    pick = lambda k: F.get("xs", F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), k.cast("string")), n).cast("int"))
-    total = F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0.0), lambda s, k: s + pick(k))
-    return reps.select(*groups, "rep", n.cast("long").alias("n"), (total / n).alias("mean"))
+    """(group, rep, n, mean): means of resamples of each group's non-null values.
+
+    Every value draws, for each replicate, the place of the value that it stands for; the lookup is a join on the
+    place, which is broadcast only below the session's limit."""
+    rows = placed(values, groups, value, order)
+    pick = F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), F.col("k").cast("string")), F.col("n"))
+    drawn = replicated(rows.select(*groups, "k", "n"), replicates).select(*groups, "rep", "n", pick.alias("k"))
+    return beside(drawn, rows.select(*groups, "k", "x"), [*groups, "k"]).groupBy(*groups, "rep").agg(F.max("n").alias("n"), F.avg("x").alias("mean"))
 
 
 def bootstrap_ci(values: DataFrame, groups: list[str], value: str, order: str, seed: str = "20260828", replicates: int = REPLICATES, alpha: float = ALPHA) -> DataFrame:
@@ -50,15 +93,11 @@ def bootstrap_ci(values: DataFrame, groups: list[str], value: str, order: str, s
 def permutation_test(pairs: DataFrame, groups: list[str], a: str, b: str, order: str, seed: str = "20260828", replicates: int = REPLICATES) -> DataFrame:
     """(group, n, difference, p): share of random sign flips whose mean difference is as large as the observed one.
     Pairs with a null side are dropped; p is null below two pairs."""
-    d = (F.col(a) - F.col(b)).cast("double")
-    listed = pairs.withColumn("d", d).where(F.col("d").isNotNull()).groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "d"))), lambda x: x["d"]).alias("ds"))
-    reps = listed.withColumn("rep", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))).repartition("rep", *groups)
-    sign = lambda k: F.when(F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), k.cast("string")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    flipped = F.aggregate(F.sequence(F.lit(0), F.size("ds") - 1), F.lit(0.0), lambda s, k: s + sign(k) * F.get("ds", k))
-    observed = F.aggregate("ds", F.lit(0.0), lambda s, x: s + x)
-    n = F.size("ds").cast("long")
-    hits = reps.select(*groups, n.alias("n"), (observed / n).alias("difference"), (F.abs(flipped) >= F.abs(observed) - 1e-12).cast("double").alias("hit"))
-    return hits.groupBy(*groups).agg(F.first("n").alias("n"), F.round(F.first("difference"), 6).alias("difference"), F.when(F.first("n") >= 2, F.round(F.avg("hit"), 6)).alias("p"))
+    rows = placed(pairs.withColumn("d", (F.col(a) - F.col(b)).cast("double")), groups, "d", order)
+    sign = F.when(F.pmod(draw(F.lit(seed), F.col("rep").cast("string"), F.col("k").cast("string")), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    sums = replicated(rows, replicates).groupBy(*groups, "rep").agg(F.max("n").alias("n"), F.sum("x").alias("total"), F.sum(sign * F.col("x")).alias("flipped"))
+    hits = sums.select(*groups, "n", (F.col("total") / F.col("n")).alias("difference"), (F.abs("flipped") >= F.abs("total") - 1e-12).cast("double").alias("hit"))
+    return hits.groupBy(*groups).agg(F.max("n").alias("n"), F.round(F.max("difference"), 6).alias("difference"), F.when(F.max("n") >= 2, F.round(F.avg("hit"), 6)).alias("p"))
 
 
 def system_pairs(scores: DataFrame, keys: list[str], system: str, value: str) -> DataFrame:

@@ -112,6 +112,22 @@ def test_bootstrap_skips_nulls_and_ignores_partitioning(spark):
     assert a == b and a.n == 3
 
 
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_places_follow_the_order_in_every_group(spark, kind):
+    rng = random.Random(5)
+    rows = [(g, rng.randint(-50, 10**6) if i % 3 else i, rng.random() if i % 7 else None) for g in ("a", "b", None) for i in range(900)] + [("c", 4, 1.0), ("d", 1, None)]
+    df = spark.createDataFrame(rows, "g string, o long, x double")
+    found = {}
+    for r in stats.placed(df.withColumn("o", df.o.cast(kind)), ["g"], "x", "o").collect():
+        found.setdefault(r.g, {})[r.k] = r.x
+        assert r.n == sum(g == r.g and x is not None for g, _, x in rows)
+    key = (lambda o: str(o)) if kind == "string" else (lambda o: o)
+    for group in ("a", "b", None, "c"):
+        wanted = [x for _, x in sorted((key(o), x) for g, o, x in rows if g == group and x is not None)]
+        assert [found[group][k] for k in range(len(found[group]))] == wanted
+    assert "d" not in found
+
+
 def test_permutation_drops_half_pairs(spark):
     df = spark.createDataFrame([("g", i, a, b) for i, (a, b) in enumerate(zip([1.0, None, 1.0, 1.0], [0.0, 0.0, None, 0.0]))], "g string, i int, a double, b double")
     assert one(stats.permutation_test(df, ["g"], "a", "b", "i", replicates=50)).n == 2
