@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import prf1, shuffle_key
+from ..functions.text import normalise, prf1, shuffle_key
 from . import alignment
 
 
@@ -73,6 +73,20 @@ def label_accuracy(gold: DataFrame, cand: DataFrame, keys: list[str], label: str
     return joined.select(keys[0], "n_gold", "n_cand", F.when(status == "scored", F.round(F.coalesce(F.col("equal") / F.least("n_gold", "n_cand"), F.lit(0.0)), 6)).alias("accuracy"), status.alias("status"))
 
 
+def label_mismatches(gold: DataFrame, cand: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """(doc, position, gold_label, cand_label) of compared positions whose labels differ; a gold label that is null says
+    nothing."""
+    joined = gold.select(*keys, F.col(label).alias("gold_label")).join(cand.select(*keys, F.col(label).alias("cand_label")), keys)
+    return joined.where(F.col("gold_label").isNotNull() & ~F.col("gold_label").eqNullSafe(F.col("cand_label")))
+
+
+def exact_match(gold: DataFrame, cand: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """(doc, n, equal, rate) of gold's texts that stand at the same place in the candidate, normalised."""
+    same = F.coalesce(normalise(F.col("g")) == normalise(F.col("c")), F.lit(False))
+    joined = gold.select(*keys, F.col(text).alias("g")).join(cand.select(*keys, F.col(text).alias("c")), keys, "left")
+    return joined.groupBy(keys[0]).agg(F.count(F.lit(1)).alias("n"), F.count_if(same).alias("equal"), F.round(F.count_if(same) / F.count(F.lit(1)), 6).alias("rate"))
+
+
 def edge_prf1(gold: DataFrame, cand: DataFrame, doc: str, columns: list[str]) -> DataFrame:
     """Precision, recall and F1 on distinct edges."""
     g, c = gold.select(doc, *columns).distinct(), cand.select(doc, *columns).distinct()

@@ -70,6 +70,15 @@ def resolve_marker(paras: Column, marker: Column) -> Column:
     )
 
 
+def resolve_marker_rows(items: DataFrame, groups: list[str], text: str, at: str, marker: Column) -> DataFrame:
+    """The same for items that are rows, such as equations and tables: (group, status, at).  Groups without an item have
+    no row; a null text holds no marker."""
+    hit = F.coalesce(F.contains(F.col(text), marker), F.lit(False))
+    found = items.groupBy(*groups).agg(F.count_if(hit).alias("n"), F.max(F.when(hit, F.col(at))).alias(at))
+    status = F.when(F.col("n") == 1, "found").when(F.col("n") == 0, "not_found").otherwise("ambiguous")
+    return found.select(*groups, status.alias("status"), F.when(F.col("n") == 1, F.col(at)).alias(at))
+
+
 def reorder_plan(headings: DataFrame, doc: str) -> DataFrame:
     """Per document with three headings or more: the non-blank heading nearest the middle (the earlier one of two as
     near), the heading before it, and the next one whose level is no deeper.

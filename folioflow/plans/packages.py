@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import alignment, audit, scoring
+from ..operators import alignment, audit, scoring, structure
 from ..sources import convention, docx
 from ..sources import writer as w
 from .base import LINES, prf1_sql, query, table
@@ -114,6 +114,22 @@ def package_caption_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.unionByName(lost)
 
 
+@query(f"""WITH {_P}, x AS (SELECT doc_id, 'equation' AS family, i % 12 = 11 AS hit, CASE WHEN i % 2 = 0 THEN 'P' || (i % 14 // 2) END AS place FROM p WHERE i % 4 = 3
+  UNION ALL SELECT doc_id, 'table', contains(substr(text, 1, 10) || i || doc_id || 'xyz', '1' || doc_id || 'x'), (i + i // 6 + 1)::VARCHAR FROM p WHERE i % 6 = 5)
+ SELECT doc_id, family, CASE count(*) FILTER (hit) WHEN 0 THEN 'not_found' WHEN 1 THEN 'found' ELSE 'ambiguous' END AS status, CASE WHEN count(*) FILTER (hit) = 1 THEN max(place) FILTER (hit) END AS place FROM x GROUP BY ALL""")
+def package_marker_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Markers among equations, by the text of their math runs and the paragraph's native id, and among tables, by the
+    text of their cells and their place among the body's children."""
+    nodes = docx.nodes(docx.extract(_packages(spark, sf_dir)))
+    attr = lambda c: F.col(f"attrs.{c}")
+    equations = nodes.where("kind = 'equation'").select(_id(), F.lit("equation").alias("family"), attr("flat_text").alias("text"), attr("para_id").alias("place"), F.lit("1").alias("marker"))
+    held = nodes.where(F.col("kind").isin("table", "table_cell")).select(_id(), F.regexp_extract("node_id", "^table-[0-9]+", 0).alias("t"), "kind", "seq", attr("text").alias("text"), attr("order").alias("ord"))
+    cells = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("kind") == "table_cell", F.struct("seq", "text")))), lambda x: x["text"]), "")
+    tables = held.groupBy("doc_id", "t").agg(cells.alias("text"), F.max(F.when(F.col("kind") == "table", F.col("ord"))).alias("place"))
+    tables = tables.select("doc_id", F.lit("table").alias("family"), "text", "place", F.concat(F.lit("1"), F.col("doc_id").cast("string"), F.lit("x")).alias("marker"))
+    return structure.resolve_marker_rows(equations.unionByName(tables), ["doc_id", "family"], "text", "place", F.col("marker"))
+
+
 @query(f"""WITH {_P}, e AS (SELECT doc_id, CASE i % 12 WHEN 3 THEN 'fallback_forbidden' WHEN 7 THEN 'empty_required_child' ELSE 'correct' END AS label FROM p WHERE i % 4 = 3) SELECT doc_id, label, count(*) AS n FROM e GROUP BY ALL""")
 def package_equation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     equations = docx.nodes(docx.extract(_packages(spark, sf_dir))).where("kind = 'equation'")

@@ -98,6 +98,25 @@ def semantic_label_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.label_accuracy(gold, cand, ["l_orderkey", "pos"], "l_linestatus")
 
 
+@query(f"""WITH x AS ({_LINES_G}), c AS (SELECT l_orderkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY pos) AS pos, w FROM x WHERE v <> 'R')
+ SELECT l_orderkey, pos, x.w AS gold_label, c.w AS cand_label FROM x JOIN c USING (l_orderkey, pos) WHERE x.w <> c.w""")
+def semantic_label_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import Window
+
+    gold = _positions(spark, sf_dir).select("l_orderkey", "pos", "l_linestatus", "l_returnflag")
+    cand = gold.where(F.col("l_returnflag") != "R").withColumn("pos", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("pos")))
+    return scoring.label_mismatches(gold, cand, ["l_orderkey", "pos"], "l_linestatus")
+
+
+@query(f"""WITH g AS ({_GOLD}), c AS (SELECT doc_id, ord, text FROM g WHERE NOT contains(text, ' | ')), k AS (SELECT doc_id, ord, regexp_replace(lower(text), ' ', '  ', 'g') AS t FROM c)
+ SELECT doc_id, count(*) AS n, count(*) FILTER ({NORM.format('g.text')} = {NORM.format('t')}) AS equal, round(count(*) FILTER ({NORM.format('g.text')} = {NORM.format('t')}) / count(*), 6) AS rate FROM g LEFT JOIN k USING (doc_id, ord) GROUP BY doc_id""")
+def normalised_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs against the same ones in small letters and with wide blanks, of which the tables' are missing."""
+    gold = _gold(spark, sf_dir)
+    cand = scoring.ABLATIONS["drop_tables"](gold).withColumn("text", F.regexp_replace(F.lower("text"), " ", "  "))
+    return scoring.exact_match(gold, cand, ["doc_id", "ord"], "text")
+
+
 @query(f"""WITH g AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), c AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem WHERE l_linestatus = 'O'),
  a AS (SELECT l_orderkey, count(*) FILTER (c.l_orderkey IS NOT NULL) AS matched, count(*) AS n_gold FROM g LEFT JOIN c USING (l_orderkey, l_partkey, l_suppkey) GROUP BY 1)
  SELECT l_orderkey, matched, n_gold, matched AS n_cand, {prf1_sql('matched', 'n_gold', 'matched')} FROM a""".replace("SELECT l_orderkey, count(*) FILTER", "SELECT g.l_orderkey, count(*) FILTER"))

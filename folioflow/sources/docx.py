@@ -88,6 +88,11 @@ def visible(element: ElementTree.Element, math: bool = False) -> str:
     return "".join((x.text or "") if x.tag in texts else signs.get(x.tag, "") for x in element.iter())
 
 
+def math_text(equation: ElementTree.Element) -> str:
+    """Text of math runs alone; no paragraph shows it."""
+    return "".join(x.text or "" for x in equation.iter(M + "t"))
+
+
 def equation_label(equation: ElementTree.Element, compat: bool = True) -> str:
     """correct, empty_required_child or fallback_forbidden.
 
@@ -149,7 +154,7 @@ class Graph:
         self.edge(parent, "contains", name, order)
         for i, equation in enumerate(equations):
             label = equation_label(equation, self.compat)
-            self.node(f"{name}-eq{i}", "equation", order=i, semantic_label=label, omml_raw=ElementTree.tostring(equation, encoding="unicode"))
+            self.node(f"{name}-eq{i}", "equation", order=i, para_id=native, flat_text=math_text(equation), semantic_label=label, omml_raw=ElementTree.tostring(equation, encoding="unicode"))
             self.edge(name, "contains", f"{name}-eq{i}", i)
             if label != "correct":
                 self.doubt(f"{name}-eq{i}", "ambiguous", label)
