@@ -1,13 +1,14 @@
-"""One query for each operator, over its whole table.  Contracts fix the columns of ops 1, 3, 4, 5 and 9."""
+"""One query for each operator, over its whole table.  Contracts fix the columns of ops 1, 3, 4, 5, 9 and 11 to 13."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_id, minhash_dedup, mixing, template_lines, token_rollup, url_filters
+from . import bpe_automaton, filter_audit, importance_resampling, language_id, minhash_dedup, mixing, template_lines, token_rollup, url_filters
 from .common import Scratch, meet
 from .conversations import maximal_conversations
 from .decontamination import contaminated
@@ -107,6 +108,20 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return maximal_conversations(_table(spark, sf_dir, "conversations"))
 
 
+def op11_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("word_bpe_49k.json"), "rb") as f:
+        source = f.read()
+    return bpe_automaton.tokenized(_table(spark, sf_dir, "documents"), source)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")).drop("filter")
+
+
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 _ALL = (
     op1_substring_dedup,
     op2_decontamination,
@@ -118,5 +133,8 @@ _ALL = (
     op8_token_counts,
     op9_mixing,
     op10_chat_formatting,
+    op11_bpe_automaton,
+    op12_filter_audit,
+    op13_importance_resampling,
 )
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}

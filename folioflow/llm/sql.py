@@ -67,4 +67,38 @@ kept AS (SELECT ts, min(conv_id) AS conv_id, count(*) AS n_copies FROM c GROUP B
 SELECT conv_id, len(ts)::BIGINT AS n_turns, n_copies::BIGINT AS n_copies,
   array_to_string(list_transform(ts, lambda x: '<|' || regexp_replace(x.r, '<(\\*)\|', '<\1\\|', 'g') || '|>' || chr(10) || regexp_replace(x.t, '<(\\*)\|', '<\1\\|', 'g')), chr(10)) AS rendered
 FROM kept WHERE NOT EXISTS (SELECT 1 FROM c WHERE len(c.ts) > len(kept.ts) AND c.ts[1:len(kept.ts)] = kept.ts)""",
+    "op12_filter_audit": r"""
+WITH RECURSIVE t AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+q AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id),
+f AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+  CASE WHEN len(w) < 50 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 65 * len(w) THEN 'B' ELSE '' END ||
+  CASE WHEN 100 * (length(x) - length(regexp_replace(x, '[A-Z]', '', 'g'))) > 5 * length(x) THEN 'C' ELSE '' END ||
+  CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails FROM t LEFT JOIN q USING (doc_id)),
+m AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o(filter_order) AS (SELECT c FROM l UNION SELECT filter_order || c FROM o, l WHERE NOT contains(filter_order, c)),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o WHERE length(filter_order) = 5),
+z AS (SELECT part, filter_order, step, filter_order[step] AS c, sum(n) AS total, coalesce(sum(n) FILTER (contains(fails, filter_order[step])), 0) AS failing, coalesce(sum(n) FILTER (fails = filter_order[step]), 0) AS unique_fails,
+  coalesce(sum(n) FILTER (contains(fails, filter_order[step]) AND translate(filter_order[1:step - 1], fails, '') = filter_order[1:step - 1]), 0) AS removed,
+  coalesce(sum(good) FILTER (contains(fails, filter_order[step]) AND translate(filter_order[1:step - 1], fails, '') = filter_order[1:step - 1]), 0) AS good_lost,
+  coalesce(sum(toxic) FILTER (contains(fails, filter_order[step]) AND translate(filter_order[1:step - 1], fails, '') = filter_order[1:step - 1]), 0) AS toxic_lost
+  FROM m, s GROUP BY ALL)
+SELECT part, filter_order, step, (total - sum(removed) OVER (PARTITION BY part, filter_order ORDER BY step))::BIGINT AS kept, removed::BIGINT AS removed, (failing - removed)::BIGINT AS redundant,
+  unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, c))::BIGINT AS shapley FROM z""",
+    "op13_importance_resampling": r"""
+WITH crc AS (SELECT list(v ORDER BY i) AS tab FROM (SELECT i, list_reduce(list_prepend(i, range(8)), lambda v, k: CASE WHEN v % 2 = 1 THEN xor(v // 2, 3988292384) ELSE v // 2 END) AS v FROM range(256) r(i))),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+i AS (SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark),
+e AS (SELECT doc_id, unnest(w) AS word FROM d),
+b AS (SELECT word, xor(list_reduce(list_prepend(4294967295, list_transform(range(octet_length(encode(word))), lambda k: ('0x' || substr(hex(encode(word)), 2 * k + 1, 2))::BIGINT)),
+    lambda v, c: xor(v // 256, tab[xor(v % 256, c) + 1])), 4294967295) % 10000 AS bucket FROM (SELECT word FROM e UNION SELECT word FROM i), crc),
+c AS (SELECT bucket, count(*) AS s FROM e JOIN b USING (word) GROUP BY bucket),
+g AS (SELECT bucket, count(*) AS t FROM i JOIN b USING (word) GROUP BY bucket),
+n AS (SELECT (SELECT count(*) FROM e) + 10000.0::DOUBLE AS s_all, (SELECT count(*) FROM i) + 10000.0::DOUBLE AS t_all),
+gain AS (SELECT bucket, floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * s_all / ((coalesce(s, 0) + 1.0::DOUBLE) * t_all)))::BIGINT AS gain FROM (SELECT DISTINCT bucket FROM b) LEFT JOIN c USING (bucket) LEFT JOIN g USING (bucket), n),
+wt AS (SELECT doc_id, sum(gain)::BIGINT AS weight FROM e JOIN b USING (word) JOIN gain USING (bucket) GROUP BY doc_id),
+x AS (SELECT doc_id, len(w)::BIGINT AS n_features, coalesce(weight, 0) AS weight, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM d LEFT JOIN wt USING (doc_id)),
+y AS (SELECT doc_id, n_features, weight, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score FROM x),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM y WHERE n_features >= 20)
+SELECT y.*, CASE WHEN place <= n * 10 // 100 THEN place END AS rank FROM y LEFT JOIN r USING (doc_id)""",
 }
