@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from fractions import Fraction
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import Tables, places
 from ..functions.text import shuffle_key
 
 SPLITS = ("development", "validation", "primary_holdout")
@@ -44,30 +45,56 @@ def check_fractions(fractions: dict[str, float]) -> None:
         raise ValueError("fractions must be non-negative and sum to 1")
 
 
-def group_split(families: DataFrame, fractions: dict[str, float], seed: str, family: str = "family", size: str = "size") -> DataFrame:
+def turns(lacks: list[Fraction], size: int, count: int) -> list[tuple[int, list[int]]]:
+    """Who gets `count` families of one size, each going to the split that lacks most, ties to the first: stretches
+    (length, splits in turn), and `lacks` is lessened by what they got.
+
+    The splits that lack most take turns until they lack as little as the next one, which then joins them: there are
+    at most as many stretches as splits, whatever the count."""
+    out: list[tuple[int, list[int]]] = []
+    waiting = sorted(range(len(lacks)), key=lambda j: (-lacks[j], j))
+    if not size:  # nothing changes what is lacking
+        return [(count, waiting[:1])]
+    active: list[int] = []
+    while count:
+        active.append(waiting.pop(0))
+        order = sorted(active, key=lambda j: (-lacks[j], j))
+        n = count
+        if waiting:
+            x, w = lacks[waiting[0]], waiting[0]
+            # turns of j before w's first: as long as it lacks more, or as much and comes first
+            before = {j: max(0, math.floor((lacks[j] - x) / size) + 1 if j < w else math.ceil((lacks[j] - x) / size)) for j in active}
+            n = min(count, sum(before.values()))
+        if n:
+            out.append((n, order))
+        for k, j in enumerate(order):
+            lacks[j] -= size * len(range(k, n, len(order)))
+        count -= n
+    return out
+
+
+def group_split(tables: Tables, families: DataFrame, fractions: dict[str, float], seed: str, family: str = "family", size: str = "size") -> DataFrame:
     """(family, size, split): whole families go, by falling size, to the split that lacks most; ties go by the order
     of the splits, families of one size in seeded order.
 
-    Every choice depends on all before, so the sorted families run through one task, which keeps what each split lacks
-    and nothing else: any number of families takes constant memory.
+    Families of one size are dealt at once: the driver goes over the histogram of sizes (there are at most about
+    sqrt(2 * items) different ones), and tells for each size in which turns its families fall to the splits.  Every
+    family then finds its split by its place among those of its size, which comes from a range sort.
     """
     check_fractions(fractions)
     names = list(fractions)
-    total = families.agg(F.sum(size)).first()[0] or 0
-
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lacks = [total * fractions[n] for n in names]
-        for pdf in batches:
-            chosen = []
-            for n in pdf["size"].tolist():
-                at = lacks.index(max(lacks))
-                lacks[at] -= n
-                chosen.append(names[at])
-            yield pd.DataFrame({"family": pdf["family"], "size": pdf["size"], "split": chosen})
-
     rows = families.select(F.col(family).cast("string").alias("family"), F.col(size).cast("long").alias("size"), shuffle_key(F.lit(seed), F.col(family)).alias("key"))
-    ordered = rows.repartition(1).sortWithinPartitions(F.desc("size"), "key").select("family", "size")
-    return ordered.mapInPandas(place, "family string, size long, split string")
+    counts = rows.groupBy("size").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("size")).collect()
+    total = sum(r["size"] * r["n"] for r in counts)
+    lacks, dealt, start = [Fraction(total * fractions[n]) for n in names], [], 0
+    for r in counts:
+        for n, order in turns(lacks, r["size"], r["n"]):
+            dealt.append((r["size"], start, start + n, [names[j] for j in order]))
+            start += n
+    stretches = rows.sparkSession.createDataFrame(dealt, "size long, begin long, end long, turns array<string>")
+    placed = places(tables, rows, F.desc("size"), "key", "family")
+    met = placed.join(stretches, "size").where((F.col("place") >= F.col("begin")) & (F.col("place") < F.col("end")))
+    return met.select("family", "size", F.get("turns", F.pmod(F.col("place") - F.col("begin"), F.size("turns")).cast("int")).alias("split"))
 
 
 def resolve_slices(slices: DataFrame, asked: str, order: list[str]) -> DataFrame:

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, dedup, pii
+from ..functions.tables import Tables
+from ..operators import audit, dedup, pii, sampling
 from .base import LINES, NORM, query, table
+from .sampling import FRACTIONS, SEED
 
 _PII = rf"""SELECT doc_id, source, text,
  regexp_extract_all(text, '{pii.EMAIL}') AS e,
@@ -72,28 +74,69 @@ def holdout_hash_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.overlap(digest("documents"), digest("benchmark"), "h")
 
 
-_NEAR = f"""WITH l AS (SELECT DISTINCT doc_id AS i, md5({NORM.format('x')}) AS f FROM (SELECT doc_id, unnest({LINES}) AS x FROM documents)),
+_NEAR = f"""l AS (SELECT DISTINCT doc_id AS i, md5({NORM.format('x')}) AS f FROM (SELECT doc_id, unnest({LINES}) AS x FROM documents)),
  n AS (SELECT i, count(*) AS n FROM l GROUP BY i), r AS (SELECT f FROM l GROUP BY f HAVING count(*) > 1),
  p AS (SELECT DISTINCT x.i AS a, y.i AS b FROM l x JOIN r USING (f) JOIN l y ON y.f = x.f AND x.i < y.i),
  s AS (SELECT a, b, count(*) AS c FROM p JOIN l x ON x.i = a JOIN l y ON y.i = b AND y.f = x.f GROUP BY a, b),
- near AS (SELECT a, b, round(c / (u.n + v.n - c), 6) AS jaccard FROM s JOIN n u ON u.i = a JOIN n v ON v.i = b WHERE c / (u.n + v.n - c) >= 0.8)"""
+ near AS (SELECT a, b, c / (u.n + v.n - c) AS jaccard FROM s JOIN n u ON u.i = a JOIN n v ON v.i = b WHERE c / (u.n + v.n - c) >= 0.8),
+ class AS (SELECT i, min(i) OVER (PARTITION BY fs) AS c, count(*) OVER (PARTITION BY fs) AS n FROM (SELECT i, list(f ORDER BY f) AS fs FROM l GROUP BY i))"""
 
 
-def _near(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, f): digests of the distinct normalised lines of every document."""
     lines = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(T.paragraphs(F.col("text"))).alias("l")).where(F.col("l").isNotNull())
-    return dedup.near_duplicate_pairs(lines.select("doc_id", F.md5(T.normalise(F.col("l"))).alias("f")), "doc_id", "f")
+    return lines.select("doc_id", F.md5(T.normalise(F.col("l"))).alias("f"))
 
 
-@query(f"{_NEAR} SELECT * FROM near")
+@query(f"""WITH {_NEAR} SELECT a, b, u.n AS n_a, v.n AS n_b, round(jaccard, 6) AS jaccard FROM near JOIN class u ON u.i = a AND u.c = a JOIN class v ON v.i = b AND v.c = b
+ UNION ALL SELECT DISTINCT c, c, n, n, 1.0::DOUBLE FROM class WHERE n > 1""")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _near(spark, sf_dir)
+    return dedup.near_duplicate_pairs(Tables(spark), _lines(spark, sf_dir), "doc_id", "f")
 
 
-@query(f"""{_NEAR} SELECT x.lang AS lang_a, y.lang AS lang_b, x.source AS source_a, y.source AS source_b, count(*) AS pairs FROM near JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source <> y.source GROUP BY ALL""")
+@query(f"""WITH {_NEAR}, q AS (SELECT (x.lang, x.source) AS p, (y.lang, y.source) AS q FROM near JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source <> y.source AND x.lang IS NOT NULL AND y.lang IS NOT NULL)
+ SELECT least(p, q)[1] AS lang_a, least(p, q)[2] AS source_a, greatest(p, q)[1] AS lang_b, greatest(p, q)[2] AS source_b, count(*) AS pairs FROM q GROUP BY ALL""")
 def cross_split_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    side = lambda s: table(spark, sf_dir, "documents").select(F.col("doc_id").alias(s), F.col("lang").alias(f"lang_{s}"), F.col("source").alias(f"source_{s}"))
-    pairs = _near(spark, sf_dir).join(side("a"), "a").join(side("b"), "b").where(F.col("source_a") != F.col("source_b"))
-    return pairs.groupBy("lang_a", "lang_b", "source_a", "source_b").agg(F.count(F.lit(1)).alias("pairs"))
+    """Near pairs of documents of different sources, by both sides, the smaller (lang, source) first."""
+    tables = Tables(spark)
+    members, near = dedup.near_classes(tables, _lines(spark, sf_dir), "doc_id", "f")
+    found = dedup.collisions(tables.save(members, "members"), near, table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"])
+    split = found.select("side_a.lang", "side_a.source", "side_b.lang", "side_b.source", "pairs").toDF("lang_a", "source_a", "lang_b", "source_b", "pairs")
+    return split.where(F.col("source_a") != F.col("source_b"))
+
+
+_LINEAGE = f"""{_NEAR}, t AS (SELECT doc_id AS i, nullif({NORM.format('text')}, '') AS t FROM documents),
+ edge AS (SELECT a, b FROM near UNION SELECT b, a FROM near UNION SELECT u.i, v.i FROM t u JOIN t v ON u.t = v.t AND u.i <> v.i),
+ reach(a, b) AS (SELECT a, b FROM edge UNION SELECT reach.a, edge.b FROM reach JOIN edge ON reach.b = edge.a),
+ link AS (SELECT a, count(*) AS n_links FROM (SELECT a, b FROM near UNION SELECT b, a FROM near) GROUP BY a),
+ fam AS (SELECT doc_id, least(doc_id, min(b)) AS lineage_id FROM documents LEFT JOIN reach ON a = doc_id GROUP BY doc_id),
+ lin AS (SELECT doc_id, coalesce(c, doc_id) AS class_id, lineage_id, coalesce(n_links, 0)::BIGINT AS n_links, count(*) OVER (PARTITION BY lineage_id) AS n_family FROM fam LEFT JOIN class ON class.i = doc_id LEFT JOIN link ON a = doc_id)"""
+
+
+def _lineage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = T.normalise(F.col("text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(text != "", F.sha2(text, 256)).alias("text_key"))
+    return dedup.lineage(Tables(spark), docs, _lines(spark, sf_dir))
+
+
+@query(f"WITH RECURSIVE {_LINEAGE} SELECT * FROM lin")
+def lineage_families(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lineage(spark, sf_dir)
+
+
+@query(f"""WITH RECURSIVE {_LINEAGE}, f AS (SELECT lineage_id, count(*) AS size FROM lin GROUP BY lineage_id),
+ o AS (SELECT lineage_id, size, row_number() OVER (ORDER BY size DESC, md5(concat_ws('|', '{SEED}', lineage_id::VARCHAR)), lineage_id::VARCHAR) AS k FROM f),
+ g(k, lineage_id, split, a, b, c) AS (SELECT 0::BIGINT, NULL::BIGINT, NULL::VARCHAR, t * 0.6::DOUBLE, t * 0.2::DOUBLE, t * 0.2::DOUBLE FROM (SELECT sum(size)::DOUBLE AS t FROM f)
+  UNION ALL SELECT o.k, o.lineage_id, CASE greatest(a, b, c) WHEN a THEN 'development' WHEN b THEN 'validation' ELSE 'primary_holdout' END,
+   a - CASE WHEN greatest(a, b, c) = a THEN o.size ELSE 0 END, b - CASE WHEN greatest(a, b, c) = b AND a <> b THEN o.size ELSE 0 END, c - CASE WHEN greatest(a, b, c) = c AND a <> c AND b <> c THEN o.size ELSE 0 END
+  FROM g JOIN o ON o.k = g.k + 1)
+ SELECT doc_id, lineage_id, split FROM lin JOIN g USING (lineage_id)""")
+def lineage_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's split; copies, near copies and what hangs together through them stay in one."""
+    rows = _lineage(spark, sf_dir)
+    families = rows.groupBy("lineage_id").agg(F.count(F.lit(1)).alias("size"))
+    split = sampling.group_split(Tables(spark), families, FRACTIONS, SEED, "lineage_id", "size")
+    return rows.join(split.select(F.col("family").cast("long").alias("lineage_id"), "split"), "lineage_id").select("doc_id", "lineage_id", "split")
 
 
 @query("""SELECT doc_id, coalesce(substr(sha256(text), 1, 16), 'unhashable') AS ledger_id, 'unknown_pending_review' AS license_status,

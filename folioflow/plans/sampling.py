@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import Tables
 from ..operators import sampling
 from .base import query, table
 
@@ -72,13 +73,13 @@ _SPLIT = f"""WITH RECURSIVE f AS (SELECT concat_ws('/', source, lang) AS family,
 
 @query(f"{_SPLIT} SELECT * FROM assigned")
 def group_split_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.group_split(_families(spark, sf_dir), FRACTIONS, SEED)
+    return sampling.group_split(Tables(spark), _families(spark, sf_dir), FRACTIONS, SEED)
 
 
 @query(f"""{_SPLIT} SELECT split, sum(size)::BIGINT AS size, count(*) AS families, CASE split WHEN 'development' THEN 0.6::DOUBLE ELSE 0.2::DOUBLE END AS requested,
  round(sum(size) / (SELECT sum(size) FROM assigned), 6) AS achieved FROM assigned GROUP BY split""")
 def group_split_fractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.split_fractions(sampling.group_split(_families(spark, sf_dir), FRACTIONS, SEED), FRACTIONS)
+    return sampling.split_fractions(sampling.group_split(Tables(spark), _families(spark, sf_dir), FRACTIONS, SEED), FRACTIONS)
 
 
 @query(f"""SELECT id, position, CASE WHEN position <= 10 THEN 'smoke' WHEN position <= 40 THEN 'scale_up' ELSE 'final' END AS stage

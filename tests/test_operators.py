@@ -2,13 +2,17 @@
 
 import hashlib
 import random
+from fractions import Fraction
 
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
+from folioflow.functions.tables import Tables
+from folioflow.functions.text import normalise, paragraphs
 from folioflow.operators import alignment, audit, dedup, grading, pii, profile, sampling, scoring, stats, structure
+from folioflow.operators.graph import connected_components
 from folioflow.plans import registry
 
 
@@ -153,16 +157,30 @@ def test_last_repeated_chain_counts(spark):
 def test_group_split(spark, sizes):
     fractions = {"development": 0.6, "validation": 0.2, "primary_holdout": 0.2}
     families = spark.createDataFrame(sizes, "family string, size int")
-    got = sampling.group_split(families, fractions, "s").collect()
+    got = sampling.group_split(Tables(spark), families, fractions, "s").collect()
     assert sorted(r.family for r in got) == sorted(f for f, _ in sizes)
-    again = sampling.group_split(families.repartition(5), fractions, "s").collect()
+    again = sampling.group_split(Tables(spark), families.repartition(5), fractions, "s").collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, again))
     lacks = {k: v * sum(n for _, n in sizes) for k, v in fractions.items()}
-    for r in got:  # each family went where most was lacking
-        assert lacks[r.split] == max(lacks.values())
+    key = lambda f: hashlib.md5(f"s|{f}".encode()).hexdigest()
+    for r in sorted(got, key=lambda r: (-r.size, key(r.family))):  # each family went where most was lacking, ties to the first
+        assert r.split == max(lacks, key=lacks.get)
         lacks[r.split] -= r.size
 
 
+@pytest.mark.parametrize("seed", range(60))
+def test_turns_are_those_of_one_by_one(seed):
+    rng = random.Random(seed)
+    lacks = [Fraction(rng.choice([rng.randint(-20, 60), 12, 12.5])) for _ in range(rng.randint(1, 5))]
+    size, count = rng.choice([0, 1, 3, 7, 100]), rng.randint(0, 60)
+    left, want = list(lacks), []
+    for _ in range(count):
+        want.append(left.index(max(left)))
+        left[want[-1]] -= size
+    got = [order[k % len(order)] for n, order in sampling.turns(lacks, size, count) for k in range(n)]
+    assert got == want and lacks == left
+
+
 def test_fractions_are_checked():
     for bad in ({}, {"a": 0.5}, {"a": 1.5, "b": -0.5}):
         with pytest.raises(ValueError):
@@ -246,16 +264,63 @@ def test_timing(spark):
     assert (r.n, r.mean, r.median) == (2, 2.0, 2.0)
 
 
-
-
-def test_near_duplicate_pairs_of_large_groups(spark):
+def test_near_duplicates_of_large_groups(spark):
     """70 exact copies, 70 near copies of them whose common lines all exceed 64 documents, and a bystander."""
     base = [f"line {k}" for k in range(10)]
     sets = {i: set(base) for i in range(70)} | {100 + i: set(base[:9]) | {f"own {i}"} for i in range(70)} | {300: {"line 0", "x"}}
     rows = [(i, f) for i, fs in sets.items() for f in fs]
-    found = dedup.near_duplicate_pairs(spark.createDataFrame(rows, "i long, f string"), "i", "f").collect()
-    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
-    assert len(found) == len(want) and {(r.a, r.b): r.jaccard for r in found} == want
+    found = dedup.near_duplicate_pairs(Tables(spark), spark.createDataFrame(rows, "i long, f string"), "i", "f").collect()
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    heads = [0, *range(100, 170), 300]
+    want = {(a, b): round(len(sets[a] & sets[b]) / len(sets[a] | sets[b]), 6) for a in heads for b in heads if a < b and near(a, b)}
+    assert {(r.a, r.b): r.jaccard for r in found} == want | {(0, 0): 1.0} and len(found) == len(want) + 1
+    assert {r.n_a for r in found if r.a == 0} == {70} and {(r.n_a, r.n_b) for r in found if r.a > 0} <= {(1, 1)}
+
+
+def test_lineage_by_brute_force(spark):
+    """Exact, normalised and near links, in chains, with nulls, repeats and texts without content."""
+    rng = random.Random(4)
+    word = lambda k: f"w{k}"
+    texts: dict[int, str | None] = {}
+    for g in range(6):
+        lines = [f"{word(g)} {k} {rng.random()}" for k in range(12)]
+        for k in range(8):  # a chain of revisions: its ends are far apart
+            texts[100 * g + k] = "\n".join(lines)
+            lines[k] = f"new {g} {k}"
+    texts |= {700: "A  b\nc", 701: "a b c", 702: "a b\nC", 703: None, 704: "", 705: " \n ", 706: "a b c", 707: None}
+    sets = {i: {" ".join(x.split()).lower() for x in (t or "").split("\n")} - {""} for i, t in texts.items()}
+    same = lambda a, b: bool(sets[a]) and " ".join((texts[a] or "").split()).lower() == " ".join((texts[b] or "").split()).lower()
+    near = lambda a, b: bool(sets[a] & sets[b]) and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    root = {i: i for i in texts}
+
+    def find(x):
+        return x if root[x] == x else find(root[x])
+
+    for a in texts:
+        for b in texts:
+            if a < b and (same(a, b) or near(a, b)):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    docs = spark.createDataFrame([*texts.items(), (700, texts[700])], "doc_id long, text string")
+    text, lines = normalise(F.col("text")), docs.select("doc_id", F.explode(paragraphs(F.col("text"))).alias("l"))
+    got = dedup.lineage(Tables(spark), docs.select("doc_id", F.when(text != "", text).alias("text_key")), lines.select("doc_id", normalise(F.col("l")).alias("f"))).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        i = r.doc_id
+        assert r.lineage_id == find(i) and r.n_family == sum(find(j) == find(i) for j in texts)
+        assert r.n_links == sum(near(i, j) for j in texts if j != i)
+        assert r.class_id == min([j for j in texts if sets[j] == sets[i] and sets[i]], default=i)
+
+
+@pytest.mark.parametrize("order", ["ascending", "descending", "shuffled"])
+def test_components_of_long_paths(spark, order):
+    ids = list(range(600))
+    if order != "ascending":
+        ids[1:] = ids[:0:-1]
+    if order == "shuffled":
+        random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:])) + [(2001, 2000), (7, 7)], "a long, b long")
+    assert {r.v: r.comp for r in connected_components(Tables(spark), edges).collect()} == {i: 0 for i in range(600)} | {2000: 2000, 2001: 2000}
 
 
 def test_char_edit_distance_of_whole_paragraphs(spark, tmp_path):
