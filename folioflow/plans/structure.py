@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import audit, structure
+from ..functions.tables import Tables
+from ..operators import audit, packing, structure
 from .base import LINES, query, table
 
 _PARAS = f"SELECT doc_id, unnest({LINES}) AS text, generate_subscripts({LINES}, 1) - 1 AS ord FROM documents"
@@ -205,3 +206,19 @@ def page_sizes_and_field_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     turned = key % 8 > 3
     size = T.paper_size(F.when(turned, b).otherwise(a), F.when(turned, a).otherwise(b))
     return table(spark, sf_dir, "part").select("p_partkey", size.alias("size"), T.field_code(pick(["  seq Table", "PAGE", "ref x y"], key % 3)).alias("code"))
+
+
+TARGET = 500
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS o FROM documents WHERE text IS NOT NULL),
+ k AS (SELECT doc_id, o, x, unnest(range(greatest(length(x) + {TARGET - 1}, {TARGET}) // {TARGET})) AS k FROM e),
+ p AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY o, k) AS pos, substr(x, k * {TARGET} + 1, {TARGET}) AS piece FROM k),
+ g(doc_id, pos, held, chunk) AS (SELECT doc_id, pos, length(piece), 0 FROM p WHERE pos = 1
+  UNION ALL SELECT p.doc_id, p.pos, CASE WHEN held >= {TARGET} THEN 0 ELSE held END + length(piece), chunk + (held >= {TARGET})::INT FROM g JOIN p ON p.doc_id = g.doc_id AND p.pos = g.pos + 1)
+ SELECT doc_id, chunk::BIGINT AS chunk, count(*) AS n_pieces, sum(length(piece))::BIGINT AS n_chars, md5(string_agg(piece, chr(10) ORDER BY pos)) AS text_md5 FROM g JOIN p USING (doc_id, pos) GROUP BY doc_id, chunk""")
+def chunked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of every document in chunks of 500 characters."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("o", "line"))
+    chunks = packing.pack_chunks(Tables(spark), lines, "doc_id", "o", "line", TARGET)
+    return chunks.select("doc_id", "chunk", "n_pieces", "n_chars", F.md5("text").alias("text_md5"))

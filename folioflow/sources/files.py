@@ -1,8 +1,7 @@
-"""JSON manifests and logs, newest reports, BibTeX keys; versioned, partial and chunked outputs."""
+"""JSON manifests and logs, newest reports, BibTeX keys; versioned and partial outputs."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -61,25 +60,3 @@ def replace_field(old: DataFrame, new: DataFrame, key: str, column: str, field:
     state = F.when(F.col("_new").isNull(), "error").when(F.col(f"{column}.{field}").eqNullSafe(F.col("_new")), "unchanged").otherwise("changed")
     kept = F.when(F.col("_new").isNull(), F.col(column)).otherwise(F.col(column).withField(field, F.col("_new")))
     return joined.select(*[kept.alias(c) if c == column else F.col(c) for c in old.columns], state.alias("state"))
-
-
-def pack_chunks(elements: DataFrame, group: str, order: str, text: str, target: int) -> DataFrame:
-    """(group, chunk, text): elements in order, joined until a chunk reaches the target; longer elements are split.
-    A group is one document, so its elements fit one task."""
-    kind = elements.schema[group].dataType.simpleString()
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, held, size = [], [], 0
-        for piece in pdf.sort_values(order)[text]:
-            for at in range(0, max(len(piece), 1), target):
-                part = piece[at : at + target]
-                held.append(part)
-                size += len(part)
-                if size >= target:
-                    out.append("\n".join(held))
-                    held, size = [], 0
-        if held:
-            out.append("\n".join(held))
-        return pd.DataFrame({group: [pdf[group].iloc[0]] * len(out), "chunk": range(len(out)), "text": out})
-
-    return elements.groupBy(group).applyInPandas(pack, f"{group} {kind}, chunk long, text string")

@@ -151,13 +151,10 @@ def test_files(spark, tmp_path):
         files.write_report(reports, str(tmp_path), "report-v1", "run1")
 
 
-def test_replace_field_and_chunks(spark):
+def test_replace_field(spark):
     old = spark.createDataFrame([(1, {"g": 1, "k": 7}), (2, {"g": 2, "k": 8}), (3, {"g": 3, "k": 9})], "id int, rec struct<g:int,k:int>")
     got = files.replace_field(old, spark.createDataFrame([(1, 5), (2, 2)], "id int, value int"), "id", "rec", "g").orderBy("id").collect()
     assert [(r.rec.g, r.rec.k, r.state) for r in got] == [(5, 7, "changed"), (2, 8, "unchanged"), (3, 9, "error")]
-    parts = spark.createDataFrame([("d", i, t) for i, t in enumerate(["aaaa", "bb", "c" * 25, ""])], "doc string, pos int, text string")
-    chunks = files.pack_chunks(parts, "doc", "pos", "text", 10).orderBy("chunk").collect()
-    assert "".join(r.text.replace("\n", "") for r in chunks) == "aaaabb" + "c" * 25
 
 
 def test_stream_resumes_without_doing_work_twice(spark, tmp_path):
