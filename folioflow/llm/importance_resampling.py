@@ -29,6 +29,8 @@ from .common import Scratch, arrow_batches, meet
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c > 127 else 32 for c in range(256))
 #: features and bytes that a worker remembers the buckets of
 KEPT, KEPT_BYTES = 400_000, 32 << 20
+#: parts of the counts by bucket that are summed apart
+SLICES = 16
 
 
 class _Buckets(dict):
@@ -83,21 +85,32 @@ def collapsed(docs: DataFrame, doc_id: str = "doc_id") -> DataFrame:
 
 
 def bucket_counts(found: DataFrame, buckets: int) -> np.ndarray:
-    """Features by bucket, copies counted.  At most `buckets` rows come to the driver."""
+    """Features by bucket, copies counted.  Tasks hand on one packed array, cut into slices that are summed apart; one
+    row a slice comes to the driver, `buckets` numbers in all."""
+    width = -(-buckets // SLICES)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(buckets, np.int64)
+        total = np.zeros(width * SLICES, np.int64)
         for batch in batches:
             for times, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 np.add.at(total, np.frombuffer(packed, np.uint32), times)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    rows = found.select("n", "buckets").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect()
-    counts = np.zeros(buckets, np.int64)
-    for r in rows:
-        counts[r["bucket"]] = r["n"]
-    return counts
+        if total.any():
+            parts = total.reshape(SLICES, width)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLICES, dtype=np.int32)), pa.array([p.tobytes() for p in parts], pa.binary())], names=["part", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                sums[part] = sums.get(part, 0) + np.frombuffer(packed, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "counts"])
+
+    schema = "part int, counts binary"
+    summed = found.select("n", "buckets").mapInArrow(count, schema).repartition(SLICES, "part").mapInArrow(add, schema)
+    counts = np.zeros((SLICES, width), np.int64)
+    for r in summed.collect():
+        counts[r["part"]] += np.frombuffer(r["counts"], np.int64)
+    return counts.ravel()[:buckets]
 
 
 def gains(corpus: np.ndarray, target: np.ndarray) -> np.ndarray:
