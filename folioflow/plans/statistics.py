@@ -5,11 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.tables import Tables
 from ..operators import stats
 from .base import query, table
 
 REPS = stats.REPLICATES
-_U = "('0x' || substr(md5(concat_ws('|', '20260828', rep::VARCHAR, k::VARCHAR)), 1, 8))::BIGINT"
+_U = "(('0x' || substr(md5(concat_ws('|', '20260828', rep::VARCHAR, {})), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296"
+#: distributions of n trials at p, for each (n, p) of a table tr: (n, p, k, cdf)
+_CDF = """pmf AS (SELECT n, p, k, exp(lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) + k * ln(p) + (n - k) * ln(1 - p)) AS f FROM (SELECT n, p, unnest(range(n + 1)) AS k FROM tr)),
+ cdf AS (SELECT n, p, list(k ORDER BY k) AS ks, list(f ORDER BY k) AS fs FROM (SELECT n, p, k, sum(f) OVER (PARTITION BY n, p ORDER BY k) / sum(f) OVER (PARTITION BY n, p) AS f FROM pmf) GROUP BY n, p)"""
+#: least k whose probability from 0 on reaches u
+_K = "(len(list_filter(fs, lambda f: f < {u})))"
 
 
 def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -18,36 +24,37 @@ def _labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _LAB = "lab AS (SELECT q.doc_id, lang, quality::DOUBLE AS quality, toxic::DOUBLE AS toxic FROM labels q JOIN documents USING (doc_id))"
-_BOOT = f"""WITH {_LAB}, g AS (SELECT lang, list(quality ORDER BY doc_id, quality) AS xs FROM lab WHERE quality IS NOT NULL GROUP BY lang),
- r AS (SELECT lang, len(xs) AS n, xs, rep, unnest(range(len(xs))) AS k FROM (SELECT *, unnest(range({REPS})) AS rep FROM g)),
- m AS (SELECT lang, rep, sum(xs[{_U} % n + 1]) / any_value(n) AS mean FROM r GROUP BY lang, rep),
- s AS (SELECT lang, list(mean ORDER BY mean) AS ms FROM m GROUP BY lang),
- b AS (SELECT lang, count(quality) AS n, avg(quality) AS mean, min(quality) AS lo, max(quality) AS hi FROM lab GROUP BY lang)"""
+_BOOT = f"""WITH {_LAB}, b AS (SELECT lang, count(quality) AS n, avg(quality) AS mean, min(quality) AS lo, max(quality) AS hi, count(*) FILTER (quality = 0) AS zeros FROM lab GROUP BY lang),
+ tr AS (SELECT DISTINCT n, zeros::DOUBLE / n AS p FROM b WHERE lo < hi), {_CDF},
+ m AS (SELECT lang, rep, (n - {_K.format(u=_U.format("'0', '0'"))})::DOUBLE / n AS mean FROM (SELECT lang, b.n, fs, unnest(range({REPS})) AS rep FROM b JOIN cdf ON cdf.n = b.n AND cdf.p = zeros::DOUBLE / b.n)),
+ s AS (SELECT lang, list(mean ORDER BY mean) AS ms FROM m GROUP BY lang)"""
 
 
 @query(f"""{_BOOT} SELECT lang, n, round(mean, 6) AS mean, round(CASE WHEN n < 2 THEN NULL WHEN lo = hi THEN CASE WHEN lo = 1 THEN pow(0.025::DOUBLE, 1.0 / n) ELSE 0 END ELSE ms[{int(0.025 * REPS)} + 1] END, 6) AS low,
  round(CASE WHEN n < 2 THEN NULL WHEN lo = hi THEN CASE WHEN lo = 1 THEN 1 ELSE 1 - pow(0.025::DOUBLE, 1.0 / n) END ELSE ms[{int(0.975 * REPS)}] END, 6) AS high,
  CASE WHEN n < 2 THEN 'undefined' WHEN lo = hi THEN 'exact_boundary' ELSE 'percentile' END AS method FROM b LEFT JOIN s USING (lang)""")
 def bootstrap_ci_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.bootstrap_ci(_labelled(spark, sf_dir), ["lang"], "quality", "doc_id")
+    return stats.bootstrap_ci(Tables(spark), _labelled(spark, sf_dir), ["lang"], "quality")
 
 
 @query("""SELECT event_type, n, 1.0::DOUBLE AS mean, round(pow(0.025::DOUBLE, 1.0 / n), 6) AS low, 1.0::DOUBLE AS high, 'exact_boundary' AS method FROM (SELECT event_type, count(DISTINCT user_id) AS n FROM events GROUP BY event_type) WHERE n >= 2""")
 def boundary_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every user of an event type counts as a success: the exact interval for n of n."""
     users = table(spark, sf_dir, "events").select("event_type", "user_id").distinct().withColumn("passed", F.lit(1.0))
-    return stats.bootstrap_ci(users, ["event_type"], "passed", "user_id")
+    return stats.bootstrap_ci(Tables(spark), users, ["event_type"], "passed")
 
 
-_TEST = f"""g AS (SELECT grp, list(d ORDER BY doc_id) AS ds FROM d WHERE d IS NOT NULL GROUP BY grp),
- r AS (SELECT grp, ds, rep, unnest(range(len(ds))) AS k FROM (SELECT *, unnest(range({REPS})) AS rep FROM g)),
- f AS (SELECT grp, rep, abs(sum(CASE WHEN {_U} % 2 = 0 THEN 1 ELSE -1 END * ds[k + 1])) >= abs(list_sum(any_value(ds))) - 1e-12 AS hit, len(any_value(ds)) AS n, list_sum(any_value(ds)) / len(any_value(ds)) AS difference FROM r GROUP BY grp, rep),
- t AS (SELECT grp, any_value(n)::BIGINT AS n, round(any_value(difference), 6) AS difference, CASE WHEN any_value(n) >= 2 THEN round(avg(hit::INT), 6) END AS p FROM f GROUP BY grp)"""
+_TEST = f"""v AS (SELECT grp, abs(d) AS x, count(*) AS n, row_number() OVER (PARTITION BY grp ORDER BY abs(d)) - 1 AS k FROM d WHERE d <> 0 GROUP BY grp, abs(d)),
+ tr AS (SELECT DISTINCT n, 0.5::DOUBLE AS p FROM v), {_CDF},
+ f AS (SELECT grp, rep, sum(x * (2 * {_K.format(u=_U.format("k::VARCHAR"))} - n)) AS flipped FROM (SELECT grp, x, v.n, v.k, fs, unnest(range({REPS})) AS rep FROM v JOIN cdf ON cdf.n = v.n) GROUP BY grp, rep),
+ tot AS (SELECT grp, count(*) AS n, sum(d) AS total FROM d WHERE d IS NOT NULL GROUP BY grp),
+ h AS (SELECT grp, avg((abs(flipped) >= abs(total) - 1e-12)::INT) AS p FROM f JOIN tot USING (grp) GROUP BY grp),
+ t AS (SELECT grp, n, round(total / n, 6) AS difference, CASE WHEN n >= 2 THEN round(coalesce(p, 1), 6) END AS p FROM tot LEFT JOIN h USING (grp))"""
 
 
 @query(f"WITH {_LAB}, d AS (SELECT lang AS grp, doc_id, quality - toxic AS d FROM lab), {_TEST} SELECT grp AS lang, n, difference, p FROM t")
 def paired_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.permutation_test(_labelled(spark, sf_dir), ["lang"], "quality", "toxic", "doc_id")
+    return stats.permutation_test(Tables(spark), _labelled(spark, sf_dir), ["lang"], "quality", "toxic")
 
 
 @query(f"""WITH {_LAB}, s AS (SELECT doc_id, 'quality' AS system, quality AS v FROM lab UNION ALL SELECT doc_id, 'safe', 1 - toxic FROM lab UNION ALL SELECT doc_id, 'toxic', toxic FROM lab),
@@ -56,7 +63,7 @@ def paired_permutation_test(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pairwise_system_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     wide = _labelled(spark, sf_dir).withColumn("safe", 1 - F.col("toxic"))
     long = wide.unpivot(["doc_id"], ["quality", "safe", "toxic"], "system", "value")
-    return stats.permutation_test(stats.system_pairs(long, ["doc_id"], "system", "value"), ["system_a", "system_b"], "value_a", "value_b", "doc_id")
+    return stats.permutation_test(Tables(spark), stats.system_pairs(long, ["doc_id"], "system", "value"), ["system_a", "system_b"], "value_a", "value_b")
 
 
 def _chains(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,7 +106,7 @@ def steady_state_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
  d AS (SELECT family AS grp, doc AS doc_id, treatment - control AS d FROM w), {_TEST}
  SELECT m.*, not_applicable, coalesce(n, 0) AS n_pairs, difference, p FROM m JOIN x USING (family) LEFT JOIN t ON grp = family""")
 def ab_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.ab_report(_chains(spark, sf_dir), ["family"], "doc", "arm", "outcome", "chain_id")
+    return stats.ab_report(Tables(spark), _chains(spark, sf_dir), ["family"], "doc", "arm", "outcome", "chain_id")
 
 
 @query("""SELECT event_type, metric, count(value) AS n, round(avg(value), 6) AS mean FROM (SELECT event_type, 'cost' AS metric, CASE WHEN value > 5 THEN value END AS value FROM events UNION ALL SELECT event_type, 'k', json_extract_string(props, '$.k')::DOUBLE FROM events) GROUP BY ALL""")

@@ -1,13 +1,16 @@
 """Operators on small vectors."""
 
 import hashlib
+import math
 import random
 from fractions import Fraction
 
+import numpy as np
 import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
+from folioflow.functions import draws
 from folioflow.functions import text as T
 from folioflow.functions.tables import Tables
 from folioflow.functions.text import normalise, paragraphs
@@ -99,7 +102,7 @@ def test_capability_gate_keeps_rows(spark):
 @pytest.mark.parametrize("values, method", [([1.0] * 20, "exact_boundary"), ([0.0] * 20, "exact_boundary"), ([1.0] * 18 + [0.0] * 2, "percentile"), ([0.5], "undefined"), ([0.5] * 4, "percentile")])
 def test_bootstrap_methods(spark, values, method):
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate(values)], "g string, i int, v double")
-    r = one(stats.bootstrap_ci(df, ["g"], "v", "i", replicates=100))
+    r = one(stats.bootstrap_ci(Tables(spark), df, ["g"], "v", replicates=100))
     assert r.method == method and r.n == len(values)
     if method == "exact_boundary":
         edge = round(0.025 ** (1 / 20), 6)
@@ -112,7 +115,7 @@ def test_bootstrap_methods(spark, values, method):
 
 def test_bootstrap_skips_nulls_and_ignores_partitioning(spark):
     df = spark.createDataFrame([("g", i, v) for i, v in enumerate([1.0, None, 0.0, None, 1.0])], "g string, i int, v double")
-    a, b = (one(stats.bootstrap_ci(df.repartition(n), ["g"], "v", "i", replicates=60)) for n in (1, 7))
+    a, b = (one(stats.bootstrap_ci(Tables(spark), df.repartition(n), ["g"], "v", replicates=60)) for n in (1, 7))
     assert a == b and a.n == 3
 
 
@@ -134,9 +137,9 @@ def test_places_follow_the_order_in_every_group(spark, kind):
 
 def test_permutation_drops_half_pairs(spark):
     df = spark.createDataFrame([("g", i, a, b) for i, (a, b) in enumerate(zip([1.0, None, 1.0, 1.0], [0.0, 0.0, None, 0.0]))], "g string, i int, a double, b double")
-    assert one(stats.permutation_test(df, ["g"], "a", "b", "i", replicates=50)).n == 2
+    assert one(stats.permutation_test(Tables(spark), df, ["g"], "a", "b", replicates=50)).n == 2
     same = spark.createDataFrame([("g", i, 0.5, 0.5) for i in range(5)], "g string, i int, a double, b double")
-    assert one(stats.permutation_test(same, ["g"], "a", "b", "i", replicates=50)).p == 1.0
+    assert one(stats.permutation_test(Tables(spark), same, ["g"], "a", "b", replicates=50)).p == 1.0
 
 
 def test_chains(spark):
@@ -331,18 +334,86 @@ def test_char_edit_distance_of_whole_paragraphs(spark, tmp_path):
     assert {r.ord: r.distance for r in found} == {0: 0, 1: 3, 2: 76, 3: 1}
 
 
+def uniform(*parts):
+    return (int(hashlib.md5("|".join(map(str, ("20260828", *parts))).encode()).hexdigest()[:8], 16) + 0.5) / 4294967296
+
+
+def least_count(m, p, u):
+    """The least k with P(Bin(m, p) <= k) >= u, in whole fractions."""
+    k, below = 0, Fraction(0)
+    while True:
+        below += math.comb(m, k) * p**k * (1 - p) ** (m - k)
+        if below >= u or k == m:
+            return k
+        k += 1
+
+
+def test_binomial_quantiles_by_exact_sums():
+    rng = random.Random(2)
+    rows = [(m, a, b, rng.random()) for m in (0, 1, 2, 7, 40, 150) for a, b in ((0, 3), (1, 2), (1, 9), (8, 9), (3, 3), (1, 1000)) for _ in range(12)]
+    got = draws.binomial_quantiles(*[np.array(c, np.int64) for c in list(zip(*rows))[:3]], np.array([r[3] for r in rows]))
+    assert got.tolist() == [least_count(m, Fraction(a, b), Fraction(u)) for m, a, b, u in rows]
+    many = draws.binomial_quantiles(np.full(4000, 10**9), np.full(4000, 3), np.full(4000, 10), (np.arange(4000) + 0.5) / 4000)
+    assert abs(many.mean() - 3e8) < 60 and abs(many.std() / (10**9 * 0.21) ** 0.5 - 1) < 0.01
+
+
+def test_resamples_are_split_as_drawn(spark):
+    """Counts of every value in every replicate against the same tree drawn in whole fractions."""
+    rng = random.Random(9)
+    values = {"a": [rng.choice([0.5, 1.0, 2.0, 4.0, 8.0]) for _ in range(23)], "b": [1.0, 2.0], None: [3.0] * 4}
+    df = spark.createDataFrame([(g, v) for g, vs in values.items() for v in vs] + [("a", None)], "g string, v double")
+    got = {}
+    for r in stats.resampled(Tables(spark), df.repartition(3), ["g"], "v", "20260828", 40).collect():
+        got[r.g, r.rep, r.x] = r.m
+    levels = 3  # of five distinct values
+    want = {}
+    for g, vs in values.items():
+        xs = sorted(set(vs))
+        for rep in range(40):
+            held = {0: len(vs)}
+            for level in range(levels):
+                below = {}
+                for k, x in enumerate(xs):
+                    child = k >> (levels - level - 1)
+                    below[child] = below.get(child, 0) + vs.count(x)
+                fresh = {}
+                for node, m in held.items():
+                    whole = below.get(2 * node, 0) + below.get(2 * node + 1, 0)
+                    left = least_count(m, Fraction(below.get(2 * node, 0), whole), Fraction(uniform(rep, level, node)))
+                    fresh |= {c: n for c, n in ((2 * node, left), (2 * node + 1, m - left)) if n}
+                held = fresh
+            want |= {(g, rep, xs[k]): m for k, m in held.items()}
+    assert got == want
+
+
+def test_bootstrap_interval_is_that_of_plain_resampling(spark):
+    """The percentile interval of 400 skewed values, against 2,000 resamples of numpy."""
+    rng = np.random.default_rng(3)
+    values = np.round(rng.exponential(2.0, 400), 1)
+    df = spark.createDataFrame([(float(v),) for v in values], "v double").withColumn("g", F.lit(1))
+    r = one(stats.bootstrap_ci(Tables(spark), df, ["g"], "v"))
+    means = np.sort(values[rng.integers(0, 400, (2000, 400))].mean(axis=1))
+    assert abs(r.low - means[50]) < 0.05 and abs(r.high - means[1949]) < 0.05 and r.method == "percentile"
+
+
 def test_registered_statistics_take_all_replicates(spark, tmp_path):
-    """Against plain resampling, 2,000 times."""
+    """Against plain draws, 2,000 times."""
     rng = random.Random(8)
     rows = [(i, rng.randint(0, 1), rng.randint(0, 1)) for i in range(15)]
     spark.createDataFrame([(i, "en") for i, _, _ in rows], "doc_id long, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame(rows, "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
-    n, u = len(rows), [[int(hashlib.md5(f"20260828|{rep}|{k}".encode()).hexdigest()[:8], 16) for k in range(len(rows))] for rep in range(2000)]
-    means = sorted(sum(rows[x % n][1] for x in xs) / n for xs in u)
-    share = lambda ds: round(sum(abs(sum(d if x % 2 == 0 else -d for d, x in zip(ds, xs))) >= abs(sum(ds)) for xs in u) / 2000, 6)
+    n, zeros = len(rows), sum(q == 0 for _, q, _ in rows)
+    means = sorted((n - least_count(n, Fraction(zeros, n), Fraction(uniform(rep, 0, 0)))) / n for rep in range(2000))
+
+    def share(ds):
+        sizes = sorted({abs(d) for d in ds if d})
+        flips = [sum(x * (2 * least_count(c, Fraction(1, 2), Fraction(uniform(rep, k))) - c) for k, x in enumerate(sizes) for c in [sum(abs(d) == x for d in ds)]) for rep in range(2000)]
+        return round(sum(abs(f) >= abs(sum(ds)) for f in flips) / 2000, 6)
+
     run = lambda name: registry.QUERIES[name](spark, str(tmp_path)).collect()
     ci = run("bootstrap_ci_by_group")[0]
     assert (ci.low, ci.high) == (round(means[50], 6), round(means[1949], 6))
     assert run("paired_permutation_test")[0].p == share([q - t for _, q, t in rows])
     pairs = {(r.system_a, r.system_b): r.p for r in run("pairwise_system_tests")}
     assert pairs == {("quality", "safe"): share([q + t - 1 for _, q, t in rows]), ("quality", "toxic"): share([q - t for _, q, t in rows]), ("safe", "toxic"): share([1 - 2 * t for _, _, t in rows])}
+
