@@ -1,14 +1,15 @@
 """Ordered sequence alignment.  Catalyst has no operator for it, so these run on Arrow batches, one document a row.
 
 Matching blocks are those of the standard library's SequenceMatcher without junk heuristics: the longest common
-block first, then both sides of it.  Fuzzy matching is limited by a budget of pairs for a document; documents beyond
-it have null scores and the status `budget`, since the metric is undefined for them in the scorer's own terms.
+block first, then both sides of it.  Fuzzy matching is limited by a budget of pairs for a document; a document beyond
+it keeps its exact matches and is scored on them, with the status `exact_only`, as the metric itself is defined.
 """
 
 from __future__ import annotations
 
 import bisect
 import difflib
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pandas as pd
@@ -31,12 +32,14 @@ def matched_pairs(gold: list[str], cand: list[str]) -> list[tuple[int, int]]:
 
 
 def inversions(order: list[int]) -> int:
-    """Pairs out of order, by insertion into a sorted list."""
-    seen: list[int] = []
-    total = 0
-    for x in order:
-        total += len(seen) - bisect.bisect_right(seen, x)
-        bisect.insort(seen, x)
+    """Pairs out of order.  Runs of doubling length are merged; a member of the later run passes all greater ones."""
+    runs, total = [[x] for x in order], 0
+    while len(runs) > 1:
+        merged = []
+        for left, right in zip(runs[::2], runs[1::2]):
+            total += sum(len(left) - bisect.bisect_right(left, x) for x in right)
+            merged.append(sorted(left + right))
+        runs = merged + ([runs[-1]] if len(runs) % 2 else [])
     return total
 
 
@@ -75,44 +78,56 @@ def align(sides: DataFrame, doc: str) -> DataFrame:
     return _rows(sides.select(doc, "gold", "cand"), doc, "matched long, precision double, recall double, f1 double", score)
 
 
-def fuzzy_matches(gold: list[str], cand: list[str], budget: int = PAIR_BUDGET) -> list[tuple[int, int]] | None:
-    """Exact matches first, k-th with k-th; then each candidate left takes the best unused gold above the ratio."""
-    places: dict[str, list[int]] = {}
-    for i in range(len(gold) - 1, -1, -1):
-        places.setdefault(gold[i], []).append(i)
+def exact_matches(gold: list[str], cand: list[str]) -> tuple[list[tuple[int, int]], list[int], list[int]]:
+    """Equal texts, the k-th of one side with the k-th of the other, and what is left of gold and cand."""
+    places: dict[str, list[int]] = defaultdict(list)
+    for i, text in enumerate(gold):
+        places[text].append(i)
+    turn: Counter[str] = Counter()
     pairs, rest = [], []
     for j, text in enumerate(cand):
-        if places.get(text):
-            pairs.append((places[text].pop(), j))
+        if turn[text] < len(places.get(text, ())):
+            pairs.append((places[text][turn[text]], j))
+            turn[text] += 1
         else:
             rest.append(j)
-    open_gold = sorted(i for left in places.values() for i in left)
+    return pairs, sorted(i for text, at in places.items() for i in at[turn[text] :]), rest
+
+
+def likeness(a: str, matcher: difflib.SequenceMatcher) -> float:
+    """The matcher's ratio for its second text and `a`, or 0 where its upper bounds rule a match out."""
+    matcher.set_seq1(a)
+    if any(bound() <= FUZZY_ABOVE for bound in (matcher.real_quick_ratio, matcher.quick_ratio)):
+        return 0.0
+    ratio = matcher.ratio()
+    return ratio if ratio > FUZZY_ABOVE else 0.0
+
+
+def fuzzy_matches(gold: list[str], cand: list[str], budget: int = PAIR_BUDGET) -> tuple[list[tuple[int, int]], bool]:
+    """Exact matches first; then each candidate left, in order, takes the gold text left that is most like it, the
+    first of equally like ones.  Beyond the budget of pairs there are the exact ones alone; the flag tells."""
+    pairs, open_gold, rest = exact_matches(gold, cand)
     if len(open_gold) * len(rest) > budget:
-        return None
+        return pairs, False
     matcher = difflib.SequenceMatcher(autojunk=False)
     for j in rest:
         matcher.set_seq2(cand[j])
-        best, at = FUZZY_ABOVE, None
-        for i in open_gold:
-            matcher.set_seq1(gold[i])
-            if matcher.real_quick_ratio() > best and matcher.quick_ratio() > best and (ratio := matcher.ratio()) > best:
-                best, at = ratio, i
-        if at is not None:
-            pairs.append((at, j))
-            open_gold.remove(at)
-    return pairs
+        like, last = max(((likeness(gold[i], matcher), -i) for i in open_gold), default=(0.0, 0))
+        if like:
+            pairs.append((-last, j))
+            open_gold.remove(-last)
+    return pairs, True
 
 
 def fuzzy_order(sides: DataFrame, doc: str, budget: int = PAIR_BUDGET) -> DataFrame:
     """Reading order over exact and fuzzy matches."""
 
     def score(gold, cand):
-        pairs = fuzzy_matches([_norm(x) for x in gold], [_norm(x) for x in cand], budget)
-        if pairs is None:
-            return None, None, None, "budget"
+        pairs, whole = fuzzy_matches([_norm(x) for x in gold], [_norm(x) for x in cand], budget)
         wrong = inversions([c for _, c in sorted(pairs)])
         total = len(pairs) * (len(pairs) - 1) // 2
-        return len(pairs), wrong, (total - wrong) / total if total else None, "scored" if total else "undefined"
+        status = "undefined" if not total else "scored" if whole else "exact_only"
+        return len(pairs), wrong, (total - wrong) / total if total else None, status
 
     return _rows(sides.select(doc, "gold", "cand"), doc, "matched long, discordant long, accuracy double, status string", score)
 

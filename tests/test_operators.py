@@ -82,7 +82,11 @@ def test_alignment_of_long_documents_and_fuzzy(spark):
     assert got[1].accuracy == 0.0 and got[1].matched == 400
     assert got[2].status == "undefined" and got[3].matched == 1
     assert {r.doc: r.matched for r in alignment.align(sides, "doc").collect()} == {1: 1, 2: 0, 3: 0}
-    assert alignment.fuzzy_matches(["a" * 9] * 700, ["b" * 9] * 700) is None
+    assert alignment.fuzzy_matches(["a" * 9] * 700, ["b" * 9] * 700) == ([], False)
+    same = [f"same {i}" for i in range(5)]
+    far = spark.createDataFrame([(1, [*same, *["a" * 9] * 700], ["b" * 9] * 700 + same), (2, ["x", *["a" * 9] * 700], ["x", *["b" * 9] * 700])], "doc int, gold array<string>, cand array<string>")
+    got = {r.doc: (r.matched, r.discordant, r.accuracy, r.status) for r in alignment.fuzzy_order(far, "doc").collect()}
+    assert got == {1: (5, 0, 1.0, "exact_only"), 2: (1, 0, None, "undefined")}
 
 
 def test_label_accuracy_states(spark):
