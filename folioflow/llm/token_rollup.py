@@ -95,7 +95,7 @@ class Rollup:
         names = self.batches()
         if not names:
             return
-        summed, named = self._sums(), self.spark.createDataFrame([(n,) for n in names], "name string")
+        summed, named = self._sums(names), self.spark.createDataFrame([(n,) for n in names], "name string")
 
         def write(path: str) -> None:
             summed.write.parquet(f"{path}/sums")
@@ -112,21 +112,23 @@ class Rollup:
     def batches(self) -> list[str]:
         return self._names("batch")
 
-    def _sums(self) -> DataFrame:
+    def _sums(self, batches: list[str]) -> DataFrame:
+        """Sums of exactly the batches named, whatever is committed meanwhile.  A level that
+        holds others is not read."""
         covered, level = set(), None
         for name in self._names("level"):  # the level of most batches; names of batches, not rows of data
             held = {r["name"] for r in self.spark.read.parquet(f"{self.folder}/level={name}/names").collect()}
-            if len(held) > len(covered):
+            if len(held) > len(covered) and held <= set(batches):
                 covered, level = held, name
         read = self.spark.read.schema(DELTA).parquet
         deltas = read(f"{self.folder}/level={level}/sums") if level else self.spark.createDataFrame([], DELTA)
-        if paths := [f"{self.folder}/batch={b}" for b in self.batches() if b not in covered]:
+        if paths := [f"{self.folder}/batch={b}" for b in batches if b not in covered]:
             deltas = deltas.unionByName(read(*paths))
         return deltas.groupBy(*KEY).agg(*[F.sum(s).alias(s) for s in SUMS])
 
     def totals(self) -> DataFrame:
         """Per key docs, tokens and chars over all committed batches; keys of which nothing is left are left out."""
-        return self._sums().where((F.col("docs") != 0) | (F.col("tokens") != 0) | (F.col("chars") != 0))
+        return self._sums(self.batches()).where((F.col("docs") != 0) | (F.col("tokens") != 0) | (F.col("chars") != 0))
 
 
 def changes(counted: DataFrame, tokenizer: str, sign: int = 1) -> DataFrame:
