@@ -39,6 +39,12 @@ MOST_BITS = 1 << 30
 _REVERSED = bytes(int(f"{i:08b}"[::-1], 2) for i in range(256))
 
 
+def _above(most: int, open_: int, left: int) -> Column:
+    """Whether a source's share of `left` by weight is above `most` times its size, in products of up to 38 digits."""
+    whole = lambda c: c.cast("decimal(19,0)")
+    return whole(F.col("source_size")) * whole(F.lit(most * open_)) < whole(F.col("weight")) * whole(F.lit(left))
+
+
 def targets(spread: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIGHTS, most: int = 3) -> DataFrame:
     """`spread` (source, source_size; one row a source) with its target: its weight's share of all sizes, no more than
     `most` times its own size, the excess reshared by weight among the others until none is above."""
@@ -56,12 +62,12 @@ def targets(spread: DataFrame, scratch: Scratch, weights: tuple[int, ...] = WEIG
     whole, weight = (x or 0 for x in weighted.agg(F.sum("source_size"), F.sum("weight")).first())
     left, open_, capped = whole, weight, 0
     while open_:  # the share of a unit of weight only grows, and so do those above their cap
-        over = most * F.col("source_size") * F.lit(open_) < F.col("weight") * F.lit(left)
+        over = _above(most, open_, left)
         n, size, w = weighted.where(over).agg(F.count(F.lit(1)), F.sum("source_size"), F.sum("weight")).first()
         if n == capped:
             break
         left, open_, capped = whole - most * size, weight - w, n
-    over = most * F.col("source_size") * F.lit(open_) < F.col("weight") * F.lit(left)
+    over = _above(most, open_, left)
     share = F.lit(float(left)) * F.col("weight") / F.lit(float(open_ or 1))
     return weighted.select("source", "source_size", F.when(over | F.lit(not open_), (most * F.col("source_size")).cast("double")).otherwise(share).alias("target"))
 
@@ -124,9 +130,9 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         order = np.flatnonzero(counts > take)[::-1]
         items = [(int(lengths[i]), int(counts[i] - take[i])) for i in order]
         bits, used = _reach(items, rest + longest + 1, rest)
-        if (bits >> rest) & 1 or not take.any() or 8 * spread > MOST_BITS:
+        if (bits >> rest) & 1 or not take.any() or spread >= MOST_BITS:
             break
-        spread *= 8
+        spread = min(8 * spread, MOST_BITS)
     low, high = (bits & ((1 << (rest + 1)) - 1)).bit_length() - 1, bits >> (rest + 1)
     sums = [low] + ([(high & -high).bit_length() + rest] if high else [])
     over = lambda s: (want - rest + s) * unit - budget
