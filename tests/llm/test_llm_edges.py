@@ -546,3 +546,44 @@ def test_decontamination_repeats_and_null_ids(documents, spark):
     bench = spark.createDataFrame([(None, item, 1), (1, item, 1), (1, item, 1), (2, item, 1)], "item_id long, text string, n long")
     got = contaminated(documents((1, item), (1, item), (None, item), (2, text(20, 31))), bench).collect()
     assert sorted((r.doc_id, r.item_id, r.n_shared) for r in got) == [(1, 1, 16), (1, 2, 16)]
+
+
+# Round 3: the last step of the table of sums, products beyond 63 bits, a commit while levels are written
+
+
+@pytest.mark.parametrize("budget, misses", [(700_000_777, 343), (1_000_000_333, 1_447)])
+def test_the_table_of_sums_grows_to_its_bound(budget, misses):
+    lengths, counts = np.array([1_000_003, 2_000_003, 5_000_011]), np.array([300, 300, 300])
+    take = mixing.fit(lengths, counts, budget)
+    assert (take >= 0).all() and (take <= counts).all() and abs(int(lengths @ take) - budget) == misses
+
+
+def test_targets_of_sources_beyond_63_bits(spark):
+    """10^13 words in one source of many: sizes times weights pass 2^63."""
+    sizes = {"a": 10**13} | {f"b{i:06}": 1 + i % 5 for i in range(300_000)}
+    rows = spark.range(300_001).select(F.when(F.col("id") == 0, "a").otherwise(F.format_string("b%06d", F.col("id") - 1)).alias("source"), F.when(F.col("id") == 0, 10**13).otherwise(1 + (F.col("id") - 1) % 5).alias("source_size"))
+    got = mixing.targets(rows, Scratch(spark))
+    small = sum(3 * n for s, n in sizes.items() if s != "a")
+    assert got.where("source = 'a'").first().target == 10**13 + sum(sizes.values()) - 10**13 - small
+    assert got.where("source <> 'a'").where(F.col("target") != 3 * F.col("source_size")).isEmpty()
+
+
+def test_a_commit_while_compacting_counts_once(documents, spark):
+    rollup = token_rollup.Rollup(spark, f"{Scratch(spark).base}/r")
+    docs = documents((1, "a b c"), (2, "d e " * 5), (3, "f")).withColumn("tokens", token_rollup.count_words())
+    for i in (1, 2):
+        rollup.commit(str(i), token_rollup.changes(docs.where(F.col("doc_id") == i), "w"))
+    listed = rollup.batches
+
+    def and_another_comes():
+        names = listed()
+        rollup.batches = listed
+        rollup.commit("3", token_rollup.changes(docs.where("doc_id = 3"), "w"))
+        return names
+
+    rollup.batches = and_another_comes
+    rollup.compact()
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(3, 14)] and rollup.batches() == ["1", "2", "3"]
+    rollup.compact()
+    rollup.commit("4", token_rollup.changes(docs.where("doc_id = 3"), "w", -1))
+    assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(2, 13)]
