@@ -3,10 +3,11 @@
 A document's set is its distinct 5-word shingles (A-Z lower-cased).  Two documents are linked when
 100 * |A & B| >= percent * |A | B|; a component is what links connect.
 
-1. Every set becomes a 128-bit set key, MinHash samples in bands, and an odd sketch: the samples folded into a
-   parity bitmap, in which each common sample cancels itself, so that the population count of the XOR of two
-   bitmaps estimates how many samples differ.
-2. Equal sets (same key) collapse to their smallest id; only those representatives go on.
+1. Every set becomes MinHash samples in bands, and an odd sketch: the samples folded into a parity bitmap, in which
+   each common sample cancels itself, so that the population count of the XOR of two bitmaps estimates how many
+   samples differ.
+2. Texts of the same words in the same order, told by the 128-bit BLAKE2b digest of all of them, collapse to their
+   smallest id; only those representatives go on.  Equal sets of different texts are pairs like all others.
 3. In each band bucket all members meet its hub, the member with most company in all its buckets: one row a
    member, never all pairs.  Pairs whose sketches allow the similarity are confirmed on the words of both; the links
    give first components.  A hub's pairs are dealt to parts of bounded size, and its text goes to each part once.
@@ -16,7 +17,8 @@ A document's set is its distinct 5-word shingles (A-Z lower-cased).  Two documen
    covers are found too, a hot bucket is split, and nothing is capped.
 
 Joins on buckets and hubs go by (key, salt); a table of keys is repeated for the salts that its key has.  Shingles
-are compared by numbers that are exact within a task (`hashing.Chunk.exact_shingles`), so no link rests on a hash.
+are compared by numbers that are exact within a task (`hashing.Chunk.exact_shingles`), so no link between different
+texts rests on a hash.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing.  Null ids form no link and are their
 own component (null).  Rows that repeat an id give one row each, in one component; if their texts differ, the id has
@@ -25,6 +27,7 @@ the links of all.  Texts of any length are compared whole.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -81,8 +84,8 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = [None] * len(texts)
         sketch = [None] * len(texts)
         if len(full):
-            key[full, 0] = np.add.reduceat(mix(hashes ^ np.uint64(0x5851F42D4C957F2D)), begin)
-            key[full, 1] = np.add.reduceat(mix(hashes ^ np.uint64(0x14057B7EF767814F)), begin)
+            digests = b"".join([hashlib.blake2b(chunk.canon[d], digest_size=16).digest() for d in full.tolist()])
+            key[full] = np.frombuffer(digests, np.uint64).reshape(-1, 2)
             samples = minhash(hashes, begin)
             band = np.zeros((len(full), BANDS), np.uint64)
             for r in range(ROWS):

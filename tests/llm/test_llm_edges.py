@@ -7,6 +7,7 @@ import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -587,3 +588,16 @@ def test_a_commit_while_compacting_counts_once(documents, spark):
     rollup.compact()
     rollup.commit("4", token_rollup.changes(docs.where("doc_id = 3"), "w", -1))
     assert [(r.docs, r.tokens) for r in rollup.totals().collect()] == [(2, 13)]
+
+
+def test_equal_sets_of_different_texts_are_linked_by_their_words(documents, monkeypatch):
+    """Even if all shingle hashes collide, texts of one shingle each are told apart."""
+    loop = text(12, 70)
+    rows = [(1, f"{loop} {loop}"), (2, f"{loop} {loop} {loop}"), (3, f"{loop}  {loop}".upper()), (4, "a b c d e"), (5, "b a c d e"), (6, "a b c d e"), (7, "x"), (8, "y"), (9, "x y " * 60_000)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash_dedup.minhash_components(documents(*rows)).collect()}
+    assert got == brute_components(rows) and got[2][1] == got[3][1] == 1
+    words = [b"a b c d e", b"b a c d e", b"A B  c d e", b"", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(words, pa.string())], names=["doc_id", "text"])
+    monkeypatch.setattr(Chunk, "ranges", lambda self, start, n, which=0: np.zeros(len(start), np.uint64))
+    keys = [(r["k1"], r["k2"]) for out in minhash_dedup._sketch(iter([batch])) for r in out.to_pylist()]
+    assert keys[0] == keys[2] != keys[1]
