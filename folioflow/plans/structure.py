@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.tables import Tables
-from ..operators import audit, packing, structure
-from .base import LINES, query, table
+from ..operators import audit, packing, spans, structure
+from .base import LINES, prf1_sql, query, table
 
 _PARAS = f"SELECT doc_id, unnest({LINES}) AS text, generate_subscripts({LINES}, 1) - 1 AS ord FROM documents"
 
@@ -222,3 +222,44 @@ def chunked_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("o", "line"))
     chunks = packing.pack_chunks(Tables(spark), lines, "doc_id", "o", "line", TARGET)
     return chunks.select("doc_id", "chunk", "n_pieces", "n_chars", F.md5("text").alias("text_md5"))
+
+
+def _span_cells(spark: SparkSession, sf_dir: str, cols: str) -> DataFrame:
+    """Line items as table cells: a table for each eight orders, a row for each order, and spans from their figures."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    return lines.select(
+        F.shiftright("l_orderkey", 3).alias("doc"),
+        (F.col("l_orderkey") % 8).cast("int").alias("row"),
+        F.col("l_linenumber").cast("long").alias("cell"),
+        (F.col("p") % 3 + 1).cast("int").alias("row_span"),
+        F.expr(cols).cast("int").alias("col_span"),
+    )
+
+
+def _grid_sql(side: str, cols: str) -> str:
+    """One cell after the other: slots taken by earlier rows as a list, the first free one at or behind the cell before."""
+    return f"""c{side} AS (SELECT l_orderkey // 8 AS doc, l_orderkey % 8 AS row, l_linenumber AS cell, min(l_partkey) % 3 + 1 AS rs, {cols} AS cs FROM lineitem GROUP BY ALL),
+ n{side} AS (SELECT *, row_number() OVER (PARTITION BY doc ORDER BY row, cell) AS k FROM c{side}),
+ w{side}(doc, k, row, cell, col, rs, cs, free, taken) AS (SELECT doc, 0::BIGINT, -1::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, 0::BIGINT, []::BIGINT[] FROM n{side} GROUP BY doc
+  UNION ALL SELECT doc, k, row, cell, spot, rs, cs, spot + cs, list_concat(list_filter(taken, lambda x: x // 1000 >= row), list_transform(range(CASE WHEN rs > 1 THEN (rs - 1) * cs ELSE 0 END), lambda x: (row + 1 + x // cs) * 1000 + spot + x % cs))
+   FROM (SELECT n.*, w.taken, list_min(list_filter(range(CASE WHEN n.row = w.row THEN w.free ELSE 0 END, 400), lambda x: NOT list_contains(w.taken, n.row * 1000 + x))) AS spot FROM w{side} w JOIN n{side} n ON n.doc = w.doc AND n.k = w.k + 1)),
+ p{side} AS (SELECT doc, row, cell, col, rs, cs FROM w{side} WHERE k > 0)"""
+
+
+_GOLD, _CAND = "s % 2 + 1", "CASE WHEN p % 7 = 0 THEN s % 3 + 1 ELSE s % 2 + 1 END"
+_GOLD_SQL = _grid_sql("g", "min(l_suppkey) % 2 + 1")
+
+
+@query(f"WITH RECURSIVE {_GOLD_SQL} SELECT doc, row::INT AS row, cell, col::INT AS col, rs::INT AS row_span, cs::INT AS col_span FROM pg")
+def span_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.place_cells(_span_cells(spark, sf_dir, _GOLD), ["doc"])
+
+
+@query(f"""WITH RECURSIVE {_GOLD_SQL}, {_grid_sql("c", "CASE WHEN min(l_partkey) % 7 = 0 THEN min(l_suppkey) % 3 + 1 ELSE min(l_suppkey) % 2 + 1 END")},
+ t AS (SELECT doc, count(*) FILTER (g AND rs * cs > 1) AS n_gold, count(*) FILTER (c AND rs * cs > 1) AS n_cand, count(*) FILTER (g AND c AND rs * cs > 1) AS matched
+  FROM (SELECT doc, row, col, rs, cs, bool_or(s = 0) AS g, bool_or(s = 1) AS c FROM (SELECT *, 0 AS s FROM pg UNION ALL SELECT *, 1 FROM pc) GROUP BY doc, row, col, rs, cs) GROUP BY doc)
+ SELECT doc, n_gold, n_cand, matched, {prf1_sql("matched", "n_gold", "n_cand")} FROM t""")
+def merged_cell_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merged cells of a candidate that has other column spans in one cell of seven."""
+    gold, cand = (spans.place_cells(_span_cells(spark, sf_dir, cols), ["doc"]) for cols in (_GOLD, _CAND))
+    return spans.merged_cell_scores(gold, cand, ["doc"], "doc")
