@@ -6,9 +6,10 @@ now merged; every state with an arc u gets an arc w besides, to where v led from
 accepts, of all ways to write a word in tokens, the one that the merges give.  As all arcs of a token lead to one
 state, the arcs are a table of bits, states by tokens, whose equal rows and columns are kept once.
 
-A word is encoded left to right: from the state at a place, a trie lists the tokens that begin there, and those with
-an arc lead on.  Every place is reached by one path, so the last arcs taken, read backwards, are the tokens.  Decoding
-emits the labels of arcs; without a decoder in the file the labels are joined by blanks, end-of-word marks included.
+A word is encoded left to right: from the state at a place, a trie lists the tokens that begin there, and the longest
+with an arc leads on; from a place where no arc leads on, the walk steps back to the next shorter one.  A place can be
+reached by one path alone, so none is entered twice and the walk is linear in the word.  Decoding emits the labels of
+arcs; without a decoder in the file the labels are joined by blanks, end-of-word marks included.
 
 Files are those of the `tokenizers` library with byte-level words: special tokens are cut from the raw text, then NFC,
 white space to blanks and lower case, then the split into contractions, letters, single digits and other signs.
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 
 from .common import arrow_batches
 
-#: pieces without white space that a worker remembers, and the longest of them in characters
-KEPT, KEPT_CHARS = 400_000, 48
+#: pieces and words that a worker remembers twice over, and the longest of them in characters
+KEPT, KEPT_CHARS = 200_000, 48
 
 # What the file's library knows of Unicode beyond or short of Python's own tables.  tests/llm holds every
 # code point against the library.
@@ -167,52 +168,53 @@ class Automaton:
         self.start = int(row.reshape(-1)[0])
 
     def _trie(self, chars: list[str], end: str) -> None:
-        """next[node << 8 | byte] is a node; inner[node] its token, last[node << 8 | byte] one that ends a word."""
+        """Nodes lead by byte to nodes, by -1 to their token, and by 256 + byte to the token that ends a word with it."""
         byte = {c: b for b, c in enumerate(chars)}
-        self.next, self.inner, self.last, nodes = {}, {}, {}, 1
+        self.trie: dict = {}
         for t, label in enumerate(self.labels):
             ends = label.endswith(end) and len(label) > len(end)
             path = [byte[c] for c in (label[: -len(end)] if ends else label)]
-            node = 0
-            for b in path[:-1] if ends else path:
-                key = node << 8 | b
-                if key not in self.next:
-                    self.next[key] = nodes
-                    nodes += 1
-                node = self.next[key]
-            if ends:
-                self.last[node << 8 | path[-1]] = t
-            else:
-                self.inner[node] = t
+            key = 256 + path.pop() if ends else -1
+            node = self.trie
+            for b in path:
+                node = node.setdefault(b, {})
+            node[key] = t
 
     def encode(self, word: bytes) -> list[int]:
         """Tokens of one word, as numbers of labels."""
         n = len(word)
         if not n:
             return []
-        state, taken = [self.start] * (n + 1), [0] * (n + 1)
-        step, inner, last, rows, column, leads = self.next.get, self.inner.get, self.last.get, self.rows, self.column, self.leads
-        reached = [0] * (n + 1)
-        for at in range(n):
-            row, node = rows[state[at]], 0
-            for i in range(at, n):
-                key = node << 8 | word[i]
-                if i == n - 1:
-                    t = last(key)
-                    if t is not None and row[column[t] >> 3] >> (column[t] & 7) & 1:
-                        taken[n], reached[n] = t, at
-                    break
-                node = step(key)
+        trie, rows, column, leads, final = self.trie, self.rows, self.column, self.leads, 256 + word[-1]
+        at, path, entered, rest = 0, [], set(), []
+        row = rows[self.start]
+        while True:
+            options, node = [], trie  # (end, token) of all tokens that begin here, the longest last
+            for i in range(at, n - 1):
+                node = node.get(word[i])
                 if node is None:
                     break
-                t = inner(node)
-                if t is not None and row[column[t] >> 3] >> (column[t] & 7) & 1:
-                    state[i + 1], taken[i + 1], reached[i + 1] = leads[t], t, at
-        path = []
-        while n:
-            path.append(taken[n])
-            n = reached[n]
-        return path[::-1]
+                t = node.get(-1)
+                if t is not None:
+                    options.append((i + 1, t))
+            else:
+                t = node.get(final)
+                if t is not None:
+                    options.append((n, t))
+            while True:
+                while not options:  # nothing leads on from here
+                    options, row = rest.pop()
+                    path.pop()
+                at, t = options.pop()
+                c = column[t]
+                if at not in entered and row[c >> 3] >> (c & 7) & 1:
+                    break
+            path.append(t)
+            if at == n:
+                return path
+            entered.add(at)
+            rest.append((options, row))
+            row = rows[leads[t]]
 
 
 class Codec:
@@ -237,7 +239,7 @@ class Codec:
 
     def cut(self, piece: str) -> list[str]:
         """A piece cut around special tokens, which stand at odd places."""
-        if not self.special or not any(s in piece for s in self.special):
+        if "<" not in piece and all(s[0] == "<" for s in self.special) or not any([s in piece for s in self.special]):
             return [piece]
         longest = sorted(self.special, key=len, reverse=True)
         return re.split(f"({'|'.join(map(re.escape, longest))})", piece)
@@ -258,22 +260,54 @@ class Codec:
         return " ".join([self.arcs[i] for i in ids])
 
 
-class _Pieces(dict):
-    """Piece -> (number of tokens, ids as text, labels as text)."""
+class _Known(dict):
+    """What was found of pieces or words.  Two generations of KEPT entries: what is used again moves to the younger."""
 
-    def __init__(self, codec: Codec):
-        self.codec = codec
+    def __init__(self, find):
+        self.find, self.older = find, {}
 
-    def __missing__(self, piece: str) -> tuple[int, str, str]:
-        ids = self.codec.encode(piece)
-        out = len(ids), " ".join(map(str, ids)), self.codec.decode(ids)
-        if len(piece) <= KEPT_CHARS:
+    def __missing__(self, text: str):
+        out = self.older.get(text)
+        if out is None:
+            out = self.find(text)
+        if len(text) <= KEPT_CHARS:
             if len(self) >= KEPT:
+                self.older = dict(self)
                 self.clear()
-            self[piece] = out
+            self[text] = out
         return out
 
 
+class _Reader:
+    """A codec with what a worker remembers from one task to the next: (number of tokens, ids and labels as text)."""
+
+    def __init__(self, codec: Codec):
+        self.codec = codec
+        self.words, self.pieces = _Known(self._word), _Known(self._piece)
+
+    def _said(self, ids: list[int]) -> tuple[int, str, str]:
+        return len(ids), " ".join(map(str, ids)), self.codec.decode(ids)
+
+    def _word(self, word: str) -> tuple[int, str, str]:
+        ids = self.codec.automaton.ids
+        return self._said([ids[t] for t in self.codec.automaton.encode(word.encode())])
+
+    def _piece(self, piece: str) -> tuple[int, str, str]:
+        found = []
+        for k, part in enumerate(self.codec.cut(piece)):
+            found += [self._said([self.codec.special[part]])] if k % 2 else [self.words[w] for w in words(normal(part))]
+        if len(found) == 1:
+            return found[0]
+        return sum([x[0] for x in found]), " ".join([x[1] for x in found]), " ".join([x[2] for x in found])
+
+
+def _reader(codec: Codec) -> _Reader:
+    """The reader of a codec that came with a broadcast and lives as long as the worker."""
+    if not hasattr(codec, "reader"):
+        codec.reader = _Reader(codec)
+    return codec.reader
+
+
 def pieces(text: str) -> list[str]:
     """Runs without white space.  Python's own split knows four more blanks."""
     return _PIECES.findall(text) if re.search("[\x1c-\x1f]", text) else text.split()
@@ -292,7 +326,7 @@ def tokenized(docs: DataFrame, source: bytes, keep_ids: bool = False, keep_text:
     names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", *["ids"] * keep_ids, *["decoded"] * keep_text]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Pieces(tables.value)
+        known = _reader(tables.value).pieces
         for batch in batches:
             counts, ids_of, texts_of, ids_digests, text_digests = [], [], [], [], []
             for text in batch.column(1).to_pylist():
