@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.edits import edit_distance
 from ..operators import alignment, scoring, structure
 from .base import LINES, NORM, prf1_sql, query, table
 
@@ -130,8 +131,9 @@ def char_edit_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edit distance of neighbouring paragraphs, normalised and whole, in characters.  DuckDB counts bytes, so no SQL."""
     gold = _gold(spark, sf_dir)
     nxt = gold.select("doc_id", (F.col("ord") - 1).alias("ord"), F.col("text").alias("t"))
-    distance = F.levenshtein(T.normalise(F.col("text")), T.normalise(F.col("t")))
-    return gold.join(nxt, ["doc_id", "ord"]).select("doc_id", "ord", distance.cast("long").alias("distance"))
+    # the work is in the comparison, so rows are dealt by number and not by size
+    both = gold.join(nxt, ["doc_id", "ord"]).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return both.select("doc_id", "ord", edit_distance(T.normalise(F.col("text")), T.normalise(F.col("t"))).alias("distance"))
 
 
 @query(f"""{_COUNTS}, x AS (SELECT lang, matched, n_gold, n_cand, CASE WHEN n_gold = 0 OR matched = 0 THEN NULL ELSE 2 * (matched::DOUBLE / n_cand) * (matched::DOUBLE / n_gold) / (matched::DOUBLE / n_cand + matched::DOUBLE / n_gold) END AS f1 FROM s JOIN documents USING (doc_id))
