@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -26,11 +26,13 @@ def gate(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count(F.lit(1)).alias("checks"), failed.alias("failed"), blocked.alias("blocking_failures"), (blocked == 0).alias("gate_passed"))
 
 
-def preflight(checks: DataFrame, order: str = "position") -> DataFrame:
-    """Checks after the first blocking failure are `skipped`."""
-    first = checks.where(F.col("blocking") & ~F.col("passed")).agg(F.min(order).alias("stop"))
-    state = F.when(F.col(order) > F.col("stop"), "skipped").when(F.col("passed"), "passed").otherwise("failed")
-    return checks.crossJoin(F.broadcast(first)).withColumn("state", state).drop("stop")
+def preflight(checks: DataFrame, by: list[str], order: str = "position") -> DataFrame:
+    """`checks` with a `state` for each: `passed`, `failed`, or `skipped` behind the first blocking failure of its
+    document (or whatever `by` names).  A check without a verdict has failed."""
+    passed = F.coalesce(F.col("passed"), F.lit(False))
+    stops = F.max((F.coalesce(F.col("blocking"), F.lit(False)) & ~passed).cast("int"))
+    before = stops.over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    return checks.withColumn("state", F.when(before == 1, "skipped").when(passed, "passed").otherwise("failed"))
 
 
 def approved(artifact: Column, digest: Column) -> Column:

@@ -209,11 +209,32 @@ def gate_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.gate(checks.withColumn("blocking", F.col("name").isin("duplicate_bytes", "empty")))
 
 
+@query(f"""WITH d AS (SELECT doc_id, source, sha256(text) AS h, n_chars, len({LINES}) AS n, toxic, quality FROM documents LEFT JOIN labels USING (doc_id)),
+ c AS (SELECT doc_id, unnest([1, 2, 3, 4, 5]) AS position, unnest(['readable', 'not_empty', 'paragraphs', 'not_toxic', 'approved']) AS name, unnest([true, true, false, true, false]) AS blocking,
+  unnest([h IS NOT NULL, n_chars > 200, n > 1, coalesce(toxic, 0) = 0, coalesce(quality = 1 AND doc_id % 4 <> 1, false)]) AS passed FROM d)
+ SELECT doc_id, position, name, CASE WHEN coalesce(max((blocking AND NOT passed)::INT) OVER (PARTITION BY doc_id ORDER BY position ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) = 1 THEN 'skipped' WHEN passed THEN 'passed' ELSE 'failed' END AS state FROM c""")
+def document_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five checks of every document in order; none is run behind a blocking failure.  Labels serve as approvals; one
+    document of four has an approval of other bytes, which does not count."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"), "n_chars", F.size(T.paragraphs(F.col("text"))).alias("n"))
+    facts = docs.join(table(spark, sf_dir, "labels"), "doc_id", "left")
+    artifact = F.struct((F.col("quality") == 1).alias("approved"), F.when(F.col("doc_id") % 4 == 1, F.lit("stale")).otherwise(F.col("h")).alias("sha256"))
+    checks = [
+        ("readable", True, F.col("h").isNotNull()),
+        ("not_empty", True, F.col("n_chars") > 200),
+        ("paragraphs", False, F.col("n") > 1),
+        ("not_toxic", True, F.coalesce("toxic", F.lit(0)) == 0),
+        ("approved", False, audit.approved(artifact, F.col("h"))),
+    ]
+    rows = F.array(*[F.struct(F.lit(k).alias("position"), F.lit(name).alias("name"), F.lit(blocking).alias("blocking"), passed.alias("passed")) for k, (name, blocking, passed) in enumerate(checks, 1)])
+    return audit.preflight(facts.select("doc_id", F.inline(rows)), ["doc_id"]).select("doc_id", "position", "name", "state")
+
+
 @query("""WITH p AS (SELECT page_id, url, html FROM pages), e AS (SELECT page_id,
  list_filter(['no_doctype' , 'no_title', 'unbalanced_article', 'empty'], lambda k: CASE k WHEN 'no_doctype' THEN NOT starts_with(lower(html), '<!doctype html>') WHEN 'no_title' THEN NOT contains(html, '<title>')
   WHEN 'unbalanced_article' THEN len(string_split(html, '<article')) <> len(string_split(html, '</article>')) ELSE html = '' END) AS errors FROM p)
  SELECT page_id, array_to_string(errors, ',') AS errors, len(errors) = 0 AS ok FROM e""")
-def package_integrity_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+def page_markup_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     html = F.col("html")
     count = lambda tag: F.size(F.split(html, tag))
     rules = {

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import Tables
+
 
 def manifests(spark: SparkSession, paths: list[str], schema: T.StructType, items: str) -> DataFrame:
     """Rows of a nested array over several manifests, in one scan with a declared schema."""
@@ -49,10 +53,43 @@ def write_tiers(df: DataFrame, folder: str, tier: str = "tier") -> None:
     df.write.partitionBy(tier).mode("errorifexists").parquet(folder)
 
 
+def read_tier(spark: SparkSession, folder: str, schema: str, tier: str, column: str = "tier") -> DataFrame:
+    """Manifests of one tier; the scan is pruned to its folder."""
+    return spark.read.schema(schema).parquet(folder).where(F.col(column) == tier)
+
+
+def newest_reports(spark: SparkSession, folder: str, schema: str, accept: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """(rows of the schema, report): rows of the report of last name below a folder, of those that are accepted.
+
+    A report is a folder of JSON files, told from the files' own paths.  `accept` gets all rows with their `report`
+    and returns the names that may be chosen."""
+    path = F.col("_metadata.file_path")
+    rows = spark.read.schema(schema).option("recursiveFileLookup", True).json(folder).select("*", F.regexp_extract(path, r"([^/]+)/[^/]+$", 1).alias("report"))
+    last = newest(rows.select("report").distinct() if accept is None else accept(rows).select("report").distinct(), path="report")
+    return rows.join(last, "report", "left_semi")  # one name
+
+
 def append_log(df: DataFrame, folder: str) -> None:
     df.write.mode("append").json(folder)
 
 
+def update_partitions(tables: Tables, folder: str, old: DataFrame, new: DataFrame, key: str, column: str, field: str, part: str) -> DataFrame:
+    """`replace_field` in place over a table partitioned by `part`: (key, part, state) of every record.
+
+    Changed records are told first, and written before anything is replaced; then only the partitions that hold one are
+    rewritten, all others keep their files.  Records without a new value stay as they are and are `missing`.
+    """
+    counts = Observation()
+    state = F.when(F.col("state") == "error", "missing").otherwise(F.col("state")).alias("state")
+    done = replace_field(old, new, key, column, field).observe(counts, F.count_if(F.col("state") == "changed").alias("changed"))
+    states = tables.save(done.select(key, part, state), "states")
+    if counts.get["changed"]:
+        touched = states.where(F.col("state") == "changed").select(part).distinct()  # one row a partition at most
+        kept = tables.save(replace_field(old.join(touched, part, "left_semi"), new, key, column, field).select(*old.columns), "kept")
+        kept.repartition(part).write.option("partitionOverwriteMode", "dynamic").partitionBy(part).mode("overwrite").parquet(folder)
+    return states
+
+
 def replace_field(old: DataFrame, new: DataFrame, key: str, column: str, field: str) -> DataFrame:
     """Old records with one field of a struct column replaced where a new value exists, and a state of each row.
     `new` has the key and `value`."""

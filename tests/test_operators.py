@@ -247,11 +247,29 @@ def test_preceding_and_containment(spark):
     assert [r.node_id for r in structure.top_level(nodes, edges, spark.createDataFrame([("c1",)], "node_id string")).collect()] == ["p1"]
 
 
+def test_determinism_by_two_routes(spark):
+    columns = ["category", "node", "part", "value_json"]
+    rows = [(d, "c", f"n{k}", "p", None if k == 2 else f"{d}{k}") for d in range(6) for k in range(4)]
+    schema = "doc int, category string, node string, part string, value_json string"
+    first = spark.createDataFrame(rows, schema)
+    other = [r for r in rows if r[0] != 5]
+    other[0] = (*other[0][:4], "else")  # a value of document 0
+    other += [other[5], (9, "c", "n", "p", "only here")]  # a row of document 1 twice, and a document more
+    second = spark.createDataFrame(other, schema).repartition(5, "value_json")
+    got = {r.doc: (r.by_list, r.by_sums) for r in profile.determinism(first, second, "doc", columns).collect()}
+    assert got == {d: (False, False) if d in (0, 1, 5, 9) else (True, True) for d in (0, 1, 2, 3, 4, 5, 9)}
+
+
 def test_audit_parts(spark):
     checks = spark.createDataFrame([(1, "a", True, True), (2, "b", True, False), (3, "c", False, False)], "position int, name string, blocking boolean, passed boolean")
     r = one(audit.gate(checks))
     assert (r.failed, r.blocking_failures, r.gate_passed) == (2, 1, False)
-    assert [x.state for x in audit.preflight(checks).orderBy("position").collect()] == ["passed", "failed", "skipped"]
+    assert [x.state for x in audit.preflight(checks, []).orderBy("position").collect()] == ["passed", "failed", "skipped"]
+    runs = {"x": [(True, True), (False, False), (True, True), (True, None), (False, True)], "y": [(False, False), (None, False), (False, True)], None: [(True, False), (True, False)]}
+    rows = [(d, k, b, p) for d, cs in runs.items() for k, (b, p) in enumerate(cs)]
+    got = audit.preflight(spark.createDataFrame(rows, "doc string, position int, blocking boolean, passed boolean").repartition(3), ["doc"]).collect()
+    want = {"x": ["passed", "failed", "passed", "failed", "skipped"], "y": ["failed", "failed", "passed"], None: ["failed", "skipped"]}
+    assert {d: [r.state for r in sorted(got, key=lambda r: r.position) if r.doc == d] for d in runs} == want
     row = spark.createDataFrame([(Row(approved=None, sha256="x"), Row(a=1, b=None), Row(a=2, b=None))], "art struct<approved:boolean,sha256:string>, p struct<a:int,b:int>, q struct<a:int,b:int>")
     assert one(row.select(audit.approved(F.col("art"), F.lit("x"))))[0] is False
     assert one(row.select(audit.changed_fields(F.col("p"), F.col("q"), ["a", "b"])))[0] == ["a"]
