@@ -358,4 +358,4 @@ def decoded(rows: DataFrame, source: bytes, ids: str = "ids") -> DataFrame:
             kept = [c for c in batch.schema.names if c != "decoded"]
             yield pa.RecordBatch.from_arrays([*map(batch.column, kept), pa.array(texts, pa.string())], names=[*kept, "decoded"])
 
-    return rows.mapInArrow(decode, rows.drop("decoded").withColumn("decoded", F.lit("")).schema)
+    return rows.mapInArrow(decode, rows.drop("decoded").withColumn("decoded", F.lit(None).cast("string")).schema)
