@@ -25,6 +25,10 @@ _LETTER = '<w:sectPr><w:pgSz w:w="12240" w:h="15840"/></w:sectPr>'
 _A4 = '<w:pPr><w:sectPr><w:pgSz w:w="11906" w:h="16838"/></w:sectPr></w:pPr>'
 
 
+#: forms of mathematics that stand outside of equations, as often as the id's remainder says
+_FORMS = [("rad", 2), ("sSub", 3), ("sSup", 4), ("nary", 5), ("m", 2), ("eqArr", 3), ("acc", 2), ("limLow", 5), ("sSubSup", 3), ("sPost", 2)]
+
+
 def _body(n: int, paragraphs: list[str]) -> str:
     out = []
     for i, text in enumerate(paragraphs):
@@ -40,6 +44,7 @@ def _body(n: int, paragraphs: list[str]) -> str:
     tail += '<w:hyperlink w:anchor="ref0"/>' * (n % 2) + '<w:r><w:rPr><w:lang w:val="en-US"/></w:rPr></w:r>' * (1 + n % 2)
     tail += "<w:r><w:instrText>CITATION a1</w:instrText></w:r>" * (n % 3)
     tail += "".join(f'<wp:docPr id="{k}"' + (' descr="a plot"' if k % 2 == 0 else "") + "/>" for k in range(n % 3))
+    tail += "".join(f"<m:{name}/>" * (n % k) for name, k in _FORMS)
     return "".join(out) + f"<w:p>{tail}</w:p>" + _LETTER
 
 
@@ -181,12 +186,14 @@ def package_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_P}, f AS (SELECT d.doc_id, CASE WHEN doc_id % 20 = 9 THEN ['not a package'] WHEN doc_id % 20 = 19 THEN ['missing [Content_Types].xml'] ELSE [] END AS errors, CASE WHEN doc_id % 20 = 9 THEN 0 ELSE n // 4 END AS omath, CASE WHEN doc_id % 20 = 9 THEN 0 ELSE len(list_filter(range(n), lambda i: i % 12 IN (7, 11))) END AS fractions FROM d)
- SELECT doc_id, len(errors) = 0 AS ok, array_to_string(errors, ';') AS errors, omath::BIGINT AS omath, fractions::BIGINT AS fractions FROM f""")
+ SELECT doc_id, len(errors) = 0 AS ok, array_to_string(errors, ';') AS errors, omath::BIGINT AS omath, fractions::BIGINT AS fraction, k * (doc_id % 2) AS radical, k * (doc_id % 3) AS subscript, k * (doc_id % 4) AS superscript, k * (doc_id % 5) AS nary,
+ k * (doc_id % 2 + doc_id % 3) AS matrix_or_array, k * (doc_id % 2 + doc_id % 5) AS accent_or_limit, k * (doc_id % 3 + doc_id % 2) AS multi_script FROM (SELECT *, CASE WHEN doc_id % 20 = 9 THEN 0 ELSE 1 END AS k FROM f)""")
 def package_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Integrity errors, equations and feature families of every package, broken ones included."""
+    """Integrity errors, equations and all feature families of every package, broken ones included."""
     found = docx.scan(_packages(spark, sf_dir))
     errors = F.array_join(F.transform("errors", lambda e: F.regexp_replace(e, "^not a package.*", "not a package")), ";")
-    return found.select(_id(), "ok", errors.alias("errors"), F.col("omath").cast("long").alias("omath"), F.coalesce(F.try_element_at("families", F.lit("fraction")), F.lit(0)).cast("long").alias("fractions"))
+    families = [F.coalesce(F.try_element_at("families", F.lit(name)), F.lit(0)).cast("long").alias(name) for name in docx.FAMILIES]
+    return found.select(_id(), "ok", errors.alias("errors"), F.col("omath").cast("long").alias("omath"), *families)
 
 
 @query(f"WITH {_P} SELECT doc_id, 'unused' AS kind, 'rId1' AS ref FROM g")
@@ -307,11 +314,13 @@ def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.join(base.select("doc_id", (F.size("gold") == 0).alias("empty")), "doc_id").select("doc_id", "marker_found", "empty", "table_count_stable", "row_counts_stable", "labels_stable", "status")
 
 
-@query(f"""WITH {_P}, c AS (SELECT doc_id, n, greatest(n - 1, 0) AS m, n // 6 AS t, n // 4 AS e FROM g WHERE n > 0)
- SELECT doc_id, round(2 * m::DOUBLE / (n + m), 6) AS paragraph_f1, CASE WHEN n - 1 >= 2 THEN 1.0::DOUBLE END AS order_accuracy, CASE WHEN t > 0 THEN 1.0::DOUBLE END AS table_f1, CASE WHEN t > 0 THEN 1.0::DOUBLE END AS row_match_rate, CASE WHEN e > 0 THEN 1.0::DOUBLE END AS equation_f1,
- CASE WHEN e = 0 THEN NULL ELSE 1.0::DOUBLE END AS label_accuracy FROM c""".replace("round(2 * m::DOUBLE / (n + m), 6)", "CASE WHEN m > 0 THEN round(2 * m::DOUBLE / (n + m), 6) END"))
+@query(f"""WITH {_P}, c AS (SELECT doc_id, n, greatest(n - 1, 0) AS m, n // 6 AS t, greatest(n // 6 - 1, 0) AS u, n // 4 AS e, greatest(n // 4 - doc_id % 2, 0) AS f FROM g WHERE n > 0)
+ SELECT doc_id, CASE WHEN m > 0 THEN round(2 * m::DOUBLE / (n + m), 6) END AS paragraph_f1, CASE WHEN n - 1 >= 2 THEN 1.0::DOUBLE END AS order_accuracy,
+ CASE WHEN u > 0 THEN round(2 * u::DOUBLE / (t + u), 6) END AS table_f1, CASE WHEN u > 0 THEN round((u - (u + 2 - (3 - doc_id % 3) % 3) // 3)::DOUBLE / u, 6) END AS row_match_rate,
+ CASE WHEN f > 0 THEN round(2 * f::DOUBLE / (e + f), 6) END AS equation_f1, CASE WHEN f > 0 THEN round((f // 3)::DOUBLE / f, 6) END AS label_accuracy FROM c""")
 def package_composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All scores of a document side by side: the candidate is the package without its last paragraph of text."""
+    """All scores of a document side by side.  The candidate lacks the last paragraph of text, the last table, and by
+    the id the last equation; every third table has a row more, and all its equations count as correct."""
     got = docx.extract(_packages(spark, sf_dir)).where(F.col("error").isNull())
     body = docx.edges(got).where("kind = 'contains' and src = 'section-0'").select("path", F.col("dst").alias("node_id"), F.col("ord").cast("string").alias("order")).distinct()
     held = docx.nodes(got).where(F.col("kind").isin("paragraph", "caption") & (F.col("attrs.text") != "")).select("path", "seq", "node_id", F.col("attrs.order").alias("order"), F.col("attrs.text").alias("text"))
@@ -321,10 +330,17 @@ def package_composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = sides.withColumn("cand", F.slice("gold", F.lit(1), F.size("gold") - 1))
     paras = alignment.align(sides, "doc_id").select("doc_id", F.round("f1", 6).alias("paragraph_f1"))
     order = alignment.fuzzy_order(sides, "doc_id").select("doc_id", F.round("accuracy", 6).alias("order_accuracy"))
-    count = lambda kind: F.size(F.filter("nodes", lambda n: n["kind"] == kind))
-    sized = got.select(_id(), count("table").alias("t"), count("equation").alias("e"))
-    f1 = lambda c: T.prf1(F.col(c), F.col(c), F.col(c))["f1"]
-    rest = sized.select("doc_id", f1("t").alias("table_f1"), F.when(F.col("t") > 0, 1.0).alias("row_match_rate"), f1("e").alias("equation_f1"), F.when(F.col("e") > 0, 1.0).alias("label_accuracy"))
+    of = lambda kind, field: F.transform(F.filter("nodes", lambda n: n["kind"] == kind), lambda n: n["attrs"][field])
+    parts = got.select(_id(), of("table", "row_count").cast("array<int>").alias("rows"), of("equation", "semantic_label").alias("labels"))
+    short = lambda c, n: F.slice(c, F.lit(1), F.greatest(F.size(c) - n, F.lit(0)))
+    parts = parts.withColumn("rows_c", F.transform(short("rows", F.lit(1)), lambda r, i: r + F.when((i + F.col("doc_id")) % 3 == 0, 1).otherwise(0)))
+    parts = parts.withColumn("labels_c", F.transform(short("labels", (F.col("doc_id") % 2).cast("int")), lambda x: F.lit("correct")))
+    counts = lambda g, c: T.prf1(F.least(F.size(g), F.size(c)), F.size(g), F.size(c))["f1"]
+    sized = parts.select("doc_id", F.round(counts("rows", "rows_c"), 6).alias("table_f1"), F.round(counts("labels", "labels_c"), 6).alias("equation_f1"))
+    listed = lambda c: parts.select("doc_id", F.posexplode(c).alias("pos", "v"))
+    matched = scoring.positional_match(listed("rows"), listed("rows_c"), ["doc_id", "pos"], "v").select("doc_id", F.col("rate").alias("row_match_rate"))
+    labelled = scoring.label_accuracy(listed("labels"), listed("labels_c"), ["doc_id", "pos"], "v").select("doc_id", F.col("accuracy").alias("label_accuracy"))
+    rest = sized.join(matched, "doc_id", "left").join(labelled, "doc_id", "left").select("doc_id", "table_f1", "row_match_rate", "equation_f1", "label_accuracy")
     return scoring.composite(paras, order, key="doc_id").join(rest, "doc_id")
 
 
