@@ -143,3 +143,13 @@ def fetch_summary(log: DataFrame, *keys: str) -> DataFrame:
     """Requested, fetched and failed records of a fetch log with a `status` column; a null status has failed."""
     ok = F.count_if(F.coalesce(F.col("status") == "ok", F.lit(False)))
     return log.groupBy(*keys).agg(F.count(F.lit(1)).alias("requested"), ok.alias("ok"), (F.count(F.lit(1)) - ok).alias("failed"))
+
+
+def gaps(planned: DataFrame, present: DataFrame, key: str, fault: Column) -> DataFrame:
+    """(split, key, reason, missing, planned): planned items that are not there, or have a `fault` (null: none), with
+    the number of such items and of all planned ones of their split.  `planned` has key and split."""
+    known = present.withColumn("_there", F.lit(True))
+    reason = F.when(F.col("_there").isNull(), "no_document").otherwise(fault)
+    lost = planned.join(known, key, "left").select("split", key, reason.alias("reason")).where(F.col("reason").isNotNull())
+    totals = planned.groupBy("split").agg(F.count(F.lit(1)).alias("planned")).join(lost.groupBy("split").agg(F.count(F.lit(1)).alias("missing")), "split")
+    return lost.join(totals, "split").select("split", key, "reason", "missing", "planned")

@@ -56,6 +56,31 @@ def metadata_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.where((F.col("lang") == "en") & F.col("n_chars").between(200, 5000) & ~F.col("source").isin("src0")).drop("lang")
 
 
+_LETTERS = "length(regexp_replace(text, '[^A-Za-z]', '', 'g')) / length(text)"
+
+
+@query(rf"""SELECT doc_id, source, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS words FROM documents WHERE lang = 'en' AND source IN ('src0', 'src1', 'src2', 'src3') AND NOT contains(source, '+') AND length(text) > 0
+ AND {_LETTERS} > 0.75 AND len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) BETWEEN 200 AND 5000""")
+def metadata_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata screen with all of its predicates: language, type (no compound ones), words, and a confidence, for
+    which the share of letters stands in.  Those on columns are pushed to the scan, before any text is looked at."""
+    docs = table(spark, sf_dir, "documents").where((F.col("lang") == "en") & F.col("source").isin(list(_TYPES)) & ~F.contains("source", F.lit("+")))
+    confidence = F.length(F.regexp_replace("text", "[^A-Za-z]", "")) / F.length("text")
+    words = F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long")
+    return docs.where((F.length("text") > 0) & (confidence > 0.75)).select("doc_id", "source", words.alias("words")).where(F.col("words").between(200, 5000))
+
+
+@query("""WITH p AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'validation' WHEN 1 THEN 'primary_holdout' ELSE 'development' END AS split FROM labels UNION ALL SELECT doc_id + 1000000, 'validation' FROM labels WHERE doc_id % 10 = 3),
+ d AS (SELECT doc_id, n_chars FROM documents), m AS (SELECT split, p.doc_id, CASE WHEN d.doc_id IS NULL THEN 'no_document' WHEN n_chars < 200 THEN 'too_short' END AS reason FROM p LEFT JOIN d USING (doc_id))
+ SELECT split, doc_id, reason, count(*) OVER (PARTITION BY split) AS missing, planned FROM m JOIN (SELECT split, count(*) AS planned FROM p GROUP BY split) USING (split) WHERE reason IS NOT NULL""")
+def split_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a split manifest plans and the corpus cannot give, with the reason, beside the totals of the split."""
+    split = F.when(F.col("doc_id") % 5 == 0, "validation").when(F.col("doc_id") % 5 == 1, "primary_holdout").otherwise("development")
+    labels = table(spark, sf_dir, "labels").select("doc_id")
+    planned = labels.select("doc_id", split.alias("split")).unionByName(labels.where(F.col("doc_id") % 10 == 3).select(F.col("doc_id") + 1000000, F.lit("validation")).toDF("doc_id", "split"))
+    return sampling.gaps(planned, table(spark, sf_dir, "documents").select("doc_id", "n_chars"), "doc_id", F.when(F.col("n_chars") < 200, "too_short"))
+
+
 def _families(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return docs.groupBy(F.concat_ws("/", "source", "lang").alias("family")).agg(F.count(F.lit(1)).alias("size"))
