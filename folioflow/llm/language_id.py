@@ -6,7 +6,8 @@ lie apart, an absent n-gram counting as the full profile length.
 
 Letters, of any plane, are folded to lower case; every other character ends a word, and word ends take part as a blank.
 Rows that repeat an id are predicted each, from their own text; texts are read whole, however long.  An empty table
-gives none, and without a labelled text all is `und`.
+gives none, and without a labelled text all is `und`.  Other columns pass through `annotate` unless they bear a name
+of its results.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ from .common import Scratch, arrow_batches, meet
 from .hashing import chunks
 
 UNKNOWN = "und"
+#: languages whose profiles are held by every task; those of more are a table, and met by a join on n-grams
+MOST_LANGUAGES = 1000
 _LETTER = np.zeros(0x110000, dtype=np.uint32)
 
 
@@ -65,6 +68,10 @@ def ranked(codes: np.ndarray, length: int) -> np.ndarray:
     return codes[begin][np.argsort(-count, kind="stable")[:length]]
 
 
+#: a language's codes, the most frequent first; or a table (lang, code, rank)
+Profiles = dict[str, list[int]] | DataFrame
+
+
 def _count(longest: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table, texts in chunks(batches):
@@ -79,19 +86,23 @@ def _count(longest: int):
     return count
 
 
-def train(labelled: DataFrame, length: int = 400, longest: int = 3, sample_docs: int = 4000) -> dict[str, list[int]]:
-    """Profiles from `labelled` (doc_id, text, lang).  Of each language about `sample_docs` documents are
+def train(labelled: DataFrame, length: int = 400, longest: int = 3, sample_docs: int = 4000, most: int = MOST_LANGUAGES) -> Profiles:
+    """Profiles, in a dictionary for up to `most` languages, else in a table (lang, code, rank), from `labelled` (doc_id, text, lang).  Of each language about `sample_docs` documents are
     read, those with the smallest hash of their id; of fewer, all.  Rows without text or language teach nothing.
     """
     arrow_batches(labelled.sparkSession)
     usable = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    share = Scratch(labelled.sparkSession).save(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
+    scratch = Scratch(labelled.sparkSession)
+    share = scratch.save(usable.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")), "languages")
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit(17)), F.lit(1_000_000)) / 1_000_000.0
     kept = meet(usable, share, "lang", "doc_id", F.length("lang")).where(draw * F.col("_n") < sample_docs).select("doc_id", "text", "lang")
     counted = kept.mapInArrow(_count(longest), "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
-    order = F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("m"), "code")))
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).where(F.col("r") <= length)
-    return {r["lang"]: [x["code"] for x in r["p"]] for r in top.groupBy("lang").agg(order.alias("p")).collect()}
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
+    top = counted.withColumn("rank", place).where(F.col("rank") < length).select("lang", "code", "rank")
+    if share.count() > most:
+        return scratch.save(top, "profiles")
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("rank", "code"))), lambda x: x["code"])
+    return {r["lang"]: r["p"] for r in top.groupBy("lang").agg(listed.alias("p")).collect()}
 
 
 def _score(profiles: dict[str, list[int]], length: int, longest: int):
@@ -131,19 +142,46 @@ def _score(profiles: dict[str, list[int]], length: int, longest: int):
     return predict
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], length: int = 400, longest: int = 3, keep_text: bool = False) -> DataFrame:
+def _met(docs: DataFrame, profiles: DataFrame, length: int, longest: int) -> DataFrame:
+    """`docs` with lang_pred and score from a table of profiles of any number of languages.
+
+    An n-gram that both know brings a language nearer by length less the ranks between them; all others count in full,
+    so the nearest language has the largest sum, which the join tells for every language that shares an n-gram."""
+    scratch = Scratch(docs.sparkSession)
+
+    def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = [ranked(grams(t, longest), length).astype(np.int64).tolist() if t else [] for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(own, pa.list_(pa.int64()))], names=[*batch.schema.names, "_codes"])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    rows = scratch.save(docs.mapInArrow(codes, f"{fields}, _codes array<long>").withColumn("_row", F.monotonically_increasing_id()), "codes")
+    own = rows.select("_row", F.posexplode("_codes").alias("place", "code"))
+    near = own.join(profiles, "code").groupBy("_row", "lang").agg(F.sum(length - F.abs(F.col("rank") - F.col("place"))).alias("gain"))
+    best = near.groupBy("_row").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "lang")).alias("_best"))
+    first = profiles.agg(F.min("lang")).first()[0]  # where nothing is shared all languages are as far
+    full = length * F.size("_codes")
+    pred = F.when(F.size("_codes") == 0, UNKNOWN).otherwise(F.coalesce("_best.lang", F.lit(first)))
+    score = F.when(F.size("_codes") == 0, 0.0).otherwise(1.0 - (full + F.coalesce("_best.loss", F.lit(0))) / full)
+    return rows.join(best, "_row", "left").select(*docs.columns, pred.alias("lang_pred"), score.alias("score"))
+
+
+def predict(docs: DataFrame, profiles: Profiles, length: int = 400, longest: int = 3) -> DataFrame:
     """doc_id, lang_pred, score (1 = the profile's own order, 0 = nothing in common) for each row of `docs`.
 
     Null texts and texts without a letter are `und` with score 0.  Ties go to the first language by name.
     """
     arrow_batches(docs.sparkSession)
-    scored = docs.select("doc_id", "text").mapInArrow(_score(profiles, length, longest), "doc_id long, lang_pred string, score double")
-    return scored
+    if isinstance(profiles, DataFrame):
+        return _met(docs.select("doc_id", "text"), profiles, length, longest).drop("text")
+    return docs.select("doc_id", "text").mapInArrow(_score(profiles, length, longest), "doc_id long, lang_pred string, score double")
 
 
-def annotate(docs: DataFrame, profiles: dict[str, list[int]], length: int = 400, longest: int = 3) -> DataFrame:
-    """`docs` with lang_pred and score, in one pass over the rows and without a join."""
+def annotate(docs: DataFrame, profiles: Profiles, length: int = 400, longest: int = 3) -> DataFrame:
+    """`docs` with lang_pred and score; in one pass over the rows and without a join, where the profiles are held."""
     arrow_batches(docs.sparkSession)
+    if isinstance(profiles, DataFrame):
+        return _met(docs, profiles, length, longest)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     inner = _score(profiles, length, longest)
 

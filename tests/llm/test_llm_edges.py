@@ -601,3 +601,21 @@ def test_equal_sets_of_different_texts_are_linked_by_their_words(documents, monk
     monkeypatch.setattr(Chunk, "ranges", lambda self, start, n, which=0: np.zeros(len(start), np.uint64))
     keys = [(r["k1"], r["k2"]) for out in minhash_dedup._sketch(iter([batch])) for r in out.to_pylist()]
     assert keys[0] == keys[2] != keys[1]
+
+
+def test_profiles_of_many_languages_are_a_table(documents, spark):
+    """Held or joined, profiles give the same: ties, texts without letters or anything known, repeated rows."""
+    r = random.Random(11)
+    tongues = {f"l{k:02}": ["".join(r.choice("abcdefghijklmno"[k % 7 : k % 7 + 8]) for _ in range(r.randint(2, 6))) for _ in range(40)] for k in range(12)}
+    say = lambda k, n: " ".join(r.choice(tongues[k]) for _ in range(n))
+    rows = [(i, say(f"l{i % 12:02}", r.choice([3, 40, 200]))) for i in range(96)]
+    docs = documents(*rows).withColumn("lang", F.format_string("l%02d", F.col("doc_id") % 12))
+    held, table = language_id.train(docs, length=60), language_id.train(docs, length=60, most=5)
+    assert isinstance(held, dict) and {(x.lang, x.code): x["rank"] for x in table.collect()} == {(k, c): i for k, cs in held.items() for i, c in enumerate(cs)}
+    asked = documents(*rows, (200, None), (201, ""), (202, "12 -"), (203, "漢字"), (5, rows[5][1]), (None, rows[3][1]), (204, "the " * 30_000))
+    by = lambda df: sorted((str(x.doc_id), x.lang_pred, x.score) for x in df.collect())
+    want = by(language_id.predict(asked, held, length=60))
+    assert by(language_id.predict(asked, table, length=60)) == want and len(want) == 103
+    both = language_id.annotate(asked, table, length=60)
+    assert by(both) == want and both.columns == [*asked.columns, "lang_pred", "score"]
+    assert language_id.predict(asked.limit(0), table, length=60).count() == 0
