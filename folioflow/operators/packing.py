@@ -9,7 +9,7 @@ lead 2^k chunks on, and what is known to be on the path leads to as much again.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.tables import Tables, running_sum
@@ -18,17 +18,6 @@ from ..functions.tables import Tables, running_sum
 SPAN = 64
 
 
-def cut(elements: DataFrame, group: str, order: str, text: str, target: int) -> DataFrame:
-    """(group, pos, piece, n): elements in pieces of at most `target` characters; pos orders them, n is the length.
-    An empty element is one empty piece, a null one is left out."""
-    if target < 1:
-        raise ValueError("a target has one character at least")
-    pieces = F.when(F.length(text) <= target, F.array(text)).otherwise(F.regexp_extract_all(text, F.lit(f"(?s).{{1,{target}}}"), F.lit(0)))
-    known = elements.where(F.col(group).isNotNull() & F.col(text).isNotNull())
-    rows = known.select(F.col(group).alias("g"), F.col(order).alias("o"), F.posexplode(pieces).alias("k", "piece"))
-    return rows.select("g", "o", "k", "piece", F.length("piece").cast("long").alias("n"))
-
-
 def next_ends(sums: DataFrame, target: int) -> DataFrame:
     """(g, s, t) of distinct running sums (g, s), 0 included: t is the least sum of the group that is s + target or more.
 
@@ -61,26 +50,30 @@ def path(tables: Tables, pointers: DataFrame) -> DataFrame:
     return on
 
 
-def pack_chunks(tables: Tables, elements: DataFrame, group: str, order: str, text: str, target: int, joint: str | Column = "\n") -> DataFrame:
+def pack_chunks(tables: Tables, elements: DataFrame, group: str, order: str, text: str, target: int, joint: str = "\n") -> DataFrame:
     """(group, chunk, n_pieces, n_chars, text): chunks 0, 1, ... of every group, pieces joined by `joint`, which does
-    not count.  Orders are unique within a group.  The last chunk may be short; a group without elements has none.
+    not count.  Orders are whole numbers, unique within a group.  The last chunk may be short; an empty element is one
+    empty piece, null elements are left out, and a group without elements has no chunk.
 
-    No task holds a document: its pieces are numbered and summed in blocks, and a chunk is the largest thing that comes
-    together."""
-    pieces = tables.save(cut(elements, group, order, text, target), "pieces")
-    counts = pieces.groupBy("g", "o").agg(F.count(F.lit(1)).alias("n"))
-    # places of pieces: those of the elements before, then their own
-    begins = running_sum(counts.withColumn("o", F.col("o").cast("long")), "g", "o", "n", "upto").select("g", "o", (F.col("upto") - F.col("n")).alias("begin"))
-    placed = pieces.withColumn("o", F.col("o").cast("long")).join(begins, ["g", "o"]).select("g", (F.col("begin") + F.col("k")).alias("pos"), "piece", "n")
-    summed = tables.save(running_sum(placed, "g", "pos", "n", "s"), "summed")
-    # the first piece that reaches a sum ends a chunk; empty pieces behind it, of the same sum, belong to the next
-    sums = tables.save(summed.groupBy("g", "s").agg(F.min("pos").alias("pos")), "sums")
-    zero = summed.select("g", F.lit(0).cast("long").alias("s")).distinct()
-    ends = path(tables, next_ends(sums.select("g", "s").where(F.col("s") > 0).unionByName(zero), target))
-    marks = ends.join(sums, ["g", "s"]).select("g", "pos", F.lit(1).alias("end"))
-    marked = summed.join(marks, ["g", "pos"], "left").withColumn("end", F.coalesce("end", F.lit(0)))
-    numbered = running_sum(marked, "g", "pos", "end", "chunk").withColumn("chunk", (F.col("chunk") - F.col("end")).cast("long"))
-    held = F.array_sort(F.collect_list(F.struct("pos", "piece")))
-    chunks = numbered.groupBy("g", "chunk").agg(F.count(F.lit(1)).alias("n_pieces"), F.sum("n").alias("n_chars"), held.alias("held"))
-    joined = F.array_join(F.transform("held", lambda x: x["piece"]), joint)
-    return chunks.select(F.col("g").alias(group), "chunk", "n_pieces", "n_chars", joined.alias("text"))
+    No task holds a document: lengths are summed in blocks, and a chunk is the largest thing that comes together.
+    Texts move twice, to meet the number of their first chunk and to be joined; all before works on lengths.
+    """
+    if target < 1:
+        raise ValueError("a target has one character at least")
+    known = elements.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(F.col(group).alias("g"), F.col(order).cast("long").alias("o"), F.col(text).alias("x"))
+    sized = tables.save(running_sum(known.select("g", "o", F.length("x").cast("long").alias("n")), "g", "o", "n", "s"), "sized")
+    # sums at the ends of all pieces: whole ones of the target's length, then what is left
+    whole = F.floor(F.col("n") / target)
+    at = F.when(whole > 0, F.transform(F.sequence(F.lit(1), F.greatest(whole, F.lit(1))), lambda k: F.col("s") - F.col("n") + k * target)).otherwise(F.array().cast("array<bigint>"))
+    sums = sized.select("g", F.explode(F.concat(at, F.array("s", F.lit(0).cast("long")))).alias("s")).distinct()
+    ends = path(tables, next_ends(sums, target))
+    # a whole piece always ends a chunk, what is left of an element does if its sum is on the path, an empty piece never
+    marked = sized.join(ends.withColumn("end", F.lit(1)), ["g", "s"], "left")
+    last = F.when((F.col("n") % target > 0) & F.col("end").isNotNull(), 1).otherwise(0)
+    counted = running_sum(marked.select("g", "o", (whole + last).alias("ends")), "g", "o", "ends", "upto").select("g", "o", (F.col("upto") - F.col("ends")).alias("first"))
+    pieces = F.when(F.length("x") <= target, F.array("x")).otherwise(F.regexp_extract_all("x", F.lit(f"(?s).{{1,{target}}}"), F.lit(0)))
+    cut = known.join(counted, ["g", "o"]).select("g", "o", "first", F.posexplode(pieces).alias("k", "piece"))
+    # every whole piece ended a chunk, so the k-th piece is in the k-th chunk from the first one's
+    held = F.array_sort(F.collect_list(F.struct("o", "k", "piece")))
+    chunks = cut.groupBy("g", (F.col("first") + F.col("k")).cast("long").alias("chunk")).agg(F.count(F.lit(1)).alias("n_pieces"), F.sum(F.length("piece")).cast("long").alias("n_chars"), held.alias("held"))
+    return chunks.select(F.col("g").alias(group), "chunk", "n_pieces", "n_chars", F.array_join("held.piece", joint).alias("text"))

@@ -46,7 +46,7 @@ def test_no_target_and_no_elements(spark):
     none = spark.createDataFrame([], "g long, o int, t string")
     assert packing.pack_chunks(Tables(spark), none, "g", "o", "t", 5).count() == 0
     with pytest.raises(ValueError):
-        packing.cut(none, "g", "o", "t", 0)
+        packing.pack_chunks(Tables(spark), none, "g", "o", "t", 0)
 
 
 def test_running_sums_over_blocks(spark):
