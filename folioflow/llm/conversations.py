@@ -11,7 +11,7 @@ turns are gathered again for those that stay.
 
 Turns are ordered by (turn, role, text), null turns first.  A null role is written as `unknown`, a null text as empty.
 Turns with a null conv_id belong to no conversation and are left out.  A rendered conversation is one row, however
-long.  Columns of `turns` other than these four are ignored.
+long.  Columns of `turns` other than these four are ignored, whatever their names.  An empty table gives none.
 """
 
 from __future__ import annotations

@@ -12,6 +12,8 @@ then verified by counting the item's own shingles, as strings, in the document.
 
 Items with fewer than five words have one shingle, their whole sequence, and so do such documents.  Items or
 documents without words or text contaminate and match nothing.  Repeated ids are judged together, as one set.
+Texts of any length are searched whole.  Where either table is empty nothing is found.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

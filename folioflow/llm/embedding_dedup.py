@@ -18,7 +18,8 @@ links to the others.
 
 Null labels, and vectors that are null, empty, zero or hold null or non-finite components, link with nothing:
 n_links 0, own component, kept.  Null ids likewise, with a null component.  Vectors of different lengths never link.
-Rows that repeat an id are vectors of their own, of one component.  An empty table gives none.
+Rows that repeat an id are vectors of their own, of one component.  An empty table gives none.  Other columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations

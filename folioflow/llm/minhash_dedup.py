@@ -22,7 +22,8 @@ texts rests on a hash.
 
 Null and empty texts have an empty set: n_shingles 0, linked with nothing.  Null ids form no link and are their
 own component (null).  Rows that repeat an id give one row each, in one component; if their texts differ, the id has
-the links of all.  Texts of any length are compared whole.
+the links of all.  Texts of any length are compared whole.  An empty table gives none.  Other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations

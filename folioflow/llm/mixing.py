@@ -19,7 +19,7 @@ of the last slot are ordered.  So a length that a third of all documents share i
 
 Null text has size 0 and is never taken; null sources are one source, which comes last.  Documents that repeat an
 id are separate documents; ties are broken by the text's hash, and identical rows are interchangeable.  An empty
-table gives none.
+table gives none.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ What goes to a bucket names only the documents found there, and replies are deal
 stride or sign spread evenly.
 
 Nulls, empty and short texts have no window and stay whole.  Rows with a null id take no part and stay whole.
-Rows that repeat an id are all kept; equal ids never remove each other.
+Rows that repeat an id are all kept; equal ids never remove each other.  An empty table gives none.  Other columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ notice of any number of lines speaks against itself in every text that it was pa
 
 All lines of dropped templates go, from documents that do not speak too.  Blank lines are never dropped.  Null texts
 stay null with 0 lines; an empty text is one empty line.  Rows with a null id pass through and count for nothing.  Rows
-that repeat an id and text are one document, but count for each row where frequent leaves and tokens are told.  Lines and texts of any length are taken whole.
+that repeat an id and text are one document, but count for each row where frequent leaves and tokens are told.  Lines
+and texts of any length are taken whole.  An empty table gives none.
 """
 
 from __future__ import annotations

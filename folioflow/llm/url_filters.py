@@ -11,7 +11,8 @@ which its entries go.
 
 Rows with null or unparsable URLs, or null fetch times, have a null host or time and are `allow` with no
 entry.  Entries with null domain or date are void; of entries of one domain and date `block` wins.  IP addresses
-have no parent domains.  Rows that repeat a page_id are judged each; URLs of any length are read whole.
+have no parent domains.  Rows that repeat a page_id are judged each; URLs of any length are read whole.  Without
+captures there are no rows, without entries all are `allow`.  Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
