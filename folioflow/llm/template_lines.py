@@ -70,6 +70,13 @@ def common_lines(docs: DataFrame, scratch: Scratch, depth: int, min_docs: int, f
     return places, scratch.save(common, "common")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """The name, with underscores behind it until no column has it."""
+    while name.lower() in [c.lower() for c in columns]:
+        name += "_"
+    return name
+
+
 def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float = 0.6, own: float = 0.3) -> DataFrame:
     """`docs` with its text lessened by lines of dropped templates, and n_lines and n_dropped added.
 
@@ -87,13 +94,16 @@ def drop_lines(docs: DataFrame, depth: int = 3, min_docs: int = 10, fixed: float
     often = once.select("speaks", F.explode(F.array_distinct("ts")).alias("t")).groupBy("t").agg(F.count_if("speaks").alias("n"), F.count(F.lit(1)).alias("docs"))
     bad = scratch.save(often.where((F.col("n") >= min_docs) & (2 * F.col("n") >= F.col("docs"))).select("t"), "bad")
     gone = meet(found.select("doc_id", "_t", F.inline("ls")), bad, "t", "doc_id").groupBy("doc_id", "_t").agg(F.collect_set("line").alias("_gone"))
+    # inner columns of names that the table does not have
+    of_text, lines, left = (unused(n, docs.columns) for n in ("_t", "_gone", "_kept"))
+    gone = gone.toDF("doc_id", of_text, lines)
     columns = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*columns, F.xxhash64("text").alias("_t")).join(gone, ["doc_id", "_t"], "left")
+    joined = docs.select(*columns, F.xxhash64("text").alias(of_text)).join(gone, ["doc_id", of_text], "left")
     pairs = F.zip_with(F.split("text", "\n"), masked(F.col("text")), lambda raw, line: F.struct(raw.alias("raw"), line.alias("line")))
-    kept = F.when(F.col("_gone").isNotNull(), F.filter(pairs, lambda x: ~F.array_contains("_gone", x["line"])))
-    cut = joined.select("*", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"), kept.alias("_kept"))
+    kept = F.when(F.col(lines).isNotNull(), F.filter(pairs, lambda x: ~F.array_contains(lines, x["line"])))
+    cut = joined.select("*", F.when(F.col("text").isNotNull(), F.size(F.split("text", "\n"))).otherwise(0).cast("long").alias("n_lines"), kept.alias(left))
     return cut.select(
-        *[F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.array_join("_kept.raw", "\n")).alias(c) if c == "text" else F.col(c) for c in columns],
+        *[F.when(F.col(left).isNull(), F.col("text")).otherwise(F.array_join(F.col(left)["raw"], "\n")).alias(c) if c == "text" else F.col(c) for c in columns],
         "n_lines",
-        F.when(F.col("_kept").isNull(), 0).otherwise(F.col("n_lines") - F.size("_kept")).cast("long").alias("n_dropped"),
+        F.when(F.col(left).isNull(), 0).otherwise(F.col("n_lines") - F.size(left)).cast("long").alias("n_dropped"),
     )
