@@ -60,15 +60,21 @@ def near_classes(tables: Tables, items: DataFrame, item: str, feature: str, leas
     return alone.unionByName(copied), near
 
 
-def near_duplicate_pairs(tables: Tables, items: DataFrame, item: str, feature: str, least: float = 0.8) -> DataFrame:
+def near_duplicate_pairs(tables: Tables, items: DataFrame, item: str, feature: str, least: float = 0.8, *, copies: bool = False) -> DataFrame:
     """(a, b, n_a, n_b, jaccard): near pairs of classes by their smallest items, and how many items share each set.
     A class of several items also stands beside itself, with similarity 1, so that no link is lost; its pairs are not
-    listed one by one."""
+    listed one by one.  With `copies` each further item of a class has a row beside its first, so that the rows tell
+    every item that is linked; they grow with the items."""
     members, near = near_classes(tables, items, item, feature, least)
+    members = tables.save(members, "members")
     sizes = members.groupBy("c").agg(F.max("n_members").alias("n"))
     across = near.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b")
     within = sizes.where(F.col("n") > 1).select(F.col("c").alias("a"), F.col("c").alias("b"), F.col("n").alias("n_a"), F.col("n").alias("n_b"), F.lit(1.0).alias("jaccard"))
-    return across.select("a", "b", "n_a", "n_b", "jaccard").unionByName(within)
+    rows = across.select("a", "b", "n_a", "n_b", "jaccard").unionByName(within)
+    if copies:
+        n = F.col("n_members")
+        rows = rows.unionByName(members.where(F.col("i") != F.col("c")).select(F.col("c").alias("a"), F.col("i").alias("b"), n.alias("n_a"), n.alias("n_b"), F.lit(1.0).alias("jaccard")))
+    return rows
 
 
 def collisions(members: DataFrame, near: DataFrame, places: DataFrame, item: str, side: list[str]) -> DataFrame:

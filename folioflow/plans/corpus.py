@@ -89,9 +89,10 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""WITH {_NEAR} SELECT a, b, u.n AS n_a, v.n AS n_b, round(jaccard, 6) AS jaccard FROM near JOIN class u ON u.i = a AND u.c = a JOIN class v ON v.i = b AND v.c = b
- UNION ALL SELECT DISTINCT c, c, n, n, 1.0::DOUBLE FROM class WHERE n > 1""")
+ UNION ALL SELECT DISTINCT c, c, n, n, 1.0::DOUBLE FROM class WHERE n > 1 UNION ALL SELECT c, i, n, n, 1.0::DOUBLE FROM class WHERE i <> c""")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return dedup.near_duplicate_pairs(Tables(spark), _lines(spark, sf_dir), "doc_id", "f")
+    """Near pairs of classes of equal line sets, and every document of a class beside its first."""
+    return dedup.near_duplicate_pairs(Tables(spark), _lines(spark, sf_dir), "doc_id", "f", copies=True)
 
 
 @query(f"""WITH {_NEAR}, q AS (SELECT (x.lang, x.source) AS p, (y.lang, y.source) AS q FROM near JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source <> y.source AND x.lang IS NOT NULL AND y.lang IS NOT NULL)

@@ -302,6 +302,19 @@ def test_near_duplicates_of_large_groups(spark):
     assert {r.n_a for r in found if r.a == 0} == {70} and {(r.n_a, r.n_b) for r in found if r.a > 0} <= {(1, 1)}
 
 
+def test_near_duplicates_name_every_copy(spark):
+    """All linked pairs follow from the rows: the near ones of classes, and who is in a class."""
+    sets = {i: {"a", "b", "c", "d", "e"} for i in (1, 4, 9)} | {i: {"a", "b", "c", "d", "e", "f"} for i in (2, 5)} | {7: {"z"}}
+    rows = [(i, f) for i, fs in sets.items() for f in fs]
+    found = dedup.near_duplicate_pairs(Tables(spark), spark.createDataFrame(rows, "i long, f string"), "i", "f", copies=True).collect()
+    links = {(r.a, r.b) for r in found}
+    assert links == {(1, 1), (1, 4), (1, 9), (2, 2), (2, 5), (1, 2)} and len(found) == 6
+    classes = {b: a for a, b in links if sets[a] == sets[b]}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    told = {(x, y) for x in classes for y in classes if x < y and (classes[x] == classes[y] or tuple(sorted((classes[x], classes[y]))) in links)}
+    assert told == {(x, y) for x in sets for y in sets if x < y and near(x, y)}
+
+
 def test_lineage_by_brute_force(spark):
     """Exact, normalised and near links, in chains, with nulls, repeats and texts without content."""
     rng = random.Random(4)
