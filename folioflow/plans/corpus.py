@@ -95,14 +95,19 @@ def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.near_duplicate_pairs(Tables(spark), _lines(spark, sf_dir), "doc_id", "f", copies=True)
 
 
-@query(f"""WITH {_NEAR}, q AS (SELECT (x.lang, x.source) AS p, (y.lang, y.source) AS q FROM near JOIN documents x ON x.doc_id = a JOIN documents y ON y.doc_id = b WHERE x.source <> y.source AND x.lang IS NOT NULL AND y.lang IS NOT NULL)
- SELECT least(p, q)[1] AS lang_a, least(p, q)[2] AS source_a, greatest(p, q)[1] AS lang_b, greatest(p, q)[2] AS source_b, count(*) AS pairs FROM q GROUP BY ALL""")
+@query(f"""WITH {_NEAR}, side AS (SELECT doc_id, lang IS NULL AS missing, coalesce(lang, '') AS lang, source FROM documents),
+ q AS (SELECT (x.missing, x.lang, x.source) AS p, (y.missing, y.lang, y.source) AS q FROM near JOIN side x ON x.doc_id = a JOIN side y ON y.doc_id = b WHERE x.source <> y.source),
+ g AS (SELECT least(p, q) AS p, greatest(p, q) AS q, count(*) AS pairs FROM q GROUP BY ALL)
+ SELECT CASE WHEN NOT p[1] THEN p[2] END AS lang_a, p[3] AS source_a, CASE WHEN NOT q[1] THEN q[2] END AS lang_b, q[3] AS source_b, pairs FROM g""")
 def cross_split_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Near pairs of documents of different sources, by both sides, the smaller (lang, source) first."""
+    """Near pairs of documents of different sources, by both sides, the smaller (lang, source) first; documents without
+    a language count, as a side of their own after all others."""
     tables = Tables(spark)
     members, near = dedup.near_classes(tables, _lines(spark, sf_dir), "doc_id", "f")
-    found = dedup.collisions(tables.save(members, "members"), near, table(spark, sf_dir, "documents"), "doc_id", ["lang", "source"])
-    split = found.select("side_a.lang", "side_a.source", "side_b.lang", "side_b.source", "pairs").toDF("lang_a", "source_a", "lang_b", "source_b", "pairs")
+    lang = F.struct(F.col("lang").isNull().alias("missing"), F.coalesce("lang", F.lit("")).alias("lang"))
+    found = dedup.collisions(tables.save(members, "members"), near, table(spark, sf_dir, "documents").select("doc_id", lang.alias("lang"), "source"), "doc_id", ["lang", "source"])
+    named = lambda s: F.when(~F.col(f"{s}.lang.missing"), F.col(f"{s}.lang.lang"))
+    split = found.select(named("side_a").alias("lang_a"), F.col("side_a.source").alias("source_a"), named("side_b").alias("lang_b"), F.col("side_b.source").alias("source_b"), "pairs")
     return split.where(F.col("source_a") != F.col("source_b"))
 
 

@@ -3,6 +3,7 @@
 import itertools
 import random
 
+import duckdb
 import pytest
 
 from folioflow.plans import registry
@@ -102,6 +103,18 @@ def test_edit_distance_by_brute_force(spark, tmp_path):
     assert got == {i: distance(a, b) for i, (a, b) in enumerate(zip(kept, kept[1:]))}
 
 
+def test_collisions_of_documents_without_a_language(spark, tmp_path):
+    rows = [(1, "a\nb", None, "x"), (2, "a\nb", "en", "y"), (3, "b\na", None, "y"), (4, "a\nb", "", "x"), (5, "a\nb", "en", None), (6, "c", None, "x")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, registry.QUERIES["cross_split_collisions"](spark, str(tmp_path)).select("lang_a", "source_a", "lang_b", "source_b", "pairs").collect()), key=str)
+    want = [("", "x", "en", "y", 1), ("", "x", None, "y", 1), ("en", "y", None, "x", 1), (None, "x", None, "y", 1)]
+    assert got == sorted(want, key=str)
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    found = con.sql(registry.SQL["cross_split_collisions"])
+    assert sorted(map(tuple, found.project("lang_a, source_a, lang_b, source_b, pairs").fetchall()), key=str) == got
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
