@@ -96,7 +96,7 @@ _NAME = "CASE WHEN i % 2 = 0 THEN 'para-P' || (i % 14 // 2) ELSE 'para-synthetic
   UNION ALL SELECT doc_id, 'table_cell', 6 * (n // 6) FROM g UNION ALL SELECT doc_id, 'equation', n // 4 FROM g UNION ALL SELECT doc_id, 'anchor', 1 + doc_id % 3 FROM g) SELECT doc_id, kind, n::BIGINT AS n FROM k WHERE n > 0""")
 def package_node_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes of each kind in the extracted graph."""
-    found = docx.nodes(docx.extract(_packages(spark, sf_dir)))
+    found = docx.nodes(docx.extract(_packages(spark, sf_dir), columns=["nodes"], attrs=[]))
     return found.groupBy(_id(), "kind").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -125,7 +125,8 @@ def package_caption_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 def package_marker_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markers among equations, by the text of their math runs and the paragraph's native id, and among tables, by the
     text of their cells and their place among the body's children."""
-    nodes = docx.nodes(docx.extract(_packages(spark, sf_dir)))
+    kinds, attrs = ["equation", "table", "table_cell"], ["flat_text", "para_id", "text", "order"]
+    nodes = docx.nodes(docx.extract(_packages(spark, sf_dir), columns=["nodes"], kinds=kinds, attrs=attrs))
     attr = lambda c: F.col(f"attrs.{c}")
     equations = nodes.where("kind = 'equation'").select(_id(), F.lit("equation").alias("family"), attr("flat_text").alias("text"), attr("para_id").alias("place"), F.lit("1").alias("marker"))
     held = nodes.where(F.col("kind").isin("table", "table_cell")).select(_id(), F.regexp_extract("node_id", "^table-[0-9]+", 0).alias("t"), "kind", "seq", attr("text").alias("text"), attr("order").alias("ord"))
@@ -137,7 +138,7 @@ def package_marker_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""WITH {_P}, e AS (SELECT doc_id, CASE i % 12 WHEN 3 THEN 'fallback_forbidden' WHEN 7 THEN 'empty_required_child' ELSE 'correct' END AS label FROM p WHERE i % 4 = 3) SELECT doc_id, label, count(*) AS n FROM e GROUP BY ALL""")
 def package_equation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    equations = docx.nodes(docx.extract(_packages(spark, sf_dir))).where("kind = 'equation'")
+    equations = docx.nodes(docx.extract(_packages(spark, sf_dir), columns=["nodes"], kinds=["equation"], attrs=["semantic_label"]))
     return equations.groupBy(_id(), F.col("attrs.semantic_label").alias("label")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -145,7 +146,7 @@ def package_equation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT coalesce(label, 'unparsable') AS label, count(*) AS equations, count(DISTINCT doc_id) AS documents FROM e GROUP BY label""")
 def package_equation_reclassification(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels told again from the equations' XML alone; every second one is cut short and cannot be parsed."""
-    equations = docx.nodes(docx.extract(_packages(spark, sf_dir))).where("kind = 'equation'")
+    equations = docx.nodes(docx.extract(_packages(spark, sf_dir), columns=["nodes"], kinds=["equation"], attrs=["omml_raw"]))
     at = F.regexp_extract("node_id", "^(.*)-eq", 1)
     # every second equation by its place in the document
     place = F.row_number().over(_by_document()) % 2 == 1
@@ -164,13 +165,13 @@ def _by_document():
   UNION ALL SELECT doc_id, 'ambiguous', len(list_filter(range(n), lambda i: i % 12 IN (3, 7))) + len(list_filter(range(7), lambda k: (n + 13 - 2 * k) // 14 > 1)) FROM g) SELECT doc_id, status, n::BIGINT AS n FROM u WHERE n > 0""")
 def package_uncertainty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids without a native name, captions without a table, labels in doubt and ids in several places."""
-    return docx.uncertainty(docx.extract(_packages(spark, sf_dir))).groupBy(_id(), "status").agg(F.count(F.lit(1)).alias("n"))
+    return docx.uncertainty(docx.extract(_packages(spark, sf_dir), columns=["uncertainty"])).groupBy(_id(), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"""WITH {_P} SELECT doc_id, (n // 6)::BIGINT AS tables, CASE WHEN n >= 6 THEN array_to_string(list_transform(range(n // 6), lambda t: '3,3'), ';') ELSE '' END AS grid, md5(array_to_string(list_transform(range(n // 6), lambda t: substr(ps[6 * t + 6], 1, 10)), chr(10))) AS first_cells FROM g""")
 def package_table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cells of each row of each table, and the text of each table's first cell."""
-    got = docx.extract(_packages(spark, sf_dir)).where(F.col("error").isNull())
+    got = docx.extract(_packages(spark, sf_dir), columns=["nodes", "grids"], kinds=["table_cell"], attrs=["text"]).where(F.col("error").isNull())
     grid = F.array_join(F.transform("grids", lambda t: F.array_join(t.cast("array<string>"), ",")), ";")
     cells = F.filter("nodes", lambda n: n["node_id"].rlike("^table-[0-9]+-row0-cell0$"))
     return got.select(_id(), F.size("grids").cast("long").alias("tables"), grid.alias("grid"), F.md5(F.array_join(F.transform(cells, lambda n: n["attrs"]["text"]), "\n")).alias("first_cells"))
@@ -274,7 +275,7 @@ def package_content_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _captions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per package the texts of its captions, in order."""
-    found = docx.nodes(docx.extract(_packages(spark, sf_dir))).where("kind = 'caption'")
+    found = docx.nodes(docx.extract(_packages(spark, sf_dir), columns=["nodes"], kinds=["caption"], attrs=["text"])).where("kind = 'caption'")
     listed = F.transform(F.array_sort(F.collect_list(F.struct("seq", F.col("attrs.text").alias("text")))), lambda x: x["text"])
     return found.groupBy(_id()).agg(listed.alias("gold"))
 
