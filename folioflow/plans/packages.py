@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.tables import Tables
 from ..operators import alignment, audit, scoring, structure
 from ..sources import convention, docx
 from ..sources import writer as w
@@ -113,10 +114,11 @@ def package_body_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_P} SELECT doc_id, {_NAME} AS caption, CASE WHEN i >= 6 THEN 'table-' || (i // 6 - 1) END AS target, CASE WHEN i >= 6 THEN 'nearest_preceding_top_level_table' ELSE 'dangling' END AS resolution FROM p WHERE i % 5 = 4""")
 def package_caption_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Captions with the table they stand for, and those without one before them."""
-    got = docx.extract(_packages(spark, sf_dir))
-    found = docx.edges(got).where("kind = 'caption_for'").select(_id(), F.col("src").alias("caption"), F.col("dst").alias("target"), "resolution")
-    lost = docx.uncertainty(got).where("status = 'dangling'").select(_id(), F.col("id").alias("caption"), F.lit(None).cast("string").alias("target"), F.lit("dangling").alias("resolution"))
-    return found.unionByName(lost)
+    got = docx.extract(_packages(spark, sf_dir), columns=["edges", "uncertainty"], kinds=["caption_for"])
+    row = lambda caption, target, resolution: F.struct(caption.alias("caption"), target.alias("target"), resolution.alias("resolution"))
+    found = F.transform("edges", lambda e: row(e["src"], e["dst"], e["resolution"]))
+    lost = F.transform(F.filter("uncertainty", lambda d: d["status"] == "dangling"), lambda d: row(d["id"], F.lit(None).cast("string"), F.lit("dangling")))
+    return got.select(_id(), F.inline(F.concat(found, lost)))  # both from one reading
 
 
 @query(f"""WITH {_P}, x AS (SELECT doc_id, 'equation' AS family, i % 12 = 11 AS hit, CASE WHEN i % 2 = 0 THEN 'P' || (i % 14 // 2) END AS place FROM p WHERE i % 4 = 3
@@ -181,9 +183,8 @@ def package_table_grids(spark: SparkSession, sf_dir: str) -> DataFrame:
  SELECT d.doc_id, t.doc_id IS NOT NULL AS readable, len(list_filter(ls, lambda x: trim(x, chr(32) || chr(9) || chr(10) || chr(13)) <> ''))::BIGINT AS paragraphs, CASE WHEN t.doc_id IS NOT NULL THEN md5(array_to_string(ls || [''] || ['head'] || CASE WHEN d.doc_id % 2 = 1 THEN ['foot'] ELSE [] END, chr(10))) END AS text_md5 FROM d LEFT JOIN t USING (doc_id)""")
 def package_visible_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Visible text of all parts, and paragraphs of the body; nulls where a package cannot be read."""
-    packages = _packages(spark, sf_dir)
-    paras = docx.paragraph_texts(packages).select("path", F.col("error").isNull().alias("readable"), F.when(F.col("error").isNull(), F.size("paragraphs")).cast("long").alias("paragraphs"))
-    return paras.join(docx.visible_text(packages).select("path", F.md5("text").alias("text_md5")), "path").select(_id(), "readable", "paragraphs", "text_md5")
+    readable = F.col("paragraphs").isNotNull()
+    return docx.texts(_packages(spark, sf_dir)).select(_id(), readable.alias("readable"), F.when(readable, F.size("paragraphs")).cast("long").alias("paragraphs"), F.md5("text").alias("text_md5"))
 
 
 @query(f"""WITH {_P}, f AS (SELECT d.doc_id, CASE WHEN doc_id % 20 = 9 THEN ['not a package'] WHEN doc_id % 20 = 19 THEN ['missing [Content_Types].xml'] ELSE [] END AS errors, CASE WHEN doc_id % 20 = 9 THEN 0 ELSE n // 4 END AS omath, CASE WHEN doc_id % 20 = 9 THEN 0 ELSE len(list_filter(range(n), lambda i: i % 12 IN (7, 11))) END AS fractions FROM d)
@@ -298,10 +299,12 @@ def package_caption_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packages against themselves after a round trip that appends a marker, and by the id loses the marker, a
     paragraph, a table, a row, or an equation's label."""
-    got = docx.extract(_packages(spark, sf_dir)).where(F.col("error").isNull())
+    kinds, attrs = ["paragraph", "caption", "table", "equation"], ["text", "row_count", "semantic_label"]
+    got = docx.extract(_packages(spark, sf_dir), columns=["nodes"], kinds=kinds, attrs=attrs).where(F.col("error").isNull())
     of = lambda kinds, field: F.transform(F.filter("nodes", lambda n: n["kind"].isin(*kinds)), lambda n: n["attrs"][field])
     texts = F.filter(F.transform(F.filter("nodes", lambda n: n["kind"].isin("paragraph", "caption") & ~n["attrs"]["text"].isNull()), lambda n: n["attrs"]["text"]), lambda t: t != "")
     base = got.select(_id(), texts.alias("gold"), of(["table"], "row_count").cast("array<int>").alias("rows"), of(["equation"], "semantic_label").alias("labels"))
+    base = Tables(spark).save(base, "base")  # read twice, extracted once
     mode, marker = F.col("doc_id") % 6, F.lit("round trip  Marker")
     rest = F.slice("gold", F.lit(2), F.greatest(F.size("gold") - 1, F.lit(0)))
     trip = base.select(
@@ -322,13 +325,16 @@ def package_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def package_composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All scores of a document side by side.  The candidate lacks the last paragraph of text, the last table, and by
     the id the last equation; every third table has a row more, and all its equations count as correct."""
-    got = docx.extract(_packages(spark, sf_dir)).where(F.col("error").isNull())
+    tables = Tables(spark)  # packages are extracted once, for all scores
+    kinds, attrs = ["paragraph", "caption", "table", "equation", "contains"], ["order", "text", "row_count", "semantic_label"]
+    got = docx.extract(_packages(spark, sf_dir), columns=["nodes", "edges"], kinds=kinds, attrs=attrs).where(F.col("error").isNull())
+    got = tables.save(got.withColumn("edges", F.filter("edges", lambda e: e["src"] == "section-0")), "extracted")
     body = docx.edges(got).where("kind = 'contains' and src = 'section-0'").select("path", F.col("dst").alias("node_id"), F.col("ord").cast("string").alias("order")).distinct()
     held = docx.nodes(got).where(F.col("kind").isin("paragraph", "caption") & (F.col("attrs.text") != "")).select("path", "seq", "node_id", F.col("attrs.order").alias("order"), F.col("attrs.text").alias("text"))
     texts = held.join(body, ["path", "node_id", "order"]).groupBy(_id()).agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]).alias("gold"))
     # numbered, so that no text repeats and the correspondence is the plain one
     sides = texts.select("doc_id", F.transform("gold", lambda x, i: F.concat(i.cast("string"), F.lit(" "), x)).alias("gold"))
-    sides = sides.withColumn("cand", F.slice("gold", F.lit(1), F.size("gold") - 1))
+    sides = tables.save(sides.withColumn("cand", F.slice("gold", F.lit(1), F.size("gold") - 1)), "sides")
     paras = alignment.align(sides, "doc_id").select("doc_id", F.round("f1", 6).alias("paragraph_f1"))
     order = alignment.fuzzy_order(sides, "doc_id").select("doc_id", F.round("accuracy", 6).alias("order_accuracy"))
     of = lambda kind, field: F.transform(F.filter("nodes", lambda n: n["kind"] == kind), lambda n: n["attrs"][field])
@@ -336,6 +342,7 @@ def package_composite_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     short = lambda c, n: F.slice(c, F.lit(1), F.greatest(F.size(c) - n, F.lit(0)))
     parts = parts.withColumn("rows_c", F.transform(short("rows", F.lit(1)), lambda r, i: r + F.when((i + F.col("doc_id")) % 3 == 0, 1).otherwise(0)))
     parts = parts.withColumn("labels_c", F.transform(short("labels", (F.col("doc_id") % 2).cast("int")), lambda x: F.lit("correct")))
+    parts = tables.save(parts, "parts")
     counts = lambda g, c: T.prf1(F.least(F.size(g), F.size(c)), F.size(g), F.size(c))["f1"]
     sized = parts.select("doc_id", F.round(counts("rows", "rows_c"), 6).alias("table_f1"), F.round(counts("labels", "labels_c"), 6).alias("equation_f1"))
     listed = lambda c: parts.select("doc_id", F.posexplode(c).alias("pos", "v"))

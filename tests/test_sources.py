@@ -4,6 +4,7 @@ import io
 import json
 import zipfile
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,3 +193,16 @@ def schema_of(ddl):
     from pyspark.sql.types import StructType
 
     return StructType.fromDDL(ddl)
+
+
+def test_results_leave_by_unpacked_bytes_and_only_what_is_asked(spark, packages, monkeypatch):
+    """A batch of many small packages that unpack to much is not held as one; unwanted nodes and columns do not move."""
+    long = "".join(p("x" * 5000, extra=CAPTION) for _ in range(20)) + table(["a", "b"])
+    got = packages(**{f"k{i}": package(long) for i in range(60)}).coalesce(1)
+    held = []
+    monkeypatch.setattr(type(got), "mapInArrow", lambda self, f, schema: held.append(f) or self)
+    docx.extract(got, columns=["nodes"], kinds=["table"], attrs=["row_count"])
+    rows = pa.RecordBatch.from_pylist([{"path": f"k{i}", "content": package(long)} for i in range(60)])
+    out = list(held[0](iter([rows])))
+    assert len(out) > 2 and sum(b.num_rows for b in out) == 60 and out[0].schema.names == ["path", "nodes", "error"]
+    assert out[0].column("nodes")[0].as_py() == [{"seq": 22, "node_id": "table-0", "kind": "table", "anchor": None, "attrs": [("row_count", "1")]}]
