@@ -41,6 +41,7 @@ def near_classes(tables: Tables, items: DataFrame, item: str, feature: str, leas
     in one order of all features, so no pair is missed.  Items without features are in no class.
     """
     own = items.select(F.col(item).alias("i"), F.col(feature).alias("f")).where(F.col("i").isNotNull() & F.col("f").isNotNull()).distinct()
+    own = tables.save(own, "own")  # read twice; made of whole texts once
     keys = own.groupBy("i").agg(F.sha2(F.to_json(F.array_sort(F.collect_list("f"))), 256).alias("k"), F.count(F.lit(1)).alias("n"))
     keys = tables.save(keys, "keys")
     classes = tables.save(keys.groupBy("k").agg(F.min("i").alias("c"), F.first("n").alias("n"), F.count(F.lit(1)).alias("n_members")), "classes")
@@ -100,6 +101,7 @@ def lineage(tables: Tables, documents: DataFrame, lines: DataFrame, doc: str = "
     without lines and text key is a family of its own; repeated rows of a document are one.
     """
     docs = documents.where(F.col(doc).isNotNull()).groupBy(F.col(doc).alias("i")).agg(F.min(text_key).alias("t"))
+    docs = tables.save(docs, "docs")  # read three times; made of whole texts once
     members, near = near_classes(tables, lines, doc, feature, least)
     members, near = tables.save(members, "members"), tables.save(near, "near")
     named = docs.where(F.col("t").isNotNull())
