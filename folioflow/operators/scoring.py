@@ -21,6 +21,11 @@ def rounded(columns: dict[str, Column], places: int = 6) -> list[Column]:
 def multiset_counts(gold: DataFrame, cand: DataFrame, doc: str, name: str) -> DataFrame:
     """(doc, matched, n_gold, n_cand) of two bags of names.  One aggregation over both sides, no join."""
     sided = gold.select(doc, name, F.lit(1).alias("g"), F.lit(0).alias("c")).unionByName(cand.select(doc, name, F.lit(0).alias("g"), F.lit(1).alias("c")))
+    return bag_counts(sided, doc, name)
+
+
+def bag_counts(sided: DataFrame, doc: str, name: str) -> DataFrame:
+    """The same from rows (doc, name, g, c) that tell how often a name stands on either side."""
     per_name = sided.groupBy(doc, name).agg(F.sum("g").alias("g"), F.sum("c").alias("c"))
     return per_name.groupBy(doc).agg(F.sum(F.least("g", "c")).alias("matched"), F.sum("g").alias("n_gold"), F.sum("c").alias("n_cand"))
 
