@@ -452,3 +452,16 @@ def test_registered_statistics_take_all_replicates(spark, tmp_path):
     pairs = {(r.system_a, r.system_b): r.p for r in run("pairwise_system_tests")}
     assert pairs == {("quality", "safe"): share([q + t - 1 for _, q, t in rows]), ("quality", "toxic"): share([q - t for _, q, t in rows]), ("safe", "toxic"): share([1 - 2 * t for _, _, t in rows])}
 
+
+
+def test_equal_lists_correspond_without_a_search(monkeypatch):
+    monkeypatch.setattr(alignment.difflib, "SequenceMatcher", None)
+    assert alignment.matched_pairs(["a"] * 5000, ["a"] * 5000) == [(i, i) for i in range(5000)]
+
+
+def test_edges_are_grouped_by_their_columns(spark):
+    rows = [(1, 1, None), (1, 1, None), (1, None, 1), (1, 2, 2), (2, 3, 3)]
+    gold = spark.createDataFrame(rows, "d long, a long, b long")
+    scored = scoring.edge_prf1(gold, gold.where("a is not null and d = 1"), "d", ["a", "b"])
+    assert {r.d: (r.matched, r.n_gold, r.n_cand) for r in scored.collect()} == {1: (2, 3, 2), 2: (0, 1, 0)}
+    assert "to_json" not in scored._jdf.queryExecution().toString() and "structstojson" not in scored._jdf.queryExecution().toString().lower()

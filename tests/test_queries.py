@@ -115,6 +115,14 @@ def test_collisions_of_documents_without_a_language(spark, tmp_path):
     assert sorted(map(tuple, found.project("lang_a, source_a, lang_b, source_b, pairs").fetchall()), key=str) == got
 
 
+@pytest.mark.parametrize("name, most", [("package_caption_targets", 2), ("package_visible_text", 2), ("char_edit_distance", 0), ("baseline_scores", 3)])
+def test_texts_are_read_once(spark, sf_dir, name, most):
+    """Packages are built and parsed by one pass, neighbours are not joined, and words are listed once for both sides."""
+    plan = registry.QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    counted = {"char_edit_distance": "Join", "baseline_scores": "Generate explode(filter"}.get(name, "MapInArrow")
+    assert plan.count(counted) <= (1 if name == "baseline_scores" else most) and "MapInPandas" not in plan
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
