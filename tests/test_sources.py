@@ -2,6 +2,7 @@
 
 import io
 import json
+import sys
 import zipfile
 
 import pyarrow as pa
@@ -9,7 +10,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from folioflow.operators import audit, pii
-from folioflow.sources import docx, files
+from folioflow.plans.registry import QUERIES
+from folioflow.sources import docx, files, writer
 from folioflow.sources.convention import EXTRACTORS, chain_depth, convention_evidence
 from folioflow.streaming import incremental
 
@@ -206,3 +208,31 @@ def test_results_leave_by_unpacked_bytes_and_only_what_is_asked(spark, packages,
     out = list(held[0](iter([rows])))
     assert len(out) > 2 and sum(b.num_rows for b in out) == 60 and out[0].schema.names == ["path", "nodes", "error"]
     assert out[0].column("nodes")[0].as_py() == [{"seq": 22, "node_id": "table-0", "kind": "table", "anchor": None, "attrs": [("row_count", "1")]}]
+
+
+ARROW = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+
+
+@pytest.fixture
+def usual_batches(spark):
+    """Spark's own limits of Arrow batches, whatever ran before in the session."""
+    for name in ARROW:
+        spark.conf.unset(name)
+
+
+def test_workers_are_sent_a_few_packages_at_a_time(spark, usual_batches):
+    """The worker that reads packages and the one that writes them hold a small part of a large task's bytes."""
+    held = spark.range(40, numPartitions=1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("x"), 1 << 20).cast("binary").alias("content"))
+    sent = lambda: sys._getframe(2).f_locals["batch"].nbytes  # noqa: E731  of the batch whose row is asked for
+    most = docx._per_package(held, ("size",), lambda content: {"size": sent()}).agg(F.max("size")).first()[0]
+    assert 1 << 20 <= most < 10 << 20
+    for name in ARROW:
+        spark.conf.unset(name)
+    built = writer.write_packages(held, lambda row: str(sent()).encode())
+    assert 1 << 20 <= built.agg(F.max(F.col("content").cast("string").cast("long"))).first()[0] < 10 << 20
+
+
+@pytest.mark.parametrize("name", ["package_equation_reclassification"])
+def test_package_queries_read_bounded_batches(spark, sf_dir, usual_batches, name):
+    QUERIES[name](spark, sf_dir)
+    assert [spark.conf.get(c) for c in ARROW] == ["2000", "8m"]
