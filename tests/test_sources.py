@@ -232,7 +232,7 @@ def test_workers_are_sent_a_few_packages_at_a_time(spark, usual_batches):
     assert 1 << 20 <= built.agg(F.max(F.col("content").cast("string").cast("long"))).first()[0] < 10 << 20
 
 
-@pytest.mark.parametrize("name", ["package_equation_reclassification", "package_marker_resolution", "package_table_grids", "package_relationships", "package_provenance"])
+@pytest.mark.parametrize("name", ["package_equation_reclassification", "package_marker_resolution", "package_table_grids", "package_relationships", "package_provenance", "package_content_evidence"])
 def test_package_queries_read_bounded_batches(spark, sf_dir, usual_batches, name):
     QUERIES[name](spark, sf_dir)
     assert [spark.conf.get(c) for c in ARROW] == ["2000", "8m"]
